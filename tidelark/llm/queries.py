@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidelark.llm import op01_line_dedup, op02_pieces, op03_language, op07_mixing, op08_minmax_dedup
+from tidelark.llm import op01_line_dedup, op02_pieces, op03_language, op04_packed, op06_token_counts, op07_mixing, op08_minmax_dedup
 
-_MODULES = [op01_line_dedup, op02_pieces, op03_language, op07_mixing, op08_minmax_dedup]
+_MODULES = [op01_line_dedup, op02_pieces, op03_language, op04_packed, op06_token_counts, op07_mixing, op08_minmax_dedup]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
