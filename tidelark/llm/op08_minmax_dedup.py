@@ -10,8 +10,9 @@ Work per step, for n documents:
 * equal sets are collapsed first (a group of copies is one class from here on);
 * a band bucket is never expanded into all its pairs.  Members are held against the bucket's leader, links are confirmed on
   the full sets, and components are taken; only buckets that still hold several components go on.  After ``star_rounds``
-  leaders, the members outside the bucket's largest component are held against the members of other components.  Pairs that
-  already share a component can't change the result, so no link between different components is lost;
+  leaders, members of such crowded buckets are paired by prefix filtering, which is exact: two linked sets share one of
+  their rarest shingles.  Pairs that already share a component can't change the result, so no link between different
+  components is lost;
 * components come from alternating large-star and small-star steps, each written to the shared folder.
 
 Defined cases: null, empty and blank texts have an empty set, are linked with nothing and keep themselves; a text with fewer
@@ -27,7 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelark.llm.shared import cut, documents, small_batches
@@ -205,7 +206,35 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return cut(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = 4, miss: float = 1e-6, star_rounds: int = 2) -> DataFrame:
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(x, h) of every hash in the sets of a batch (doc_id, hashes)."""
+    for batch in batches:
+        sets = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column(1)]
+        if sets:
+            yield pa.record_batch([pa.array(np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])), pa.array(np.concatenate(sets))], names=["x", "h"])
+
+
+def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of members (x, n, comp) of different components that may be linked, by prefix filtering.
+
+    A linked pair shares at least percent * n of the n shingles of either side, so it shares one of the n - that + 1 rarest
+    of each, in any order that all sets agree on.  The rarest first: shingles that only one member has need no row at all.
+    """
+    members = cut(members, "open-sets")
+    tokens = sets.join(members.select(F.col("x").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "hashes").mapInArrow(_tokens, "x long, h long")
+    tokens = cut(tokens, "tokens")
+    shared = cut(tokens.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "shared-tokens")
+    placed = tokens.join(shared, "h").withColumn("i", F.row_number().over(Window.partitionBy("x").orderBy("c", "h"))).withColumn("k", F.count("*").over(Window.partitionBy("x")))
+    prefix = placed.join(members, "x").where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.col("k")))
+    prefix = cut(prefix.select("h", "x", "n", "comp", (F.col("k") - F.col("i") + 1).alias("rest")), "prefixes")
+    other = prefix.select("h", F.col("x").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("yc"), F.col("rest").alias("yrest"))
+    close = (F.col("x") > F.col("y")) & (F.col("comp") != F.col("yc")) & (F.least("n", "yn") * 100 >= F.greatest("n", "yn") * percent)
+    # From the first shared shingle on, what is left of both must suffice for the overlap that the similarity takes.
+    enough = F.least("rest", "yrest") * (100 + percent) >= (F.col("n") + F.col("yn")) * percent
+    return prefix.join(other, "h").where(close & enough).select(F.col("x").alias("u"), F.col("y").alias("v")).distinct()
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = 4, miss: float = 1e-6, star_rounds: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of documents (doc_id, text); linked at `percent` Jaccard similarity of word shingles."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -244,12 +273,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
                 pairs = pairs.join(labels.select(F.col("node").alias("x"), F.col("component").alias("cx")), "x", "left").join(labels.select(F.col("node").alias("lx"), F.col("component").alias("cl")), "lx", "left").where("coalesce(cx, x) <> coalesce(cl, lx)")
             pairs = pairs.select(F.greatest("x", "lx").alias("u"), F.least("x", "lx").alias("v")).distinct()
         else:
-            # The rest: members outside the largest component of their bucket, against the members of other components.
-            named = open_members.join(labels.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("comp", F.coalesce("component", "x")).drop("component")
-            per = named.groupBy("band", "bucket", "comp").agg(F.count("*").alias("c")).groupBy("band", "bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-            named = cut(named, "named")
-            minor = named.join(cut(per, "main"), ["band", "bucket"]).where("comp <> main").select("band", "bucket", F.col("x").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("yc"))
-            pairs = minor.join(named, ["band", "bucket"]).where((F.col("comp") != F.col("yc")) & sizes_fit("n", "yn")).select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
+            pairs = prefix_pairs(open_members.select("x", "n").distinct().join(labels.select(F.col("node").alias("x"), "component"), "x", "left").select("x", "n", F.coalesce("component", "x").alias("comp")), sets, percent)
         if done:
             pairs = pairs.join(reduce(DataFrame.unionByName, done), ["u", "v"], "left_anti")
         pairs = cut(pairs, "pairs")
