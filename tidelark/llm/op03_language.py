@@ -47,8 +47,13 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, excerpt_chars: int = EX
     """Raw dictionaries by language, most labelled rows first.  What reaches the driver is bounded by the parameters."""
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    # A hash bound that four times the sample's rows of a language are below: what is shuffled doesn't grow with the input.
+    bound = F.lit(0)
+    for r in counts:
+        bound = F.when(F.col("lang") == r.lang, min(2**62, 4 * sample_docs * 2**62 // r["count"])).otherwise(bound)
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    rows = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, excerpt_chars).alias("t")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_docs).select("lang", "k", "t").collect()
+    hashed = known.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id"), 2)).where(F.col("h") <= bound)
+    rows = hashed.select("lang", "doc_id", "h", F.substring("text", 1, excerpt_chars).alias("t")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_docs).select("lang", "k", "t").collect()
     texts: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: r.k):
         texts.setdefault(r.lang, []).append(plain(r.t))
