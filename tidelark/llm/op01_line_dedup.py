@@ -65,8 +65,9 @@ def _by_source(docs: DataFrame) -> DataFrame:
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts lose their source's boilerplate lines; n_chars follows."""
-    cleaned = clean_lines(_by_source(docs))
-    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    pages = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", F.coalesce("source", F.lit("")).alias("host"), "text")
+    own = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return clean_lines(pages).select(*(own.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

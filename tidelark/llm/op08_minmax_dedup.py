@@ -16,7 +16,8 @@ Work per step, for n documents:
 * components come from alternating large-star and small-star steps, each written to the shared folder.
 
 Defined cases: null, empty and blank texts have an empty set, are linked with nothing and keep themselves; a text with fewer
-words than a shingle has one shingle, the whole sequence; repeated rows of a doc_id are equal sets and share its component;
+words than a shingle has one shingle, the whole sequence; repeated rows of a doc_id are equal sets and share its component
+(the stage keeps one of them); rows with a null doc_id can't stand for others and are kept;
 other columns of the input are ignored, and an empty table gives an empty result.
 """
 
@@ -290,13 +291,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
 
     by_class = cut(classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("digest", F.coalesce("component", "class_id").alias("component_id")), "class-components")
     rows_out = base.select("doc_id", "n_shingles", F.coalesce("digest", F.concat(F.lit("-"), F.col("doc_id").cast("string")).cast("binary")).alias("digest"))
-    return rows_out.join(by_class, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return rows_out.join(by_class, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the document with the smallest doc_id of each group of near copies stays."""
     kept = cut(near_duplicates(docs).where("kept").select("doc_id").distinct(), "kept")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return named.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op8_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,7 +57,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = TOP, bits: int = 64)
     index = cut(ranked.where(F.col("rank") <= k).groupBy("code").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "codes")
     n = index.count()
     asked = cut(codes_of(queries, bits).distinct().select(F.col("vec_id").alias("query_id"), F.col("code").alias("q")), "queries")
-    width = min(bits, max(4, round(math.log2(n)))) if n > 1 else bits
+    width = min(bits, max(4, round(math.log2(max(n, 1)))))
     m = -(-bits // width)
     parts = cut(index.select("code", "ids", F.posexplode(F.array(*segments("code", m, width))).alias("j", "value")), "segments")
 
