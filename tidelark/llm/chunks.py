@@ -1,82 +1,132 @@
-"""Token ids of whole texts from the tokenizers library, with a bounded table of the words already encoded.
+"""Token ids of whole texts by way of the distinct words of a batch.
 
-A tokenizer with a pre-tokenizer encodes the parts of a text that it splits independently.  `split` cuts a text only at places
-where the pre-tokenizer always cuts; where that isn't certain, the text is left in one piece for the library.
+Where a tokenizer always cuts a text at certain places, the parts between them are encoded independently.  Arrow splits the
+texts of a batch there and numbers the distinct parts; only those are looked up or encoded, and numpy puts every text's ids
+together again.  Texts that the rules for a tokenizer don't cover are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Words that a worker remembers at most.
-MEMO_WORDS = 250_000
-_ANY_SPACE = re.compile(r"\s")
-
-
-def split_word_bpe(text: str) -> list[str]:
-    """For a tokenizer that drops white space: words between spaces and line feeds."""
-    return text.replace("\n", " ").split(" ")
-
-
-def split_byte_bpe(text: str) -> list[str]:
-    """For byte-level BPE that puts one space before a word into its token: a single space or line feed between two
-    characters that are not white space begins a new part.  A text with other white space is left whole."""
-    if not text:
-        return []
-    plain = text.replace("\n", " ")
-    if text[-1].isspace() or "  " in plain or text[0].isspace() or _ANY_SPACE.search(plain.replace(" ", "")):
-        return [text]
-    out = []
-    for k, line in enumerate(text.split("\n")):
-        if k:
-            out.append("\n")
-        words = line.split(" ")
-        out.append(words[0])
-        out.extend([" " + w for w in words[1:]])
-    return out
-
-
-class ChunkEncoder(dict):
-    """Ids by part, as little-endian 32-bit integers."""
-
-    def __init__(self, path: str, split: Callable[[str], list[str]]):
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.split = split
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def __missing__(self, part: str) -> bytes:
-        return self._encode([part])[0]
-
-    def learn(self, parts: set[str]) -> None:
-        """Encode the new parts of a batch at once."""
-        new = [p for p in parts if p not in self and len(p) <= 64]
-        if len(self) + len(new) > MEMO_WORDS:
-            self.clear()
-            new = [p for p in parts if len(p) <= 64]
-        self.update(zip(new, self._encode(new), strict=True))
-
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        out, k = [], 0
-        while k < len(texts):  # some 256 KB of text at a time
-            group, size = [], 0
-            while k < len(texts) and size < 1 << 18:
-                group.append(self.split(texts[k]))
-                size += len(texts[k])
-                k += 1
-            self.learn(set().union(*group))
-            out.extend(np.frombuffer(b"".join(map(self.__getitem__, parts)), dtype="<u4") for parts in group)
+#: Parts that a worker remembers: two generations of so many.
+MEMO_PARTS, LONGEST_PART = 400_000, 64
+#: Text bytes that are handled at a time.
+GROUP_BYTES = 8 << 20
+#: White space of any kind other than one space or line feed between two other characters.
+ODD_SPACES = "[\\t\\r\\x{0b}\\x{0c}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|[ \\n][ \\n]|\\A[ \\n]|[ \\n]\\z|\\A\\z"
+
+
+class PartTable:
+    """Ids (32-bit, as bytes) by part.  When the young generation is full it becomes the old one."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
+        self.encode, self.young, self.old = encode, {}, {}
+
+    def lookup(self, parts: list[str]) -> list[bytes]:
+        found = list(map(self.young.get, parts))
+        missing = [i for i, f in enumerate(found) if f is None]
+        if not missing:
+            return found
+        if len(self.young) + len(missing) > MEMO_PARTS:
+            self.young, self.old = {}, self.young
+        new = []
+        for i in missing:
+            if (f := self.old.get(parts[i])) is None:
+                new.append(i)
+            else:
+                found[i] = self.young[parts[i]] = f
+        for i, ids in zip(new, self.encode([parts[i] for i in new]), strict=True):
+            found[i] = ids
+            if len(parts[i]) <= LONGEST_PART:
+                self.young[parts[i]] = ids
+        return found
+
+
+def ids_of_lists(lists: pa.ListArray, table: PartTable) -> list[np.ndarray]:
+    """The joined ids of each list of parts."""
+    numbered = lists.flatten().dictionary_encode()
+    ids = table.lookup(numbered.dictionary.to_pylist())
+    index = numbered.indices.to_numpy()
+    sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+    pool = np.frombuffer(b"".join(ids), dtype="<i4")
+    starts = np.cumsum(sizes) - sizes
+    each = sizes[index]
+    ends = np.cumsum(each)
+    at = np.repeat(starts[index] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)
+    out = pool[at]
+    cuts = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    return [out[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _groups(texts: pa.Array):
+    start, size = 0, 0
+    lengths = pc.binary_length(texts).to_pylist()
+    for i, n in enumerate(lengths):
+        size += n
+        if size >= GROUP_BYTES or i + 1 == len(texts):
+            yield texts.slice(start, i + 1 - start)
+            start, size = i + 1, 0
+
+
+class SplitEncoder:
+    """Ids of texts; `lists` splits those that `whole` doesn't mark, `encode_text` takes the others."""
+
+    def __init__(self, table: PartTable, lists: Callable[[pa.Array], pa.ListArray], whole: Callable[[pa.Array], pa.Array] | None, encode_text: Callable[[str], np.ndarray]):
+        self.table, self.lists, self.whole, self.encode_text = table, lists, whole, encode_text
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text, none of them null."""
+        out: list[np.ndarray] = []
+        for group in _groups(texts):
+            odd = self.whole(group).to_numpy(zero_copy_only=False) if self.whole else np.zeros(len(group), bool)
+            ids: list = [None] * len(group)
+            plain = np.flatnonzero(~odd)
+            if len(plain):
+                for i, x in zip(plain, ids_of_lists(self.lists(group.take(pa.array(plain))), self.table), strict=True):
+                    ids[i] = x
+            for i in np.flatnonzero(odd):
+                ids[i] = self.encode_text(group[int(i)].as_py())
+            out.extend(ids)
         return out
+
+
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    return library
+
+
+def _encode_with(library, parts: list[str]) -> list[bytes]:
+    return [np.array(e.ids, dtype="<i4").tobytes() for e in library.encode_batch_fast(parts, add_special_tokens=False)] if parts else []
+
+
+def word_bpe(path: str) -> SplitEncoder:
+    """For a tokenizer whose pre-tokenizer drops white space: texts are cut at spaces and line feeds."""
+    library = _library(path)
+    table = PartTable(lambda parts: _encode_with(library, parts))
+    return SplitEncoder(table, lambda t: pc.split_pattern(pc.replace_substring(t, "\n", " "), " "), None, lambda t: np.frombuffer(_encode_with(library, [t])[0], "<i4"))
+
+
+def byte_bpe(path: str) -> SplitEncoder:
+    """For byte-level BPE whose pre-tokenizer puts one space before a word into its token: texts are cut before single spaces
+    and line feeds.  A part after a space is looked up without it, the first part of a text with a carriage return before it."""
+    library = _library(path)
+
+    def encode(parts: list[str]) -> list[bytes]:
+        return _encode_with(library, [p if p[:1] == "\n" else p[1:] if p[:1] == "\r" else " " + p for p in parts])
+
+    def lists(texts: pa.Array) -> pa.ListArray:
+        return pc.split_pattern(pc.binary_join_element_wise("\r", pc.replace_substring(texts, "\n", " \n"), ""), " ")
+
+    return SplitEncoder(PartTable(encode), lists, lambda t: pc.match_substring_regex(t, ODD_SPACES), lambda t: np.frombuffer(_encode_with(library, [t])[0], "<i4"))

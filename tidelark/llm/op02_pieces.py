@@ -16,20 +16,23 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from sentencepiece import sentencepiece_model_pb2
 
+from tidelark.llm.chunks import PartTable, SplitEncoder
 from tidelark.llm.shared import documents, small_batches, text_or_empty
 
 MARK = "▁"
-#: Segments and pairs that a worker remembers at most.
-MEMO_SEGMENTS, MEMO_PAIRS = 250_000, 400_000
+#: Pairs that a worker remembers at most.
+MEMO_PAIRS = 400_000
 
 
 class PrefixTableEncoder:
@@ -50,12 +53,16 @@ class PrefixTableEncoder:
         self.byte_ids = {int(p.piece[1:-1], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.pieces):
             raise ValueError("pieces cross the places where texts are cut")
+        self.names = [p.piece for p in proto.pieces]
         self.automaton = ahocorasick.Automaton()
-        for piece in self.pieces:
-            self.automaton.add_word(piece, piece)
+        for piece, i in self.pieces.items():
+            self.automaton.add_word(piece, (len(piece), i))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.memo = _Memo(self)
+        self.known = {p for p in self.pieces if len(p) == 1}
+        self.unknown = re.compile(f"([^{re.escape(''.join(sorted(self.known)))}])")
+        self.pairs: dict[int, bool] = {}
+        self.feed = self.byte_ids[10]
+        self.segments = PartTable(lambda segments: [array("i", self.segment_ids(x)).tobytes() for x in segments])
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging the best adjacent pair again and again gives: the definition, used on one pair at a time."""
@@ -69,82 +76,62 @@ class PrefixTableEncoder:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def may_follow(self, left: str, right: str) -> bool:
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) >= MEMO_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(left + right) == ([left, right] if left else [right])
-        return known
-
-    def segment_pieces(self, segment: str) -> list[str]:
-        """The pieces of a segment, characters outside the vocabulary among them."""
-        last: list[str | None] = [None] * (len(segment) + 1)
-        last[0] = ""
-        at = 0
-        for end, piece in self.automaton.iter(segment):
+    def may_follow(self, left: int, right: int) -> bool:
+        """Whether two tokens, or the start (0) and a token, can stand side by side in an encoding."""
+        tokens = [self.names[left], self.names[right]] if left else [self.names[right]]
+        if len(self.pairs) >= MEMO_PAIRS:
+            self.pairs.clear()
+        found = self.pairs[left << 20 | right] = self.merged("".join(tokens)) == tokens
+        return found
+
+    def known_ids(self, segment: str) -> list[int]:
+        """Ids of a segment of characters that all are pieces."""
+        pairs, follows = self.pairs, self.may_follow
+        last = [0] + [-1] * len(segment)
+        for end, (size, token) in self.automaton.iter(segment):
             end += 1
-            while at + 1 < end:  # positions where no piece ends: a character outside the vocabulary
-                at += 1
-                if last[at] is None:
-                    last[at] = segment[at - 1]
-            if last[end] is None:
-                before = last[end - len(piece)]
-                if before is not None and self.may_follow(before, piece):
-                    last[end] = piece
-        for i in range(at + 1, len(segment) + 1):
-            if last[i] is None:
-                last[i] = segment[i - 1]
-        out, i = [], len(segment)
+            if last[end] < 0:
+                before = last[end - size]
+                if before >= 0:
+                    fits = pairs.get(before << 20 | token)
+                    if fits or fits is None and follows(before, token):
+                        last[end] = token
+        out, i, names = [], len(segment), self.names
         while i:
             out.append(last[i])
-            i -= len(last[i])
-        return out[::-1]
+            i -= len(names[last[i]])
+        out.reverse()
+        return out
 
     def segment_ids(self, segment: str) -> list[int]:
+        if self.known.issuperset(segment):
+            return self.known_ids(segment)
         out: list[int] = []
-        for piece in self.segment_pieces(segment):
-            i = self.pieces.get(piece)
-            if i is None:
-                out.extend(self.byte_ids[b] for b in piece.encode())
-            else:
-                out.append(i)
+        for k, part in enumerate(self.unknown.split(segment)):
+            out.extend([self.byte_ids[b] for b in part.encode()] if k % 2 else self.known_ids(part))
         return out
 
-    def encode(self, text: str) -> np.ndarray:
-        """All ids of a text, without begin or end ids."""
-        if not text:
-            return np.zeros(0, np.int32)
-        text = self.prefix + text.replace(" ", MARK)
-        if MARK + MARK in text:
-            segments = re.findall(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n", text)
-        else:  # the usual case, with splits alone: every mark begins a segment
-            segments = []
-            for k, line in enumerate(text.split("\n")):
-                if k:
-                    segments.append("\n")
-                words = line.split(MARK)
-                if words[0]:
-                    segments.append(words[0])
-                segments.extend([MARK + w for w in words[1:]])
-        if len(self.memo) > MEMO_SEGMENTS:
-            self.memo.clear()
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, segments)), dtype=np.int32)
+    def encode_whole(self, text: str) -> np.ndarray:
+        """Ids of any text."""
+        text = self.prefix + text.replace(" ", MARK) if text else ""
+        segments = re.findall(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n", text)
+        return np.frombuffer(b"".join(self.segments.lookup(segments)), "<i4")
 
-    def decode(self, ids: list[int]) -> str:
-        return self.library.decode(ids)
+    def encode_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts between single spaces; one that begins with a line feed has no mark."""
+        return [array("i", [self.feed, *self.segment_ids(p[1:])] if p[:1] == "\n" else self.segment_ids(MARK + p)).tobytes() for p in parts]
 
+    def splitter(self) -> SplitEncoder:
+        def lists(texts: pa.Array) -> pa.ListArray:
+            return pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
 
-class _Memo(dict):
-    def __init__(self, encoder: PrefixTableEncoder):
-        super().__init__()
-        self.encoder = encoder
+        def odd(texts: pa.Array) -> pa.Array:
+            return pc.match_substring_regex(texts, f"{MARK}|  |\n | \n|\\A |\\A\n| \\z|\\A\\z")
 
-    def __missing__(self, segment: str) -> bytes:
-        ids = np.array(self.encoder.segment_ids(segment), dtype=np.int32).tobytes()
-        if len(segment) <= 64:
-            self[segment] = ids
-        return ids
+        return SplitEncoder(PartTable(self.encode_parts), lists, odd if self.prefix else lambda t: pc.is_valid(t), self.encode_whole)
+
+    def decode(self, ids: list[int]) -> str:
+        return self.library.decode(ids)
 
 
 def encode_documents(docs: DataFrame, model_path: str, keep_ids: bool = False, keep_text: bool = False) -> DataFrame:
@@ -154,11 +141,12 @@ def encode_documents(docs: DataFrame, model_path: str, keep_ids: bool = False, k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PrefixTableEncoder(model_path)
+        splitter = encoder.splitter()
         decimal = [str(i) for i in range(encoder.library.vocab_size())]
         for batch in batches:
             rows = []
-            for text in batch.column(1):
-                ids = [*encoder.encode(text.as_py()).tolist(), encoder.end_id]
+            for found in splitter.encode_all(batch.column(1)):
+                ids = [*found.tolist(), encoder.end_id]
                 decoded = encoder.decode(ids)
                 rows.append((len(ids), hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), ids if keep_ids else None, decoded if keep_text else None))
             n, a, b, ids, decoded = zip(*rows, strict=True) if rows else ((),) * 5

@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from tidelark.llm.chunks import ChunkEncoder, split_word_bpe
+from tidelark.llm.chunks import word_bpe
 from tidelark.llm.shared import documents, new_path, small_batches, text_or_empty
 
 BLOCK_IDS = 1 << 16
@@ -55,11 +56,12 @@ def write_packed(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, s
     """Write the ids of documents (doc_id, text), each followed by end_id, in ascending order of doc_id."""
     spark = docs.sparkSession
     small_batches(spark)
+    vocabulary = Tokenizer.from_file(tokenizer_path).get_vocab_size()
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer_path, split_word_bpe)
-        width = width_of(max(encoder.library.get_vocab_size(), end_id + 1))
+        encoder = word_bpe(tokenizer_path)
+        width = width_of(max(vocabulary, end_id + 1))
         shard, block, start = TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], dtype="<u4")
         ids: list[np.ndarray] = []
@@ -72,7 +74,7 @@ def write_packed(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, s
             return pa.record_batch([pa.array(v, t) for v, t in zip(row, types, strict=True)], names=["shard", "block", "start", "n_ids", "width", "doc_ids", "offsets", "payload"])
 
         for batch in batches:
-            for doc_id, found in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1).to_pylist()), strict=True):
+            for doc_id, found in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1)), strict=True):
                 ids += [found, end]
                 doc_ids.append(doc_id)
                 offsets.append(offsets[-1] + len(found) + 1)

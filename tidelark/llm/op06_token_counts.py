@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelark.llm.chunks import ChunkEncoder, split_byte_bpe
+from tidelark.llm.chunks import SplitEncoder, byte_bpe
 from tidelark.llm.shared import cut, documents, new_path, small_batches, text_or_empty
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
@@ -42,17 +42,17 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CACHE_SCHEMA).parquet(path)
 
 
-def _counter(path: str, split: Callable[[str], list[str]]):
+def _counter(path: str, make: Callable[[str], SplitEncoder]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path, split)
+        encoder = make(path)
         for batch in batches:
-            counts = np.array([len(x) for x in encoder.encode_all(batch.column(1).to_pylist())], dtype=np.int64)
+            counts = np.array([len(x) for x in encoder.encode_all(batch.column(1))], dtype=np.int64)
             yield pa.record_batch([batch.column(0), pa.array(counts)], names=["digest", "n_tokens"])
 
     return run
 
 
-def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str, split: Callable[[str], list[str]] = split_byte_bpe, limit: int = LIMIT) -> DataFrame:
+def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str, make: Callable[[str], SplitEncoder] = byte_bpe, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of documents (doc_id, text); new counts are appended to the cache."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -60,8 +60,9 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str, split: C
     texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
     rows = cut(texts.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
     known = read_cache(spark, cache_path).where(F.col("tokenizer") == version).select("digest", "n_tokens")
-    misses = texts.select("digest", "text").join(known.select("digest"), "digest", "left_anti").groupBy("digest").agg(F.first("text").alias("text"))
-    counted = misses.mapInArrow(_counter(tokenizer_path, split), "digest binary, n_tokens long")
+    distinct = texts.groupBy("digest").agg(F.first("text").alias("text"))
+    misses = distinct.join(known.select("digest"), "digest", "left_anti")
+    counted = misses.mapInArrow(_counter(tokenizer_path, make), "digest binary, n_tokens long")
     counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
     counts = read_cache(spark, cache_path).where(F.col("tokenizer") == version).select("digest", "n_tokens")
     return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

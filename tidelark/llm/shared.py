@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch of texts: with documents of 100 KB a batch stays near 25 MB.
-TEXT_BATCH_ROWS = 256
+#: Rows and bytes in one Arrow batch of texts at most.
+TEXT_BATCH_ROWS, TEXT_BATCH_BYTES = 4096, 8 << 20
 
 
 @functools.cache
@@ -39,6 +39,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound the memory of Python workers that are sent whole texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BATCH_BYTES))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
