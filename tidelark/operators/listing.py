@@ -143,7 +143,7 @@ def _paths(s: SparkSession, d: str) -> DataFrame:
 
 def _texts(s: SparkSession, d: str) -> DataFrame:
     t = table(s, d, "documents")
-    return t.select("doc_id", C.line_count("text").alias("lines"), F.octet_length("text").alias("bytes"), F.left("text", F.lit(1000)).alias("head"), C.is_hex(F.left("text", F.lit(40))).alias("hex_head"), C.is_hex(F.md5("text")).alias("hex_digest"), C.org_bucket("source").alias("bucket"), F.left(F.sha2("text", 256), F.lit(8)).alias("short_sha"), C.line_window("text", F.lit(2), F.lit(3)).alias("window"), C.looks_binary("text").alias("binary"))
+    return t.select("doc_id", C.line_count("text").alias("lines"), F.octet_length("text").alias("bytes"), F.left("text", F.lit(1000)).alias("head"), C.is_hex("text").alias("hex_text"), C.is_hex(F.md5("text")).alias("hex_digest"), C.org_bucket("source").alias("bucket"), F.left(F.sha2("text", 256), F.lit(8)).alias("short_sha"), C.line_window("text", F.lit(2), F.lit(3)).alias("window"), C.looks_binary("text").alias("binary"))
 
 
 def _dates(s: SparkSession, d: str) -> DataFrame:
@@ -205,7 +205,7 @@ SQL = {
 x AS (SELECT *, regexp_extract(name, '^\\.*[^.].*?(\\.[^.]+)$', 1) AS suffix FROM n)
 SELECT path, CASE WHEN len(p) <= 1 THEN 'root' WHEN len(p) = 2 THEN p[1] ELSE p[1] || '/' || p[2] END AS directory, suffix, CASE WHEN contains(path, '.') THEN '.' || string_split(path, '.')[-1] END AS naive, CAST(len(p) AS INT) AS depth, parent, CASE WHEN parent = '' THEN '' ELSE parent || '/' END AS slashed,
 NOT list_has_any(p, ['.git', 'driver_docs']) AND suffix NOT IN ('.svg', '.BIN') AS analyzable, CASE suffix WHEN '.py' THEN 'Python' END AS language, name, CAST(len(p) AS INT) AS n_ancestors, CASE WHEN parent = '' THEN name ELSE parent || '::' || name END AS qualified, replace(name, '_', ' ') AS spaced FROM x""",
-    "f_texts": r"""SELECT doc_id, CAST(length(text) - length(replace(text, chr(10), '')) + CASE WHEN length(text) > 0 AND NOT ends_with(text, chr(10)) THEN 1 ELSE 0 END AS BIGINT) AS lines, CAST(strlen(text) AS INT) AS bytes, substr(text, 1, 1000) AS head, length(regexp_replace(substr(text, 1, 40), '[^a-fA-F0-9\n ]', '', 'g')) / length(substr(text, 1, 40)) > 0.99 AS hex_head, TRUE AS hex_digest, substr(sha256(source), 1, 63) AS bucket, substr(sha256(text), 1, 8) AS short_sha, array_to_string(string_split(text, chr(10))[2:3], chr(10)) AS window, FALSE AS binary FROM documents""",
+    "f_texts": r"""SELECT doc_id, CAST(length(text) - length(replace(text, chr(10), '')) + CASE WHEN length(text) > 0 AND NOT ends_with(text, chr(10)) THEN 1 ELSE 0 END AS BIGINT) AS lines, CAST(strlen(text) AS INT) AS bytes, substr(text, 1, 1000) AS head, length(regexp_replace(text, '[^a-fA-F0-9\n ]', '', 'g')) / length(text) > 0.99 AS hex_text, TRUE AS hex_digest, substr(sha256(source), 1, 63) AS bucket, substr(sha256(text), 1, 8) AS short_sha, array_to_string(string_split(text, chr(10))[2:3], chr(10)) AS window, FALSE AS binary FROM documents""",
     "f_dates": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, strftime(o_orderdate, '%Y-%m') AS month, CAST(year(o_orderdate) AS INT) AS year, CAST(month(o_orderdate) AS INT) AS month_no, CAST(day(o_orderdate) AS INT) AS day_no, o_orderdate >= TIMESTAMP '1998-06-01' - INTERVAL 90 DAY AS recent, CAST(epoch(TIMESTAMP '1998-06-01') - epoch(o_orderdate) AS BIGINT) AS elapsed, coalesce(epoch(TIMESTAMP '1998-06-01') - epoch(o_orderdate) >= [3600, 86400, 604800, 2592000, NULL][o_orderkey % 5 + 1], FALSE) AS due FROM orders",
     "f_scores": """WITH x AS (SELECT o_orderkey, o_totalprice / 250000 AS x FROM orders), y AS (SELECT *, greatest(0.0::DOUBLE, (1 - abs(1 - x)) * (1 - abs(1 - x)) * (1 - abs(1 - x))) AS semantic, greatest(0.0::DOUBLE, 1 - 1 / (1 + x)) AS keyword FROM x)
 SELECT o_orderkey, semantic, keyword, CASE WHEN o_orderkey % 2 = 0 THEN (semantic * 2 + keyword) / 3 ELSE semantic END AS mean, coalesce(x / nullif(o_orderkey % 3, 0), 0.0) AS ratio, greatest(x - 1, 0.0::DOUBLE) AS clamped, CAST(floor(o_orderkey / 50) AS BIGINT) AS sloc, CASE WHEN o_orderkey % 300 < 10 THEN 'tiny' WHEN o_orderkey % 300 < 50 THEN 'small' WHEN o_orderkey % 300 < 200 THEN 'medium' ELSE 'large' END AS category FROM y""",

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tidelark.operators import access, aggregates, listing
+from tidelark.operators import access, aggregates, graphs, listing, search, usage
+from tidelark.sources import queries as stores
+from tidelark.streaming import events
 
-_MODULES = [aggregates, listing, access]
+_MODULES = [aggregates, listing, access, usage, search, graphs, stores, events]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
