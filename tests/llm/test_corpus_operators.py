@@ -232,23 +232,18 @@ def test_topk_equals_brute_force(spark):
 
 
 def spots_by_hand(text):
-    anchors, chain, stretch = set(op10_spotsigs.ANCHORS), op10_spotsigs.CHAIN, op10_spotsigs.STRETCH
-    content, after = [], []
-    for w in regex.findall(r"[\p{L}\p{N}]+", (text or "").lower()):
-        if w not in anchors:
-            content.append(w)
-            after.append(False)
-        elif content:
-            after[-1] = True
-    run = 0
-    for i, marked in enumerate(after):
-        run = 0 if marked else run + 1
-        if run == stretch:
-            after[i], run = True, 0
+    anchors, starts, content = set(op10_spotsigs.ANCHORS), {0}, []
+    for w in regex.findall(r"[\p{L}\p{N}]+", (text or "").lower()) or [""]:
+        if w in anchors:
+            starts.add(len(content))
+            continue
+        content.append(w)
+        if xxhash.xxh64_intdigest(w.encode(), seed=42) % 2**64 % 16 == 0:
+            starts.add(len(content))
     out = set()
-    for start in [0] + [i + 1 for i, m in enumerate(after) if m]:
+    for start in starts:
         h = 42
-        for w in content[start : start + chain]:
+        for w in content[start : start + op10_spotsigs.CHAIN]:
             h = xxhash.xxh64_intdigest(w.encode(), seed=h)
         out.add(h & 0xFFFFFFFF)
     return out

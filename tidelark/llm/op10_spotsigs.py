@@ -1,8 +1,8 @@
 """Document fingerprints by SpotSigs.
 
 A text is lower-cased and cut into words of letters and digits.  Common words are anchors; the chain of the three content words
-that follow an anchor is a spot signature.  The start of a text is an anchor, and so is every eighth word of a stretch
-without one, which keeps texts of names, numbers or other languages from having no signatures.  A fingerprint is the sorted
+that follow an anchor is a spot signature.  The start of a text is an anchor too, and so is a content word whose hash is a
+multiple of `RARE`, which keeps texts of names, numbers or other languages from having no signatures.  A fingerprint is the sorted
 set of the signatures' 32-bit hashes, written as eight hexadecimal digits each; likeness is the Jaccard similarity of two sets.
 
 `similar_pairs` finds pairs in a collection: sets are partitioned by length so that only partitions whose lengths allow the
@@ -12,7 +12,7 @@ Neighbours in the order of doc_id are found without a global sort: ids fall into
 each range is also sent to the range before it, and one window works on each range.
 
 Only DataFrame functions are used.  Defined cases: a null text counts as empty; an empty text has the one signature of an
-empty chain, so equal texts always have likeness 1; rows that repeat a doc_id are ordered by text; a null doc_id comes first;
+empty word, so equal texts always have likeness 1; rows that repeat a doc_id are ordered by text; a null doc_id comes first;
 the document after the last is the first; other columns are ignored and an empty table gives an empty result.
 """
 
@@ -27,7 +27,7 @@ from tidelark.llm.shared import cut, documents, text_or_empty
 
 #: Ids in a range, and range heads that are broadcast at most.
 RANGE, BROADCAST_HEADS = 256, 100_000
-CHAIN, STRETCH = 3, 8
+CHAIN, RARE = 3, 16
 #: Common words of English, French, German and Spanish.
 ANCHORS = """
 a an and are as at be but by for from had has have he her his in is it its not of on or said she that the their there they
@@ -38,24 +38,28 @@ al como con del el las lo los más no para pero por si sin su una y
 """.split()
 
 
-def marked(text: Column) -> Column:
-    """Content words, each after a space; ^ behind a word (or at the start) says that an anchor follows it."""
-    words = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]++", " "), F.lit(" "))
-    words = F.regexp_replace(words, f" (?:{'|'.join(sorted(set(ANCHORS)))})(?= )", "^")
-    return F.regexp_replace(words, f"((?: [^ ^]++){{{STRETCH}}})(?= )", "$1^")
-
-
 def signatures(text: Column) -> Column:
-    """Sorted distinct 32-bit signature hashes of a text, as an array of long."""
+    """Sorted distinct 32-bit signature hashes of a text, as an array of long.
 
-    def found(m: Column) -> Column:
-        tagged, plain = F.split(F.rtrim(m), " "), F.split(F.rtrim(F.translate(m, "^", "")), " ")
-        starts = F.filter(F.sequence(F.lit(0), F.size(tagged) - 1), lambda i: (i == 0) | F.endswith(F.get(tagged, i), F.lit("^")))
-        hashes = F.transform(starts, lambda i: F.xxhash64(*(F.get(plain, i + j) for j in range(1, CHAIN + 1))).bitwiseAND(F.lit(0xFFFFFFFF)))
+    Lambda variables bind each array: an expression used inside a lambda would be evaluated for each element.
+    """
+    is_anchor = lambda w: w.isin(ANCHORS)
+    words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]++", " ")), " ")
+
+    def parts(w: Column) -> Column:
+        anchors = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: is_anchor(F.get(w, i - 1)))
+        return F.named_struct(F.lit("anchors"), anchors, F.lit("content"), F.filter(w, lambda x: ~is_anchor(x)))
+
+    def found(p: Column) -> Column:
+        content = p["content"]
+        # The kth anchor (from 0) at word i (from 1) has i - 1 - k content words before it: its chain starts there.
+        after_anchors = F.transform(p["anchors"], lambda i, k: i - 1 - k)
+        rare = F.array_compact(F.transform(content, lambda x, j: F.when(F.xxhash64(x) % RARE == 0, j + 1)))
+        starts = F.array_distinct(F.concat(F.array(F.lit(0)), after_anchors, rare))
+        hashes = F.transform(starts, lambda i: F.xxhash64(*(F.get(content, i + j) for j in range(CHAIN))).bitwiseAND(F.lit(0xFFFFFFFF)))
         return F.array_sort(F.array_distinct(hashes))
 
-    # The marked text is bound once: both splits read the same value.
-    return F.transform(F.array(marked(text)), found)[0]
+    return F.transform(F.transform(F.array(words), parts), found)[0]
 
 
 def written(sigs: Column) -> Column:
@@ -73,7 +77,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text and next_text, the text of the document after it."""
+    """doc_id, text, sigs and those of the document after it, next_text and next_sigs."""
     order_id = F.coalesce(F.col("doc_id"), F.lit(-(1 << 62)))
     rows = docs.select("doc_id", text_or_empty().alias("text"), order_id.alias("o")).withColumn("range", F.expr(f"(o - pmod(o, {RANGE})) div {RANGE}"))
     heads = cut(rows.groupBy("range").agg(F.min("o").alias("o")).withColumn("block", F.expr(f"(range - pmod(range, {RANGE})) div {RANGE}")), "heads")
@@ -87,9 +91,9 @@ def with_next(docs: DataFrame) -> DataFrame:
         heads = F.broadcast(heads)
     own = F.struct(F.lit(False).alias("copy"), F.col("range"))
     sent = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.lit(True).alias("copy"), F.col("before").alias("range"))))
-    rows = rows.join(heads, "o", "left").select("doc_id", "o", "text", F.explode(sent).alias("at")).select("doc_id", "o", "text", "at.*")
+    rows = rows.join(heads, "o", "left").select("doc_id", "o", "text", signatures(F.col("text")).alias("sigs"), F.explode(sent).alias("at")).select("doc_id", "o", "text", "sigs", "at.*")
     order = Window.partitionBy("range").orderBy("copy", "o", "text")
-    return rows.withColumn("next_text", F.lead("text").over(order)).where("not copy").select("doc_id", "text", "next_text")
+    return rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sigs", F.lead("sigs").over(order)).where("not copy").select("doc_id", "text", "sigs", "next_text", "next_sigs")
 
 
 def compared(docs: DataFrame) -> DataFrame:
@@ -97,7 +101,8 @@ def compared(docs: DataFrame) -> DataFrame:
     rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     k = F.expr("cast(n_chars div 4 as int)")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - k), F.substring("next_text", F.lit(1), k))
-    rows = rows.select("doc_id", "n_chars", edited.alias("edited"), signatures(F.col("text")).alias("s"), signatures(edited).alias("e"), signatures(F.col("next_text")).alias("x"))
+    rows = rows.withColumn("edited", edited)
+    rows = rows.select("doc_id", "n_chars", "edited", F.col("sigs").alias("s"), signatures(F.col("edited")).alias("e"), F.col("next_sigs").alias("x"))
     return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), written(F.col("s")).alias("fingerprint"), written(F.col("e")).alias("edited_fingerprint"), likeness(F.col("s"), F.col("e")).alias("near_edited"), likeness(F.col("s"), F.col("x")).alias("near_next"))
 
 
