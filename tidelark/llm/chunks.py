@@ -17,7 +17,9 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Parts that a worker remembers: two generations of so many.
-MEMO_PARTS, LONGEST_PART = 400_000, 64
+MEMO_PARTS, LONGEST_PART = 300_000, 64
+#: Words that are encoded as one line.
+LINE_PARTS = 256
 #: Text bytes that are handled at a time.
 GROUP_BYTES = 8 << 20
 #: White space of any kind other than one space or line feed between two other characters.
@@ -111,11 +113,43 @@ def _encode_with(library, parts: list[str]) -> list[bytes]:
     return [np.array(e.ids, dtype="<i4").tobytes() for e in library.encode_batch_fast(parts, add_special_tokens=False)] if parts else []
 
 
+def _encode_words(library, ends: np.ndarray, parts: list[str]) -> list[bytes]:
+    """Ids of parts; those of letters alone are encoded as lines of many and taken apart behind tokens that end a word."""
+    out: list = [None] * len(parts)
+    letters = [i for i, p in enumerate(parts) if p.isalpha()]
+    rest = [i for i, p in enumerate(parts) if not p.isalpha()]
+    lines = [letters[k : k + LINE_PARTS] for k in range(0, len(letters), LINE_PARTS)]
+    for line, e in zip(lines, library.encode_batch_fast([" ".join([parts[i] for i in line]) for line in lines], add_special_tokens=False), strict=True):
+        ids = np.array(e.ids, dtype="<i4")
+        cuts = (4 * np.flatnonzero(ends[ids]) + 4).tolist()
+        if len(cuts) != len(line):  # a letter that lower-cases to more than letters
+            rest.extend(line)
+            continue
+        data, a = ids.tobytes(), 0
+        for i, b in zip(line, cuts, strict=True):
+            out[i], a = data[a:b], b
+    for i, ids in zip(rest, _encode_with(library, [parts[i] for i in rest]), strict=True):
+        out[i] = ids
+    return out
+
+
 def word_bpe(path: str) -> SplitEncoder:
-    """For a tokenizer whose pre-tokenizer drops white space: texts are cut at spaces and line feeds."""
+    """For a tokenizer that lower-cases texts and whose pre-tokenizer drops white space and parts letters from other characters:
+    texts are cut at spaces and line feeds, and between a letter and the punctuation at the end of a word.
+
+    A-Z are lower-cased beforehand, so that words at the start of sentences are the same parts as elsewhere; a text that may
+    hold a special token, which is matched as it stands, is left whole.
+    """
     library = _library(path)
-    table = PartTable(lambda parts: _encode_with(library, parts))
-    return SplitEncoder(table, lambda t: pc.split_pattern(pc.replace_substring(t, "\n", " "), " "), None, lambda t: np.frombuffer(_encode_with(library, [t])[0], "<i4"))
+    suffix = library.model.end_of_word_suffix
+    ends = np.zeros(library.get_vocab_size(), dtype=bool)
+    ends[[i for token, i in library.get_vocab().items() if token.endswith(suffix)]] = True
+
+    def lists(texts: pa.Array) -> pa.ListArray:
+        plain = pc.ascii_lower(pc.replace_substring(texts, "\n", " "))
+        return pc.split_pattern(pc.replace_substring_regex(plain, "([a-z])([.,!?;:]+) ", "\\1 \\2 "), " ")
+
+    return SplitEncoder(PartTable(lambda parts: _encode_words(library, ends, parts)), lists, lambda t: pc.match_substring(t, "<|"), lambda t: np.frombuffer(_encode_with(library, [t])[0], "<i4"))
 
 
 def byte_bpe(path: str) -> SplitEncoder:
