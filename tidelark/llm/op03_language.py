@@ -14,6 +14,7 @@ is `und`; repeated rows give repeated results, other columns are ignored, and an
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from tidelark.llm.shared import documents, small_batches
 
 LEVEL, DICT_BYTES, SAMPLE_DOCS, EXCERPT_CHARS, MAX_LANGUAGES = 9, 250_000, 400, 2_000, 200
+#: Texts up to this size are compressed again on a tie.
+SHORT_BYTES, WIDE_CHARS, WIDE_LEVEL = 256, 60_000, 15
 #: Below this share of the runner-up's size a lead is narrow.
 MIN_MARGIN = 0.002
 _LETTER = re.compile(r"[^\W\d_]")
@@ -60,13 +63,26 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, excerpt_chars: int = EX
     return {r.lang: b"".join(texts.get(r.lang, []))[:dict_bytes] for r in counts}
 
 
+def _compressors(dictionaries: dict[str, bytes], level: int) -> dict[str, zstandard.ZstdCompressor]:
+    out = {}
+    for lang, raw in dictionaries.items():
+        words = zstandard.ZstdCompressionDict(raw if len(raw) >= 8 else raw.ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        words.precompute_compress(level=level)
+        out[lang] = zstandard.ZstdCompressor(dict_data=words, level=level, write_content_size=False, write_checksum=False, write_dict_id=False)
+    return out
+
+
 class Classifier:
+    """Short texts hold few matches of four bytes, so their sizes may be equal: those are compressed again with four bytes a
+    character, where a match of two characters already pays."""
+
     def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL):
-        self.compressors = {}
-        for lang, raw in dictionaries.items():
-            words = zstandard.ZstdCompressionDict(raw if len(raw) >= 8 else raw.ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            words.precompute_compress(level=level)
-            self.compressors[lang] = zstandard.ZstdCompressor(dict_data=words, level=level, write_content_size=False, write_checksum=False, write_dict_id=False)
+        self.compressors = _compressors(dictionaries, level)
+        self._dictionaries = dictionaries
+
+    @functools.cached_property
+    def wide(self) -> dict[str, zstandard.ZstdCompressor]:
+        return _compressors({k: v.decode("utf-8", "ignore")[:WIDE_CHARS].encode("utf-32-le") for k, v in self._dictionaries.items()}, WIDE_LEVEL)
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, margin); the margin is the lead over the runner-up as a share of the runner-up's size."""
@@ -74,6 +90,9 @@ class Classifier:
             return "und", 0.0, 0.0
         data = plain(text)
         sizes = [len(c.compress(data)) for c in self.compressors.values()]
+        if len(data) <= SHORT_BYTES and sizes.count(min(sizes)) > 1:
+            data = data.decode("utf-8", "replace").encode("utf-32-le")
+            sizes = [len(c.compress(data)) for c in self.wide.values()]
         best = min(sizes)
         lang = list(self.compressors)[sizes.index(best)]
         rest = sorted(sizes)[1:2]
