@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Parts that a worker remembers: two generations of so many.
-MEMO_PARTS, LONGEST_PART = 300_000, 64
+MEMO_PARTS, LONGEST_PART = 200_000, 64
 #: Words that are encoded as one line.
 LINE_PARTS = 256
 #: Text bytes that are handled at a time.

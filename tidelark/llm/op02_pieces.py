@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sentencepiece import sentencepiece_model_pb2
 
 from tidelark.llm.chunks import PartTable, SplitEncoder
-from tidelark.llm.shared import documents, small_batches, text_or_empty
+from tidelark.llm.shared import documents, small_batches, text_or_empty, tidy
 
 MARK = "▁"
 #: Pairs that a worker remembers at most.
@@ -158,7 +158,7 @@ def encode_documents(docs: DataFrame, model_path: str, keep_ids: bool = False, k
                 columns, names = [*columns, pa.array(decoded, pa.string())], [*names, "decoded"]
             yield pa.record_batch(columns, names=names)
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(tidy(run), schema)
 
 
 def model_path() -> str:

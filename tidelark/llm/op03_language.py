@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelark.llm.shared import documents, small_batches
+from tidelark.llm.shared import documents, small_batches, tidy
 
 LEVEL, DICT_BYTES, SAMPLE_DOCS, EXCERPT_CHARS, MAX_LANGUAGES = 9, 250_000, 400, 2_000, 200
 #: Texts up to this size are compressed again on a tie.
@@ -111,7 +111,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
             lang, score, margin = zip(*found, strict=True) if found else ((), (), ())
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array([x < min_margin for x in margin], pa.bool_())], names=["doc_id", "held_out", "lang_pred", "score", "margin", "rejected"])
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, margin double, rejected boolean")
+    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double, margin double, rejected boolean")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -128,7 +128,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
             columns = [pa.array([x[0] for x in found], pa.string()) if i == lang_at else c for i, c in enumerate(batch.columns)]
             yield pa.record_batch(columns, names=names).filter(pa.array([x[2] >= MIN_MARGIN for x in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidelark.llm.chunks import word_bpe
-from tidelark.llm.shared import documents, new_path, small_batches, text_or_empty
+from tidelark.llm.shared import documents, new_path, small_batches, text_or_empty, tidy
 
 BLOCK_IDS = 1 << 16
 BLOCK_SCHEMA = "shard int, block int, start long, n_ids long, width int, doc_ids array<long>, offsets array<long>, payload binary"
@@ -85,7 +85,7 @@ def write_packed(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, s
             yield full()
 
     ordered = docs.select("doc_id", text_or_empty().alias("text")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, BLOCK_SCHEMA).write.parquet(path)
+    ordered.mapInArrow(tidy(run), BLOCK_SCHEMA).write.parquet(path)
 
 
 def shard_starts(blocks: DataFrame) -> dict[int, int]:
@@ -116,7 +116,7 @@ def read_packed(spark: SparkSession, path: str, keep_ids: bool = False) -> DataF
                 yield pa.record_batch(columns, names=names)
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-    return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * keep_ids)
+    return blocks.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * keep_ids)
 
 
 def ids_between(spark: SparkSession, path: str, start: int, stop: int) -> np.ndarray:

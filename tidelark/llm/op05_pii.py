@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelark.llm.shared import documents, small_batches, text_or_empty
+from tidelark.llm.shared import documents, small_batches, text_or_empty, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 6
@@ -295,7 +295,7 @@ def find_personal_data(docs: DataFrame, model: SemiMarkov | None = None) -> Data
             columns = [pa.array([c[i] for c in counts], pa.int64()) for i in range(4)]
             yield pa.record_batch([batch.column(0), *columns, pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(tidy(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelark.llm.chunks import SplitEncoder, byte_bpe
-from tidelark.llm.shared import cut, documents, new_path, small_batches, text_or_empty
+from tidelark.llm.shared import cut, documents, new_path, small_batches, text_or_empty, tidy
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 LIMIT = 512
@@ -62,7 +62,7 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str, make: Ca
     known = read_cache(spark, cache_path).where(F.col("tokenizer") == version).select("digest", "n_tokens")
     distinct = texts.groupBy("digest").agg(F.first("text").alias("text"))
     misses = distinct.join(known.select("digest"), "digest", "left_anti")
-    counted = misses.mapInArrow(_counter(tokenizer_path, make), "digest binary, n_tokens long")
+    counted = misses.mapInArrow(tidy(_counter(tokenizer_path, make)), "digest binary, n_tokens long")
     counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
     counts = read_cache(spark, cache_path).where(F.col("tokenizer") == version).select("digest", "n_tokens")
     return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelark.llm.shared import cut, documents
+from tidelark.llm.shared import cut, documents, only_ids
 
 #: Documents in a digest range of a leaf, and ranges of a leaf at most.
 RANGE_DOCS, MAX_RANGES = 2_000, 65_536
@@ -103,8 +103,8 @@ def with_domain(docs: DataFrame) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents chosen for a budget of 80 % of the tokens, each once."""
-    chosen = cut(mix(with_domain(docs), percent=80, max_epochs=1).select(F.col("doc_id").alias("_chosen")).distinct(), "chosen")
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_chosen")), "left_semi").select(*docs.columns)
+    chosen = cut(mix(with_domain(docs), percent=80, max_epochs=1).select("doc_id").distinct(), "chosen")
+    return only_ids(docs, chosen)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelark.llm.shared import cut, documents, small_batches
+from tidelark.llm.shared import cut, documents, one_row_each, only_ids, small_batches, tidy
 
 #: Text bytes hashed at a time; a longer word makes a longer piece.
 PIECE_BYTES = 1 << 21
@@ -222,7 +222,7 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     of each, in any order that all sets agree on.  The rarest first: shingles that only one member has need no row at all.
     """
     members = cut(members, "open-sets")
-    tokens = sets.join(members.select(F.col("x").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "hashes").mapInArrow(_tokens, "x long, h long")
+    tokens = sets.join(members.select(F.col("x").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "hashes").mapInArrow(tidy(_tokens), "x long, h long")
     tokens = cut(tokens, "tokens")
     shared = cut(tokens.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "shared-tokens")
     placed = tokens.join(shared, "h").withColumn("i", F.row_number().over(Window.partitionBy("x").orderBy("c", "h"))).withColumn("k", F.count("*").over(Window.partitionBy("x")))
@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
     small_batches(spark)
     bands = bands_for(percent / 100, rows, miss)
     texts = docs.select("doc_id", "text")
-    base = cut(texts.mapInArrow(_sketch(shingle, rows, bands), "doc_id long, n_shingles long, digest binary, keys array<long>"), "sketch")
+    base = cut(texts.mapInArrow(tidy(_sketch(shingle, rows, bands)), "doc_id long, n_shingles long, digest binary, keys array<long>"), "sketch")
 
     # Equal sets form a class, which its smallest doc_id stands for.
     classes = cut(base.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id")), "classes")
@@ -253,12 +253,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
 
     # Sets are needed for documents that share a bucket only.
     wanted = cut(members.select(F.col("x").alias("doc_id")).distinct(), "wanted")
-    sets = cut(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets_of(shingle), "doc_id long, hashes binary"), "sets")
+    sets = cut(one_row_each(only_ids(texts, wanted)).mapInArrow(tidy(_sets_of(shingle)), "doc_id long, hashes binary"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("doc_id").alias("u"), F.col("hashes").alias("hu"))
         right = sets.select(F.col("doc_id").alias("v"), F.col("hashes").alias("hv"))
-        return pairs.join(left, "u").join(right, "v").select("u", "v", "hu", "hv").mapInArrow(_confirm(percent), "u long, v long")
+        return pairs.join(left, "u").join(right, "v").select("u", "v", "hu", "hv").mapInArrow(tidy(_confirm(percent)), "u long, v long")
 
     def sizes_fit(a: str, b: str):
         return F.least(a, b) * 100 >= F.greatest(a, b) * percent
@@ -297,7 +297,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the document with the smallest doc_id of each group of near copies stays."""
     kept = cut(near_duplicates(docs).where("kept").select("doc_id").distinct(), "kept")
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    named = one_row_each(only_ids(docs.where(F.col("doc_id").isNotNull()), kept))
     return named.unionByName(docs.where(F.col("doc_id").isNull()))
 
 

@@ -50,6 +50,11 @@ def masks(width: int, radius: int) -> list[int]:
     return [reduce(add, (1 << b for b in bits), 0) for bits in combinations(range(width), radius)]
 
 
+def constant_array(values: list[int]) -> Column:
+    """An array that the optimizer folds to one constant instead of an expression for each value."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = TOP, bits: int = 64) -> DataFrame:
     """query_id, rank, vec_id, distance: the k vectors of (vec_id, embedding) closest to each of the queries (vec_id, embedding)."""
     spark = vectors.sparkSession
@@ -66,8 +71,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = TOP, bits: int = 64)
     finished = []
     for radius in range(width + 1):
         probe = open_queries.select("q", F.posexplode(F.array(*segments("q", m, width))).alias("j", "s"))
-        probe = probe.withColumn("mask", F.explode(F.array(*[F.lit(x) for x in masks(width, radius)])))
-        found = probe.select("q", "j", F.col("s").bitwiseXOR(F.col("mask")).alias("value")).join(parts, ["j", "value"])
+        probe = probe.withColumn("mask", F.explode(constant_array(masks(width, radius))))
+        # Spark's estimate of the exploded side is that of the queries: without the hint it would be broadcast.
+        found = probe.select("q", "j", F.col("s").bitwiseXOR(F.col("mask")).alias("value")).hint("merge").join(parts, ["j", "value"])
         apart = [F.bit_count(segment(F.col("q").bitwiseXOR(F.col("code")), i, width)) for i in range(m)]
         first = reduce(lambda a, b: a & b, [F.when(F.col("j") > i, apart[i] > radius).otherwise(apart[i] >= radius) for i in range(m)])
         found = found.where(first).select("q", "code", "ids", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance"))

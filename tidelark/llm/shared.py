@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes in one Arrow batch of texts at most.
-TEXT_BATCH_ROWS, TEXT_BATCH_BYTES = 4096, 8 << 20
+#: Ids that are broadcast at most, 8 MB; rows and bytes in one Arrow batch of texts at most.
+BROADCAST_IDS = 1_000_000
+TEXT_BATCH_ROWS, TEXT_BATCH_BYTES = 4096, 4 << 20
 
 
 @functools.cache
@@ -36,6 +42,39 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def only_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """Rows whose `column` is in the written table `ids` of one column, a null being equal to a null.
+
+    Up to BROADCAST_IDS ids (counted) are broadcast, so that texts aren't shuffled; beyond that both sides are.
+    """
+    ids = ids.select(F.col(ids.columns[0]).alias("_id"))
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return rows.join(ids, F.col(column).eqNullSafe(F.col("_id")), "left_semi")
+
+
+def one_row_each(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row of each key; only rows of keys that repeat are shuffled.  Rows with a null key count as one key."""
+    again = cut(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key), "repeated")
+    if again.isEmpty():
+        return rows
+    again = again.select(F.col(key).alias("_id"))
+    same = F.col(key).eqNullSafe(F.col("_id"))
+    return rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates([key]))
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task that gives its memory back to the system at its end: Python workers wait for the next one without it."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the memory of Python workers that are sent whole texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
