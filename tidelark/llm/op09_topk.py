@@ -1,9 +1,10 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A vector's code has one bit for each dimension, set where the value is not negative.  Codes are cut into m segments of some
-log2(n) bits, so a segment value holds about one code; the index has a row for each code and segment.  A search looks up, for
-every segment, the values at Hamming distance 0, 1, 2, ... from the query's.  After radius r a code at distance m * (r + 1) - 1
-or less must have been found, so a query is finished as soon as its kth verified distance is no larger; only open queries go on.
+A vector's code has one bit for each dimension, set where the value is not negative.  Codes are cut into m segments of equal
+width, some log2(n) bits, so a segment value holds about one code; the index has a row for each code and segment.  A search
+looks up, for every segment, the values at Hamming distance 0, 1, 2, ... from the query's.  With radius r looked up in a
+segments and radius r - 1 in the others, a code at distance m * r + a - 1 or less must have been found, so a query is finished
+as soon as its kth verified distance is no larger.  Open queries go on, each only in as many segments as its kth distance needs.
 
 Equal codes are one entry with its k smallest ids (no answer needs more), so a vector that a third of the rows share is one
 row of the index, and equal queries are searched once.  A code is taken up at its closest segment only, which removes
@@ -62,15 +63,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = TOP, bits: int = 64)
     index = cut(ranked.where(F.col("rank") <= k).groupBy("code").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "codes")
     n = index.count()
     asked = cut(codes_of(queries, bits).distinct().select(F.col("vec_id").alias("query_id"), F.col("code").alias("q")), "queries")
-    width = min(bits, max(4, round(math.log2(max(n, 1)))))
+    width = -(-bits // max(1, round(bits / max(4, math.log2(max(n, 1))))))
     m = -(-bits // width)
     parts = cut(index.select("code", "ids", F.posexplode(F.array(*segments("code", m, width))).alias("j", "value")), "segments")
 
-    open_queries = cut(asked.select("q").distinct(), "open")
+    open_queries = cut(asked.select("q").distinct().withColumn("need", F.lit(m)), "open")
     best = spark.createDataFrame([], "q long, code long, ids array<long>, distance int")
     finished = []
     for radius in range(width + 1):
-        probe = open_queries.select("q", F.posexplode(F.array(*segments("q", m, width))).alias("j", "s"))
+        probe = open_queries.select("q", "need", F.posexplode(F.array(*segments("q", m, width))).alias("j", "s")).where("j < need")
         probe = probe.withColumn("mask", F.explode(constant_array(masks(width, radius))))
         # Spark's estimate of the exploded side is that of the queries: without the hint it would be broadcast.
         found = probe.select("q", "j", F.col("s").bitwiseXOR(F.col("mask")).alias("value")).hint("merge").join(parts, ["j", "value"])
@@ -81,12 +82,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = TOP, bits: int = 64)
         best = cut(best.unionByName(found).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r"), "best")
         taken = F.least(F.lit(k), F.sum(F.size("ids")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
         reached = best.withColumn("n", taken).groupBy("q").agg(F.max("n").alias("n"), F.min(F.when(F.col("n") >= k, F.col("distance"))).alias("kth"))
-        done = cut(reached.where((F.col("kth") <= m * (radius + 1) - 1) | F.lit(radius == width)).select("q"), "done")
-        finished.append(best.join(done, "q", "left_semi"))
-        open_queries = cut(open_queries.join(done, "q", "left_anti"), "open")
+        state = cut(open_queries.join(reached.select("q", "kth"), "q", "left"), "state")
+        done = F.coalesce(F.col("kth") <= F.col("need") + (m * radius - 1), F.lit(False)) | F.lit(radius == width)
+        finished.append(best.join(state.where(done), "q", "left_semi"))
+        need = F.coalesce(F.least(F.lit(m), F.col("kth") - (m * (radius + 1) - 1)), F.lit(m))
+        open_queries = cut(state.where(~done).select("q", need.alias("need")), "open")
         if open_queries.isEmpty():
             break
-        best = best.join(done, "q", "left_anti")
+        best = best.join(open_queries, "q", "left_semi")
 
     answers = reduce(DataFrame.unionByName, finished).select("q", "distance", F.explode("ids").alias("vec_id"))
     answers = cut(answers.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "vec_id"))).where(F.col("rank") <= k), "answers")
