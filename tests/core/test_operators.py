@@ -2,6 +2,7 @@
 
 import datetime
 import io
+import random
 import zipfile
 
 import pytest
@@ -107,6 +108,40 @@ def test_closure_on_a_diamond_with_a_cycle(spark):
     assert {tuple(r) for r in graphs.reachable(edges, seeds).collect()} == {("m", 2), ("m", 4), ("d", 1), ("d", 2), ("d", 3), ("d", 4)}
 
 
+def test_reachable_on_long_chains(spark):
+    # A round of one step each stopped at 1,000 rounds.
+    n = 1500
+    chain = spark.range(1, n).select(F.col("id").alias("src"), (F.col("id") - 1).alias("dst"))
+    side = spark.createDataFrame([(700, 5000), (5000, 5001), (5001, 3), (6000, 5001), (5001, 5000)], "src long, dst long")
+    seeds = spark.createDataFrame([("m", n - 1), ("d", 699), ("x", 6000), ("y", 9)], "seed string, node long")
+    got = {(r.seed, r.node) for r in graphs.reachable(chain.union(side), seeds).collect()}
+    expected = {("m", i) for i in [*range(n), 5000, 5001]} | {("d", i) for i in range(700)} | {("x", i) for i in [6000, 5000, 5001, 3, 2, 1, 0]} | {("y", i) for i in range(10)}
+    assert got == expected
+    assert graphs.reachable(chain, seeds.limit(0)).count() == 0
+
+
+def test_reachable_equals_a_search(spark):
+    r = random.Random(4)
+    edges = list({(r.randrange(40), r.randrange(40), r.random() < 0.5) for _ in range(55)})
+    seeds = [("a", 1), ("a", 17), ("b", 30)]
+    expected, todo = set(seeds), list(seeds)
+    while todo:
+        seed, node = todo.pop()
+        more = {(seed, d) for s, d, _ in edges if s == node} - expected
+        expected |= more
+        todo += more
+    found = graphs.reachable(spark.createDataFrame(edges, "src long, dst long, first boolean"), spark.createDataFrame(seeds, "seed string, node long"))
+    assert sorted(tuple(x) for x in found.collect()) == sorted(expected)
+
+
+def test_reduced_documents_of_any_length(spark):
+    # 4 * 2^13 words, halved 13 times; the cap was 12 rounds.
+    docs = spark.createDataFrame([(1, " ".join(["w"] * (4 << 13))), (2, "a b c")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in symbols.reduced(docs, symbols._half, 4).collect()} == {1: "w w", 2: "a c"}
+    with pytest.raises(RuntimeError):
+        symbols.reduced(docs.where("doc_id = 1"), lambda c: c, 4096, 2)
+
+
 def test_folded_sizes_clamp(spark):
     deltas = [10, -30, 5, -2, -9, 7]
     size, expected = 0, []

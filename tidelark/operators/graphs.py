@@ -1,7 +1,7 @@
 """Commit graphs, file trees and symbol graphs.
 
 Closures double their reach in each round, so a chain of length n takes log2(n) rounds; each round is written to the shared
-folder.  Reachability from given seeds follows a frontier instead, which never holds more than the answer.
+folder.  Reachability from given seeds follows a frontier instead, along chains by jumps that double.
 """
 
 from __future__ import annotations
@@ -30,17 +30,34 @@ def closure(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError("the closure did not settle")
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1_000) -> DataFrame:
-    """(seed, node) of the nodes that can be reached from each seed (seed, node), itself included."""
-    known = cut(seeds.select("seed", "node").distinct(), "reached")
-    front = known
-    for _ in range(max_rounds):
-        step = front.join(edges.withColumnRenamed("src", "node"), "node").select("seed", F.col("dst").alias("node")).distinct()
+def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed, node) of the nodes that can be reached from each seed (seed, node), itself included.
+
+    Each node's first parent (of edges (src, dst, first); the least dst where no edge is marked) makes a chain, whose jumps of
+    2^k steps take a chain of length n in log2(n) rounds.  The other edges are followed from the new nodes of a turn, until a
+    turn has none; that always comes, since only nodes that weren't known go on.
+    """
+    edges = edges if "first" in edges.columns else edges.withColumn("first", F.lit(False))
+    jumps = [cut(edges.groupBy("src").agg(F.coalesce(F.min(F.when(F.col("first"), F.col("dst"))), F.min("dst")).alias("dst")), "jumps")]
+    others = edges.select("src", "dst").join(jumps[0], ["src", "dst"], "left_anti").select(F.col("src").alias("node"), "dst")
+    others = cut(others, "others")
+    known, front = None, cut(seeds.select("seed", "node").distinct(), "front")
+    while not front.isEmpty():
+        new, k = front, 0
+        while True:
+            if k == len(jumps):
+                jumps.append(cut(jumps[-1].select("src", F.col("dst").alias("mid")).join(jumps[-1].select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst"), "jumps"))
+            step = new.join(jumps[k].withColumnRenamed("src", "node"), "node").select("seed", F.col("dst").alias("node")).distinct()
+            step = step.join(new, ["seed", "node"], "left_anti")
+            # What is known has its whole chain known, so a chain that meets it ends there.
+            step = cut(step if known is None else step.join(known, ["seed", "node"], "left_anti"), "step")
+            if step.isEmpty():
+                break
+            new, k = cut(new.unionByName(step), "new"), k + 1
+        known = new if known is None else cut(known.unionByName(new), "reached")
+        step = new.join(others, "node").select("seed", F.col("dst").alias("node")).distinct()
         front = cut(step.join(known, ["seed", "node"], "left_anti"), "front")
-        if front.isEmpty():
-            return known
-        known = cut(known.unionByName(front), "reached")
-    raise RuntimeError("reachability did not settle")
+    return known if known is not None else front
 
 
 def components_with_reach(edges: DataFrame) -> DataFrame:
@@ -113,8 +130,8 @@ def _chain(s: SparkSession, d: str) -> DataFrame:
 
 def _edges(s: SparkSession, d: str) -> DataFrame:
     c = _chain(s, d)
-    first = c.where("p1 IS NOT NULL").select(F.col("o_orderkey").alias("src"), F.col("p1").alias("dst"))
-    return cut(first.unionByName(c.where("p3 IS NOT NULL AND n % 10 = 0").select(F.col("o_orderkey").alias("src"), F.col("p3").alias("dst"))), "edges")
+    first = c.where("p1 IS NOT NULL").select(F.col("o_orderkey").alias("src"), F.col("p1").alias("dst"), F.lit(True).alias("first"))
+    return cut(first.unionByName(c.where("p3 IS NOT NULL AND n % 10 = 0").select(F.col("o_orderkey").alias("src"), F.col("p3").alias("dst"), F.lit(False).alias("first"))), "edges")
 
 
 def _heads(s: SparkSession, d: str) -> DataFrame:

@@ -75,17 +75,23 @@ def changed_bytes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def reduced(docs: DataFrame, describe: Callable[[Column], Column], chunk_tokens: int = 512, max_rounds: int = 12) -> DataFrame:
-    """One description of each document (doc_id, text): chunks are described and joined until a document is one chunk."""
+    """One description of each document (doc_id, text): chunks are described and joined until a document is one chunk.
+
+    Goes on as long as the open documents together get shorter; `max_rounds` rounds on end without that raise.
+    """
     done, rest = None, docs.select("doc_id", "text")
-    for _ in range(max_rounds):
+    least, stuck = None, 0
+    while stuck < max_rounds:
         parts = cut(chunks(rest, chunk_tokens, 0).select("doc_id", "chunk_number", describe(F.col("text")).alias("text")), "described")
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_number", "text"))), lambda s: s["text"]), " ")
         joined = cut(parts.groupBy("doc_id").agg(F.count("*").alias("n"), joined.alias("text")), "joined")
         ready = joined.where("n = 1").select("doc_id", "text")
         done = ready if done is None else done.unionByName(ready)
         rest = joined.where("n > 1").select("doc_id", "text")
-        if rest.isEmpty():
+        n, size = rest.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+        if n == 0:
             return done
+        least, stuck = (size, 0) if least is None or size < least else (least, stuck + 1)
     raise RuntimeError("descriptions don't get shorter")
 
 
