@@ -251,6 +251,33 @@ def test_streams_equal_batches(spark, tmp_path):
     assert once.count() == batch.count()
 
 
+@pytest.mark.parametrize("times_kept", [True, False])
+def test_streams_of_many_files_lose_nothing(spark, tmp_path, monkeypatch, times_kept):
+    # Each batch was some file of the table, so that later ones were behind the watermark or the last event let through.
+    table = spark.read.parquet(f"{DATA}/events.parquet")
+    table.repartition(12).write.parquet(str(tmp_path / "events.parquet"))
+    read = events.read_stream
+    monkeypatch.setattr(events, "read_stream", lambda s, path, files_per_batch: read(s, path, files_per_batch=1 if files_per_batch == 100 else files_per_batch))
+    if not times_kept:
+        found = events.in_order
+        monkeypatch.setattr(events, "in_order", lambda *a: (found(*a)[0], False))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        once = sorted(tuple(r) for r in events.QUERIES["st9_dedup_stream"](spark, str(tmp_path)).collect())
+        let_through = sorted((r.user_id, r.event_id) for r in events.QUERIES["st12_throttle_stream"](spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert once == sorted(tuple(r) for r in table.select("event_id", "event_type").collect())
+    expected, last = [], {}
+    for u, e, t in sorted((tuple(r) for r in table.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp"))).collect()), key=lambda r: (r[2], r[1])):
+        if u not in last or t - last[u] >= 3_600_000_000:
+            expected.append((u, e))
+            last[u] = t
+    assert let_through == sorted(expected)
+
+
 def test_late_events_never_overwrite(spark, tmp_path):
     schema = spark.createDataFrame([], "user_id long, event_id long, ts timestamp, event_type string").schema
     t = lambda h: datetime.datetime(2024, 1, 1, h)

@@ -110,11 +110,30 @@ def result_of(stream: DataFrame, name: str, checkpoint: str, mode: str) -> DataF
     return spark.read.schema(stream.schema).parquet(path)
 
 
+def in_order(batch: DataFrame, by: str) -> tuple[str, bool]:
+    """Write rows so that a file stream reads them in order of `by`: (path, whether the store kept the order).
+
+    A file stream takes files by modification time, so each file of the range gets a time of its own.
+    """
+    spark, path = batch.sparkSession, new_path(batch.sparkSession, "in-order")
+    batch.repartitionByRange(by).sortWithinPartitions(by).write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    listed = lambda: [x for x in fs.listStatus(folder) if x.getPath().getName().startswith("part-")]
+    files = sorted(listed(), key=lambda x: int(x.getPath().getName().split("-")[1]))
+    first = max((x.getModificationTime() for x in files), default=0) - 1000 * len(files)
+    for i, x in enumerate(files):
+        fs.setTimes(x.getPath(), first + 1000 * i, -1)
+    kept = {x.getPath().getName(): x.getModificationTime() for x in listed()}
+    times = [kept[x.getPath().getName()] for x in files]
+    return path, all(a < b for a, b in zip(times, times[1:], strict=False))
+
+
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    """The events table as a stream of its own files' rows."""
+    """The events table as a stream of its own rows in order of ts; all in one batch where the store can't keep an order."""
     batch = spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    path = cut(batch.select("event_id", "ts", "user_id", "event_type", "value", "props"), "events").inputFiles()[0].rsplit("/", 1)[0]
-    return read_stream(spark, path, files_per_batch=100)
+    path, ordered = in_order(batch.select("event_id", "ts", "user_id", "event_type", "value", "props"), "ts")
+    return read_stream(spark, path, files_per_batch=100 if ordered else 2**31 - 1)
 
 
 def _run(spark: SparkSession, stream: DataFrame, name: str, mode: str) -> DataFrame:
