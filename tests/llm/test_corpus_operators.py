@@ -41,6 +41,15 @@ def test_line_dedup(spark, broadcast_lines):
     assert (x[200].n_lines, x[200].n_dropped, x[201].n_lines, x[202].text) == (0, 0, 1, "footer")
 
 
+@pytest.mark.parametrize("broadcast_lines", [10_000, 0])
+def test_line_dedup_of_pages_without_doc_id(spark, broadcast_lines):
+    # A join by doc_id alone found no drops for them.
+    rows = [(None if i % 3 == 0 else i // 2, f"footer\nown {i}", "en", "ab"[i % 2]) for i in range(60)] + [(None, "footer\nown 0", "en", "tiny")]
+    pages = frame(spark, rows).drop("host").selectExpr("*", "coalesce(source, '') AS host")
+    got = op01_line_dedup.clean_lines(pages, 0.3, 20, 3, broadcast_lines).collect()
+    assert sorted(x.text for x in got) == sorted([f"own {i}" for i in range(60)] + ["footer\nown 0"])
+
+
 def test_line_stage_keeps_other_columns(spark):
     docs = frame(spark, [(i, f"footer\nown {i}", "en", "a") for i in range(40)])
     out = op01_line_dedup.lines_stage(spark, docs, "")

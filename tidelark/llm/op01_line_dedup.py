@@ -6,7 +6,7 @@ A line's frequency on a host is the number of the host's pages that hold it divi
 Only 16-byte digests of the lines are shuffled, counted once for a page and pre-aggregated before the shuffle.  A host can
 have no more boilerplate lines than its mean lines a page divided by the ratio.  If all hosts' digests together are few
 (checked), they are broadcast as one array for each host and texts are never shuffled; else the digests are joined to the
-pages' lines by (host, digest) and the drops brought back by doc_id.
+pages' lines by (host, digest) and the drops brought back by a hash of doc_id, or of the text where that is null.
 
 Defined cases: a null text stays null; a null host is a host of its own; blank lines are never counted or dropped; lines are
 compared without surrounding spaces, tabs and carriage returns; hosts with fewer than `min_pages` pages are left as they
@@ -48,10 +48,12 @@ def clean_lines(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
         drops = F.broadcast(found.groupBy("host").agg(F.collect_set("digest").alias("_drops")))
         with_drops = pages.join(drops.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"), "left").drop("_host")
     else:
-        lines = pages.select("doc_id", "host", F.explode(F.array_distinct(_digests(F.col("text")))).alias("digest"))
-        drops = lines.join(found, ["host", "digest"]).groupBy("doc_id", "host").agg(F.collect_set("digest").alias("_drops"))
-        drops = drops.select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), "_drops")
-        with_drops = pages.join(drops, (F.col("doc_id") == F.col("_id")) & (F.col("host") == F.col("_host")), "left").drop("_id", "_host")
+        # Pages are brought together by a hash that is never null; pages that share one only get more of their own host's digests.
+        named = pages.withColumn("_page", F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))))
+        lines = named.select("_page", "host", F.explode(F.array_distinct(_digests(F.col("text")))).alias("digest"))
+        drops = lines.join(found, ["host", "digest"]).groupBy("_page", "host").agg(F.collect_set("digest").alias("_drops"))
+        drops = drops.select(F.col("_page").alias("_id"), F.col("host").alias("_host"), "_drops")
+        with_drops = named.join(drops, (F.col("_page") == F.col("_id")) & (F.col("host") == F.col("_host")), "left").drop("_page", "_id", "_host")
     line = F.split("text", "\n", -1)
     kept = F.filter(line, lambda x: ~F.array_contains("_drops", F.unhex(F.md5(F.trim(x, F.lit(_BLANKS))))))
     out = with_drops.withColumn("n_lines", F.coalesce(F.size(line), F.lit(0)).cast("long")).withColumn("_kept", F.when(F.col("_drops").isNull(), line).otherwise(kept))
