@@ -108,6 +108,19 @@ def test_closure_on_a_diamond_with_a_cycle(spark):
     assert {tuple(r) for r in graphs.reachable(edges, seeds).collect()} == {("m", 2), ("m", 4), ("d", 1), ("d", 2), ("d", 3), ("d", 4)}
 
 
+def test_approximate_neighbours(spark):
+    # Recall of the default was 0.1, and fewer than k rows came back.
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding").cache()
+    recall = []
+    for query in vectors.where("vec_id % 50 = 0").collect():
+        found, exact = ({r.vec_id for r in f(vectors, [float(x) for x in query.embedding], 10).collect()} for f in (search.lsh_candidates, search.nearest))
+        recall.append(len(found & exact) / 10)
+    vectors.unpersist()
+    assert len(recall) == 10 and sum(recall) / 10 >= 0.9
+    few = spark.createDataFrame([(i, [-1.0] * 64) for i in range(5)], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in search.lsh_candidates(few, [1.0] * 64, 3).collect()] == [0, 1, 2]
+
+
 def test_reachable_on_long_chains(spark):
     # A round of one step each stopped at 1,000 rounds.
     n = 1500
