@@ -4,6 +4,7 @@ import datetime
 import io
 import random
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +109,19 @@ def test_closure_on_a_diamond_with_a_cycle(spark):
     assert {tuple(r) for r in graphs.reachable(edges, seeds).collect()} == {("m", 2), ("m", 4), ("d", 1), ("d", 2), ("d", 3), ("d", 4)}
 
 
+def test_topological_numbers_within_ranges(spark):
+    # All paths of a root were numbered by one task.
+    paths = [f"a/d{i % 7}/f{i}" for i in range(400)] + [f"a/d{i}" for i in range(7)] + ["a", "b", "b/c"]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = graphs.topological(spark.createDataFrame([(p,) for p in paths], "path string")).withColumn("task", F.spark_partition_id()).collect()
+        got, tasks = {r.path: r.position for r in found}, Counter(r.task for r in found)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    expected = {p: i + 1 for root in "ab" for i, p in enumerate(sorted((p for p in paths if p[0] == root), key=lambda p: (-p.count("/"), p)))}
+    assert got == expected and max(tasks.values()) < 400
+
+
 def test_approximate_neighbours(spark):
     # Recall of the default was 0.1, and fewer than k rows came back.
     vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding").cache()

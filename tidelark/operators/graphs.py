@@ -106,8 +106,17 @@ def merkle(files: DataFrame) -> DataFrame:
 
 
 def topological(files: DataFrame) -> DataFrame:
-    """Positions of paths so that children come before their parents."""
-    return files.select("path", C.depth("path").alias("depth")).withColumn("position", F.row_number().over(Window.partitionBy(F.split("path", "/")[0]).orderBy(F.desc("depth"), "path")))
+    """Positions of paths so that children come before their parents, for each first segment.
+
+    Numbered within ranges of the order, after the counts of the ranges before: a root of any size is dealt over many tasks.
+    """
+    x = files.select("path", C.depth("path").alias("depth"), F.split("path", "/")[0].alias("_root"))
+    x = cut(x.repartitionByRange("_root", F.desc("depth"), "path").withColumn("_range", F.spark_partition_id()), "ranges")
+    w = Window.partitionBy("_root").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = x.groupBy("_root", "_range").agg(F.count("*").alias("_n")).select(F.col("_root").alias("_r"), F.col("_range").alias("_k"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    here = F.row_number().over(Window.partitionBy("_root", "_range").orderBy(F.desc("depth"), "path"))
+    x = x.withColumn("position", here).join(before, F.col("_root").eqNullSafe(F.col("_r")) & (F.col("_range") == F.col("_k")))
+    return x.select("path", "depth", (F.col("position") + F.col("_before")).cast("int").alias("position"))
 
 
 def link_uses(uses: DataFrame, definitions: DataFrame, visible: DataFrame) -> DataFrame:
