@@ -51,14 +51,17 @@ class PartTable:
                 self.young[parts[i]] = ids
         return found
 
+    def pool(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all parts one after the other, ids of each)."""
+        ids = self.lookup(parts.to_pylist())
+        return np.frombuffer(b"".join(ids), dtype="<i4"), np.array([len(x) // 4 for x in ids], dtype=np.int64)
 
-def ids_of_lists(lists: pa.ListArray, table: PartTable) -> list[np.ndarray]:
-    """The joined ids of each list of parts."""
+
+def ids_of_lists(lists: pa.ListArray, table) -> list[np.ndarray]:
+    """The joined ids of each list of parts; `table` has a `pool` as PartTable has."""
     numbered = lists.flatten().dictionary_encode()
-    ids = table.lookup(numbered.dictionary.to_pylist())
+    pool, sizes = table.pool(numbered.dictionary)
     index = numbered.indices.to_numpy()
-    sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-    pool = np.frombuffer(b"".join(ids), dtype="<i4")
     starts = np.cumsum(sizes) - sizes
     each = sizes[index]
     ends = np.cumsum(each)
@@ -68,12 +71,12 @@ def ids_of_lists(lists: pa.ListArray, table: PartTable) -> list[np.ndarray]:
     return [out[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _groups(texts: pa.Array):
+def _groups(texts: pa.Array, group_bytes: int):
     start, size = 0, 0
     lengths = pc.binary_length(texts).to_pylist()
     for i, n in enumerate(lengths):
         size += n
-        if size >= GROUP_BYTES or i + 1 == len(texts):
+        if size >= group_bytes or i + 1 == len(texts):
             yield texts.slice(start, i + 1 - start)
             start, size = i + 1, 0
 
@@ -81,13 +84,13 @@ def _groups(texts: pa.Array):
 class SplitEncoder:
     """Ids of texts; `lists` splits those that `whole` doesn't mark, `encode_text` takes the others."""
 
-    def __init__(self, table: PartTable, lists: Callable[[pa.Array], pa.ListArray], whole: Callable[[pa.Array], pa.Array] | None, encode_text: Callable[[str], np.ndarray]):
-        self.table, self.lists, self.whole, self.encode_text = table, lists, whole, encode_text
+    def __init__(self, table, lists: Callable[[pa.Array], pa.ListArray], whole: Callable[[pa.Array], pa.Array] | None, encode_text: Callable[[str], np.ndarray], group_bytes: int = GROUP_BYTES):
+        self.table, self.lists, self.whole, self.encode_text, self.group_bytes = table, lists, whole, encode_text, group_bytes
 
     def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text, none of them null."""
         out: list[np.ndarray] = []
-        for group in _groups(texts):
+        for group in _groups(texts, self.group_bytes):
             odd = self.whole(group).to_numpy(zero_copy_only=False) if self.whole else np.zeros(len(group), bool)
             ids: list = [None] * len(group)
             plain = np.flatnonzero(~odd)
