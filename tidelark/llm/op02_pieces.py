@@ -140,7 +140,9 @@ class PrefixTableEncoder:
             if last[end] < 0 <= before:
                 pair = before << 20 | token
                 if pair not in tested:
-                    tested[pair] = bool(self.pairs.lookup(np.array([pair]))[0])
+                    if len(tested) >= MEMO_PAIRS:
+                        tested.clear()
+                    tested[pair] = self.may_follow(before, token)
                 if tested[pair]:
                     last[end] = token
 
