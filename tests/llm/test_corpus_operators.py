@@ -233,10 +233,22 @@ def test_topk_equals_brute_force(spark):
         for x in op09_topk.search(df, df.where("vec_id % 25 = 0"), k=k).orderBy("query_id", "rank").collect():
             got[x.query_id].append((x.distance, x.vec_id))
         assert got == {q: sorted((int((bits[q] != b).sum()), i) for i, b in enumerate(bits))[:k] for q in range(0, len(bits), 25)}
+    # Repeated rows count once, a second code of an id is a vector of its own.
+    pair = df.where("vec_id IN (1, 2)").withColumn("vec_id", df.vec_id * 0 + 2)
+    again = op09_topk.search(df.unionByName(df.where("vec_id < 9")).unionByName(pair), pair, k=4).collect()
+    want = [(i, b) for i, b in enumerate(bits)] + [(2, bits[1])]
+    assert sorted((x.distance, x.vec_id) for x in again) == sorted(y for q in (1, 2) for y in sorted((int((bits[q] != b).sum()), i) for i, b in want)[:4])
     few = df.where("vec_id < 3")
     assert op09_topk.search(few, few, k=7).count() == 9 and op09_topk.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_segments_cost_least():
+    assert op09_topk.widths(64, 5) == [13, 13, 13, 13, 12]
+    # Looking up more segments is worth while for far neighbours among few codes, fewer for close ones among many.
+    counts = [op09_topk.segment_count(n, [d], 64) for n, d in ((1_000, 20), (50_000, 18), (10**7, 10), (10**9, 3))]
+    assert counts == sorted(counts, reverse=True) and counts[0] > counts[-1]
+
+
 # Fingerprints
 
 
