@@ -5,21 +5,23 @@ dictionary leaves the fewest bytes is predicted, and the prediction is rejected
 
 The dictionaries are the whole model.  They are fitted on a bounded sample of the labelled rows: of each language the
 `sample_docs` documents with the smallest hashed id, an excerpt of `excerpt_chars` of each, joined up to `dict_bytes`.
-Prediction reads every text whole.
+Prediction reads every text whole.  Texts of equal size under several dictionaries, which happens to short ones, are
+compressed again with four bytes a character, where a match of two characters already pays.
 
-Defined cases: a null text or one without a letter is `und` with score 0 and is rejected; ties go to the language with most
-labelled rows and are rejected; rows with null lang are predicted but not learned from; without any labelled row everything
-is `und`; repeated rows give repeated results, other columns are ignored, and an empty table gives an empty result.
+Defined cases: a null text or one without a letter (Unicode category L) is `und` with score 0 and is rejected; sizes that are
+equal in both encodings go to the language with most labelled rows, then by name, and are rejected; rows with null lang are
+predicted but not learned from; without any labelled row everything is `und`; more than `max_languages` labels are an error;
+repeated rows give repeated results (and repeated samples), other columns are ignored, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import functools
 import math
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,11 +29,11 @@ from pyspark.sql import functions as F
 from tidelark.llm.shared import documents, small_batches, tidy
 
 LEVEL, DICT_BYTES, SAMPLE_DOCS, EXCERPT_CHARS, MAX_LANGUAGES = 9, 250_000, 400, 2_000, 200
-#: Texts up to this size are compressed again on a tie.
-SHORT_BYTES, WIDE_CHARS, WIDE_LEVEL = 256, 60_000, 15
+#: Level of the second encoding.
+WIDE_LEVEL = 15
 #: Below this share of the runner-up's size a lead is narrow.
 MIN_MARGIN = 0.002
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: ASCII characters other than letters become spaces.
 _ASCII = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -46,15 +48,17 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, excerpt_chars: int = EXCERPT_CHARS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, excerpt_chars: int = EXCERPT_CHARS, dict_bytes: int = DICT_BYTES, max_languages: int = MAX_LANGUAGES) -> dict[str, bytes]:
     """Raw dictionaries by language, most labelled rows first.  What reaches the driver is bounded by the parameters."""
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages + 1).collect()
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     # A hash bound that four times the sample's rows of a language are below: what is shuffled doesn't grow with the input.
     bound = F.lit(0)
     for r in counts:
         bound = F.when(F.col("lang") == r.lang, min(2**62, 4 * sample_docs * 2**62 // r["count"])).otherwise(bound)
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "t")
     hashed = known.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id"), 2)).where(F.col("h") <= bound)
     rows = hashed.select("lang", "doc_id", "h", F.substring("text", 1, excerpt_chars).alias("t")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_docs).select("lang", "k", "t").collect()
     texts: dict[str, list] = {}
@@ -73,8 +77,7 @@ def _compressors(dictionaries: dict[str, bytes], level: int) -> dict[str, zstand
 
 
 class Classifier:
-    """Short texts hold few matches of four bytes, so their sizes may be equal: those are compressed again with four bytes a
-    character, where a match of two characters already pays."""
+    """Sizes of a text under each language's dictionary; equal ones are decided by the second encoding."""
 
     def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL):
         self.compressors = _compressors(dictionaries, level)
@@ -82,7 +85,7 @@ class Classifier:
 
     @functools.cached_property
     def wide(self) -> dict[str, zstandard.ZstdCompressor]:
-        return _compressors({k: v.decode("utf-8", "ignore")[:WIDE_CHARS].encode("utf-32-le") for k, v in self._dictionaries.items()}, WIDE_LEVEL)
+        return _compressors({k: v.decode("utf-8", "ignore").encode("utf-32-le") for k, v in self._dictionaries.items()}, WIDE_LEVEL)
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, margin); the margin is the lead over the runner-up as a share of the runner-up's size."""
@@ -90,7 +93,7 @@ class Classifier:
             return "und", 0.0, 0.0
         data = plain(text)
         sizes = [len(c.compress(data)) for c in self.compressors.values()]
-        if len(data) <= SHORT_BYTES and sizes.count(min(sizes)) > 1:
+        if sizes.count(min(sizes)) > 1:
             data = data.decode("utf-8", "replace").encode("utf-32-le")
             sizes = [len(c.compress(data)) for c in self.wide.values()]
         best = min(sizes)
