@@ -17,6 +17,7 @@ kinds all stay; repeated rows give repeated results; other columns are ignored a
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import math
@@ -31,9 +32,9 @@ from tidelark.llm.shared import documents, small_batches, text_or_empty, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 6
-#: The base patterns.
+#: The base patterns.  An ip can only begin where a run of digits does, which is said so that a run is tried once.
 EMAIL_HOST = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_TAIL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -75,12 +76,29 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
                 done = host.end()
         at = text.find("@", max(at + 1, done))
     if re.search("[0-9]", text):
-        out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(x := p.lstrip("0")) <= 3 and int(x or "0") <= 255 for p in m[0].split("."))]
         out += [("card", *m.span()) for m in CARD.finditer(text) if 13 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
         out += [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
     return out
 
 
+class Taken:
+    """Stretches of a text that spans cover."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, start: int, end: int) -> bool:
+        i = bisect.bisect_left(self.starts, end) - 1
+        return i >= 0 and self.ends[i] > start
+
+
 def segment_features(segment: str, before: str, kind: str) -> list[str] | None:
     """Features of a candidate as a whole; None where the kind rules it out."""
     digits = _digits(segment)
@@ -121,9 +139,9 @@ class SemiMarkov:
     def __init__(self, weights: dict[str, float] | None = None):
         self.weights = weights if weights is not None else {}
 
-    def candidates(self, text: str, tokens: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int, str, int, int, list[str]]]:
+    def candidates(self, text: str, tokens: list[tuple[int, int]], taken: Taken | list[tuple[int, int]]) -> list[tuple[int, int, str, int, int, list[str]]]:
         """(first token, token after the last, kind, start, end, features) of every segment that isn't ruled out."""
-        out = []
+        out, taken = [], taken if isinstance(taken, Taken) else Taken(taken)
         for i in range(len(tokens)):
             for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
                 start, end = tokens[i][0], tokens[j - 1][1]
@@ -131,7 +149,7 @@ class SemiMarkov:
                     end -= 1
                 while start < end and text[start] in "\"'<":
                     start += 1
-                if end <= start or any(a < end and start < b for a, b in taken):
+                if end <= start or taken.meets(start, end):
                     continue
                 before = text[max(0, start - 40) : start]
                 for kind in KINDS:
@@ -195,10 +213,10 @@ class SemiMarkov:
 
     def added_spans(self, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
         """Entities outside the base spans."""
-        taken = [s[1:] for s in base]
+        taken = Taken([s[1:] for s in base])
         out, reach = [], -1
         for m in _TRIGGER.finditer(text):
-            if m.start() < reach or any(a <= m.start() < b for a, b in taken):
+            if m.start() < reach or taken.meets(m.start(), m.start() + 1):
                 continue
             start, end = m.start(), m.end()
             for _ in range(MAX_TOKENS):
@@ -277,14 +295,14 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find_personal_data(docs: DataFrame, model: SemiMarkov | None = None) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added of documents (doc_id, text)."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans of documents (doc_id, text)."""
     small_batches(docs.sparkSession)
     weights = (model or trained()).weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = SemiMarkov(weights)
         for batch in batches:
-            counts, digests, spans, added = [], [], [], []
+            counts, digests, spans, added, totals = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 base = base_spans(text) if _TRIGGER.search(text) else []
                 more = found.added_spans(text, base) if _TRIGGER.search(text) else []
@@ -292,10 +310,11 @@ def find_personal_data(docs: DataFrame, model: SemiMarkov | None = None) -> Data
                 digests.append(hashlib.sha256(_joined(base).encode()).hexdigest())
                 spans.append(_joined(base + more))
                 added.append(len(more))
+                totals.append(len(base) + len(more))
             columns = [pa.array([c[i] for c in counts], pa.int64()) for i in range(4)]
-            yield pa.record_batch([batch.column(0), *columns, pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
+            yield pa.record_batch([batch.column(0), *columns, pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64()), pa.array(totals, pa.int64())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_spans"])
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(tidy(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(tidy(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
