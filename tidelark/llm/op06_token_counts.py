@@ -1,14 +1,15 @@
 """Token counts with a digest cache.
 
-The cache is a table (tokenizer, digest, n_tokens) in a store that Spark writes to: the tokenizer's digest is that of its
-file, so another version never meets old counts, and the content's digest is the SHA-256 of the text as it is encoded, with a
+The cache is a table (tokenizer, digest, n_tokens) in a store that Spark writes to, in one partition for each tokenizer: the
+tokenizer's digest is that of its file, so another version never meets old counts (nor reads them), and the content's digest is the SHA-256 of the text as it is encoded, with a
 null text normalised to the empty one.  Documents are joined to it by both digests; texts of distinct misses alone are
 encoded, and their counts are appended.  A lost executor repeats a task; the append is one committed write.
 
 Copies collapse before the texts are shuffled (a digest's first text is a partial aggregate), and counts are joined back to
 (doc_id, digest) rows, whose hot keys Spark may split.
 
-Defined cases: null and empty texts have 0 bytes and 0 tokens; repeated rows give repeated results and one cache entry; other
+Defined cases: null and empty texts have 0 bytes and 0 tokens; repeated rows give repeated results and one cache entry; entries
+that runs at the same time have appended twice are read as one; other
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -63,8 +64,8 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str, make: Ca
     distinct = texts.groupBy("digest").agg(F.first("text").alias("text"))
     misses = distinct.join(known.select("digest"), "digest", "left_anti")
     counted = misses.mapInArrow(tidy(_counter(tokenizer_path, make)), "digest binary, n_tokens long")
-    counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
-    counts = read_cache(spark, cache_path).where(F.col("tokenizer") == version).select("digest", "n_tokens")
+    counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").partitionBy("tokenizer").parquet(cache_path)
+    counts = read_cache(spark, cache_path).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
