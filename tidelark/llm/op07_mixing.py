@@ -15,7 +15,7 @@ window, so a leaf with a third of all rows spreads over the cluster.
 
 Only DataFrame functions are used.  Defined cases: null domain, lang or source is the value `unknown` there; null and empty
 texts have 0 tokens and come along for free, but a leaf without tokens has no capacity and gives nothing; a node that the
-weights don't name has weight `default_weight`; ties in the digest are ordered by doc_id; rows that repeat a doc_id compete
+weights don't name has weight `default_weight`; one of weight 0 gets nothing, and what only it could use stays unspent; ties in the digest are ordered by doc_id; rows that repeat a doc_id compete
 separately; other columns are ignored, and an empty table gives an empty result.
 """
 
@@ -47,15 +47,15 @@ def _weight(column: str, weights: dict[tuple[str], int], default: int) -> Column
 
 def split_budget(children: DataFrame, parent: list[str], child: str) -> DataFrame:
     """children (parent..., child, weight, capacity, budget of the parent) with the child's share as `share`."""
-    order = [F.col("capacity") / F.col("weight"), F.col(child)]
+    order = [F.asc_nulls_last(F.col("capacity") / F.nullif(F.col("weight"), F.lit(0))), F.col(child)]
     before = Window.partitionBy(*parent).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     onward = Window.partitionBy(*parent).orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
     group = Window.partitionBy(*parent)
     wide = "decimal(38,0)"
     x = children.withColumn("_before", F.coalesce(F.sum("capacity").over(before), F.lit(0))).withColumn("_onward", F.sum("weight").over(onward))
-    x = x.withColumn("_full", F.col("capacity").cast(wide) * F.col("_onward") <= (F.col("budget") - F.col("_before")).cast(wide) * F.col("weight"))
+    x = x.withColumn("_full", (F.col("weight") > 0) & (F.col("capacity").cast(wide) * F.col("_onward") <= (F.col("budget") - F.col("_before")).cast(wide) * F.col("weight")))
     x = x.withColumn("_used", F.coalesce(F.sum(F.when(F.col("_full"), F.col("capacity"))).over(group), F.lit(0))).withColumn("_open", F.sum(F.when(~F.col("_full"), F.col("weight"))).over(group))
-    share = F.when(F.col("_full"), F.col("capacity")).otherwise(F.expr("(budget - _used) * weight div _open"))
+    share = F.when(F.col("_full"), F.col("capacity")).when(F.col("weight") == 0, 0).otherwise(F.expr("(budget - _used) * weight div nullif(_open, 0)"))
     return x.withColumn("share", share.cast("long")).drop("_before", "_onward", "_full", "_used", "_open")
 
 
