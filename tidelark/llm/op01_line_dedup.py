@@ -8,7 +8,8 @@ have no more boilerplate lines than its mean lines a page divided by the ratio.
 (checked), they are broadcast as one array for each host and texts are never shuffled; else the digests are joined to the
 pages' lines by (host, digest) and the drops brought back by a hash of doc_id, or of the text where that is null.
 
-Defined cases: a null text stays null; a null host is a host of its own; blank lines are never counted or dropped; lines are
+Defined cases: a null text stays null; pages with a null host are left as they are, and the query and the stage take a null source
+for the empty one; blank lines are never counted or dropped; lines are
 compared without surrounding spaces, tabs and carriage returns; hosts with fewer than `min_pages` pages are left as they
 are; a page that loses all its lines keeps an empty text; repeated rows of a doc_id count as pages of their own; other
 columns pass through in the stage, and an empty table gives an empty result.

@@ -115,16 +115,23 @@ def read_packed(spark: SparkSession, path: str, keep_ids: bool = False) -> DataF
                     columns, names = [*columns, pa.array([p.tolist() for p in parts], pa.list_(pa.int64()))], [*names, "ids"]
                 yield pa.record_batch(columns, names=names)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    small_batches(spark)
     return blocks.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * keep_ids)
 
 
 def ids_between(spark: SparkSession, path: str, start: int, stop: int) -> np.ndarray:
-    """Random access: ids start to stop of the whole sequence; only blocks that hold some of them are read."""
+    """Random access: ids start to stop of the whole sequence.
+
+    The totals of the shards tell the shards that hold some of them; the filter on these reaches the scan, so that other shards'
+    files are passed over by their statistics, and within them the filter on a block's start does the same.
+    """
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
     starts = shard_starts(blocks)
-    base = F.element_at(F.create_map(*(F.lit(x) for kv in starts.items() for x in kv)), F.col("shard")) if starts else F.lit(0)
-    found = blocks.withColumn("base", (base + F.col("start")).cast("long")).where((F.col("base") < stop) & (F.col("base") + F.col("n_ids") > start)).select("base", "n_ids", "width", "payload").orderBy("base").collect()
+    ends = dict(zip(starts, [*list(starts.values())[1:], 2**63 - 1], strict=True))
+    found = []
+    for shard in (s for s in starts if starts[s] < stop and ends[s] > start):
+        own = blocks.where((F.col("shard") == shard) & (F.col("start") < stop - starts[shard]) & (F.col("start") + F.col("n_ids") > start - starts[shard]))
+        found += own.select((F.col("start") + starts[shard]).alias("base"), "n_ids", "width", "payload").orderBy("base").collect()
     parts = [unpack(r.payload, r.width, max(0, start - r.base), min(r.n_ids, stop - r.base)) for r in found]
     return np.concatenate(parts) if parts else np.zeros(0, "<u4")
 
