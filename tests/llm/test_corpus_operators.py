@@ -85,6 +85,11 @@ def test_split_budget(spark):
             assert got == split_by_hand(children, budget)
 
 
+def test_weight_zero_gets_nothing(spark):
+    df = spark.createDataFrame([("p", "a", 0, 50, 60), ("p", "b", 2, 100, 60), ("p", "c", 1, 5, 60), ("q", "d", 0, 9, 7)], "parent string, name string, weight long, capacity long, budget long")
+    assert {x.name: x.share for x in op07_mixing.split_budget(df, ["parent"], "name").collect()} == {"a": 0, "b": 55, "c": 5, "d": 0}
+
+
 def test_mix_meets_budgets_and_redistributes(spark):
     r = random.Random(3)
     rows = [(i, r.choice(["web", "web", "news", None]), r.choice(["en", "de"]), f"src{r.randint(0, 4)}", r.randint(0, 50)) for i in range(600)]

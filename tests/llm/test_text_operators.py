@@ -101,20 +101,53 @@ def test_token_counts_use_the_cache(spark, texts, tmp_path):
     stored = spark.read.parquet(cache)
     assert stored.count() == len({t or "" for t in texts}) == stored.select("digest").distinct().count()
     before = stored.agg({"n_tokens": "sum"}).first()[0]
-    spark.createDataFrame([("other", b"x", 5)], op06_token_counts.CACHE_SCHEMA).write.mode("append").parquet(cache)
+    spark.createDataFrame([("other", b"x", 5)], op06_token_counts.CACHE_SCHEMA).write.mode("append").partitionBy("tokenizer").parquet(cache)
     op06_token_counts.count_tokens(whole, cache, path).count()
     assert spark.read.parquet(cache).where("tokenizer <> 'other'").agg({"n_tokens": "sum"}).first()[0] == before
 
 
+def test_entries_appended_twice_count_once(spark, texts, tmp_path):
+    path, cache = public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "cache")
+    docs = spark.createDataFrame(rows_of(texts[:30]), DOCS)
+    once = sorted(map(tuple, op06_token_counts.count_tokens(docs, cache, path).collect()))
+    entries = spark.createDataFrame(spark.read.parquet(cache).collect(), "digest binary, n_tokens long, tokenizer string")
+    entries.write.mode("append").partitionBy("tokenizer").parquet(cache)
+    assert sorted(map(tuple, op06_token_counts.count_tokens(docs, cache, path).collect())) == once
+
+
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
 
+_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("019 -.")), min_size=10, max_size=60))
+def test_cards_and_addresses_equal_the_patterns(text):
+    got = op05_pii.base_spans(text)
+
+    def valid(s):
+        d = [int(c) for c in s if c.isdigit()][::-1]
+        return 13 <= len(d) <= 19 and sum(d[::2]) % 10 == -sum(sum(divmod(2 * x, 10)) for x in d[1::2]) % 10
+
+    assert [s[1:] for s in got if s[0] == "card"] == [m.span() for m in _CARD.finditer(text) if valid(m[0])]
+    assert [s[1:] for s in got if s[0] == "ip"] == [m.span() for m in _IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+
+
+def test_long_runs_and_many_spans():
+    assert op05_pii.base_spans("0" * 5000 + "1.1.1.1 and " + "7" * 50_000) == [("ip", 0, 5007)]
+    text = "\n".join(f"write to user{i}@mail.example.org or call (555) 123-{i % 10_000:04d}" for i in range(5_000))
+    base = op05_pii.base_spans(text)
+    assert len(base) == 5_000 and len(op05_pii.trained().added_spans(text, base)) == 5_000
+
+
 @settings(max_examples=500, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("ab@.+-% 019()é")), max_size=30))
 def test_base_spans_equal_the_patterns(text):
     got = op05_pii.base_spans(text)
     assert [s[1:] for s in got if s[0] == "email"] == [m.span() for m in _EMAIL.finditer(text)]
-    assert [s[1:] for s in got if s[0] == "ip"] == [m.span() for m in op05_pii.IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    assert [s[1:] for s in got if s[0] == "ip"] == [m.span() for m in _IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
     assert [s[1:] for s in got if s[0] == "phone"] == [m.span() for m in op05_pii.PHONE.finditer(text) if 9 <= sum(c in "0123456789" for c in m[0]) <= 15]
 
 
@@ -178,6 +211,29 @@ def test_language_defined_cases(spark):
     assert stage.columns == docs.columns and {r.doc_id for r in stage.collect()} <= {1, 2, None}
     nothing = op03_language.identify(docs, {}).collect()
     assert {r.lang_pred for r in nothing} == {"und"}
+    assert op03_language.Classifier({"en": b"abc"}).predict("½ ² ³ 1") == ("und", 0.0, 0.0)
+    same = op03_language.Classifier({"b": b"the cat and the dog", "a": b"the cat and the dog"}).predict("the cat")
+    assert same[0] == "b" and same[2] == 0.0
+    with pytest.raises(ValueError, match="languages"):
+        op03_language.fit(docs, max_languages=0)
+
+
+def test_language_equals_brute_force(spark):
+    """Each text is compressed with compressors of its own, by the definition."""
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.unionByName(docs.limit(5))
+    dictionaries = op03_language.fit(docs)
+    size = lambda data, raw, level: len(zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress(data))
+    texts = [r.text for r in docs.collect()][:60] + ["la", "the", "x" * 3000, "der und 12"]
+    classifier = op03_language.Classifier(dictionaries)
+    for t in texts:
+        data = op03_language.plain(t)
+        sizes = {k: size(data, v, op03_language.LEVEL) for k, v in dictionaries.items()}
+        if list(sizes.values()).count(min(sizes.values())) > 1:
+            sizes = {k: size(data.decode().encode("utf-32-le"), v.decode("utf-8", "ignore").encode("utf-32-le"), op03_language.WIDE_LEVEL) for k, v in dictionaries.items()}
+        assert classifier.predict(t)[0] == min(sizes, key=sizes.get)
 
 
 def test_empty_tables(spark, tmp_path):
