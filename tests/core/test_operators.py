@@ -343,16 +343,42 @@ def test_incremental_run_equals_full_run(spark, tmp_path):
     second = parts.run(commits, changes, as_of, incremental=True)
     assert 0 < second.new_commits < commits.select("commit_sha").distinct().count()
     for name in ("repository", "daily", "monthly", "branches", "contributors", "ownership"):
-        a, b = (spark.read.parquet(str(tmp_path / k / name)) for k in ("1", "2"))
+        a, b = full.read(name), parts.read(name)
         assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty(), name
     assert parts.run(commits, changes, as_of, incremental=True).skipped
     gone = parts.run(commits.where("branch_name <> 'low'"), changes, as_of, incremental=True)
     assert not gone.skipped
-    kept = spark.read.parquet(str(tmp_path / "2" / "branches")).where("is_deleted").select("branch_name").distinct().collect()
+    kept = parts.read("branches").where("is_deleted").select("branch_name").distinct().collect()
     assert [r.branch_name for r in kept] == ["low"]
     assert spark.read.json(str(tmp_path / "2" / "marts" / "branch_list")).count() > 0
 
 
+def test_late_repeated_and_removed_commits(spark, tmp_path):
+    commits, changes = standins.commits(spark, DATA).cache(), standins.file_changes(spark, DATA)
+    as_of = F.to_timestamp(F.lit("1998-06-01"))
+
+    def same_as_full(run, commits, name):
+        full = AnalyticsRun(spark, str(tmp_path), name)
+        full.run(commits, changes, as_of)
+        for t in ("repository", "daily", "branches", "ownership"):
+            a, b = full.read(t), run.read(t)
+            assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty(), (name, t)
+
+    # Commits that are older than those of the last run; branch copies of known commits.
+    late = AnalyticsRun(spark, str(tmp_path), "late")
+    late.run(commits.where("committed_at > '1996-01-01' AND branch_name = 'main'"), changes, as_of)
+    assert late.run(commits, changes, as_of, incremental=True).new_commits > 0
+    same_as_full(late, commits, "full-1")
+    # What a run that died has left behind counts for nothing.
+    for name, rows in (("commits", commits), ("file_changes", changes)):
+        rows.write.parquet(str(tmp_path / "late" / name / "run=3"))
+    assert late.run(commits, changes, as_of, incremental=True).skipped
+    # A branch that has lost commits was rewritten.
+    fewer = commits.where("commit_sha NOT LIKE '%7'")
+    assert not late.run(fewer, changes, as_of, incremental=True).skipped
+    same_as_full(late, fewer, "full-2")
+
+
 def test_entry_point(spark):
     import __spark_entry__
 

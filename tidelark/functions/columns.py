@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 BYTES_PER_LINE = 50
 
-# Languages by extension and by file name, and what is never analysed.
+# Languages by extension and by file name, and what is never analysed; callers add folders and names of their own.
 EXTENSION_LANGUAGES = {".py": "Python", ".js": "JavaScript", ".ts": "TypeScript", ".tsx": "TSX", ".jsx": "JSX", ".java": "Java", ".go": "Go", ".rs": "Rust", ".rb": "Ruby", ".php": "PHP", ".c": "C", ".cpp": "C++", ".cc": "C++", ".h": "Header", ".hpp": "C++", ".cs": "C#", ".swift": "Swift", ".kt": "Kotlin", ".scala": "Scala", ".r": "R", ".R": "R", ".sql": "SQL", ".sh": "Shell", ".bash": "Shell", ".zsh": "Shell", ".yml": "YAML", ".yaml": "YAML", ".json": "JSON", ".xml": "XML", ".html": "HTML", ".htm": "HTML", ".css": "CSS", ".scss": "SCSS", ".sass": "Sass", ".less": "Less", ".md": "Markdown", ".txt": "Text", ".rst": "reStructuredText"}
 NAME_LANGUAGES = {"Dockerfile": "Dockerfile", "Makefile": "Makefile", "CMakeLists.txt": "CMake", "Gemfile": "Ruby", "Rakefile": "Ruby", "package.json": "JSON", "requirements.txt": "Text", "setup.py": "Python", "pyproject.toml": "TOML", "Cargo.toml": "TOML", "go.mod": "Go Module", ".gitignore": "Ignore List", ".dockerignore": "Ignore List"}
-BLACKLIST_DIRS = [".git", "driver_docs"]
+BLACKLIST_DIRS = [".git"]
 BLACKLIST_EXTENSIONS = [".svg", ".hex", ".bin", ".BIN", ".dat", ".DAT", ".exe", ".o", ".a", ".so", ".dll", ".dylib", ".cdylib", ".axf", ".elf"]
-BLACKLIST_NAMES = [".DS_Store", ".driverignore"]
+BLACKLIST_NAMES = [".DS_Store"]
 HEX_SHARE = 0.99
 
 
@@ -109,9 +109,9 @@ def language_of(path: Column | str) -> Column:
     return F.coalesce(F.try_element_at(tables[0], suffix(path)), F.try_element_at(tables[1], file_name(path)))
 
 
-def is_analyzable(path: Column | str) -> Column:
+def is_analyzable(path: Column | str, directories: tuple[str, ...] = (), file_names: tuple[str, ...] = ()) -> Column:
     """Cheap tests first: directories, then extension, then name."""
-    return ~F.arrays_overlap(F.split(col(path), "/"), F.array(*map(F.lit, BLACKLIST_DIRS))) & ~suffix(path).isin(BLACKLIST_EXTENSIONS) & ~file_name(path).isin(BLACKLIST_NAMES)
+    return ~F.arrays_overlap(F.split(col(path), "/"), F.array(*map(F.lit, [*BLACKLIST_DIRS, *directories]))) & ~suffix(path).isin(BLACKLIST_EXTENSIONS) & ~file_name(path).isin([*BLACKLIST_NAMES, *file_names])
 
 
 def is_hex(text: Column | str) -> Column:

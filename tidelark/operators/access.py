@@ -23,7 +23,12 @@ def role_name(rank: Column | str) -> Column:
 
 
 def effective_grants(direct: DataFrame, by_team: DataFrame, team_members: DataFrame, by_org: DataFrame, org_members: DataFrame) -> DataFrame:
-    """user_id, asset_id, role, inherited, created_at of all grants, however they reach a user."""
+    """user_id, asset_id, role, inherited, created_at of all grants, however they reach a user.
+
+    Of equal grants the oldest is kept: those of a team or organisation are aggregated before they meet the members.
+    """
+    oldest = lambda df, key: df.groupBy(key, "asset_id", "role").agg(F.min("created_at").alias("created_at"))
+    direct, by_team, by_org = oldest(direct, "user_id"), oldest(by_team, "team_id"), oldest(by_org, "org_id")
     team = by_team.join(team_members, "team_id").select("user_id", "asset_id", "role", F.lit(True).alias("inherited"), "created_at")
     org = by_org.join(org_members, "org_id").select("user_id", "asset_id", "role", F.lit(True).alias("inherited"), "created_at")
     return direct.select("user_id", "asset_id", "role", F.lit(False).alias("inherited"), "created_at").unionByName(team).unionByName(org)
@@ -41,7 +46,7 @@ def strongest_role(grants: DataFrame) -> DataFrame:
 def allowed(roles: DataFrame, actions: DataFrame, action: str) -> DataFrame:
     """(user_id, asset_id) that may do the action; super admins may do all."""
     may = actions.where(F.col("action") == action).select("role")
-    normal = roles.join(F.broadcast(may), "role", "left_semi")
+    normal = roles.join(may, "role", "left_semi")
     return normal.unionByName(roles.where(F.col("role") == "super_admin")).select("user_id", "asset_id").distinct()
 
 
@@ -118,12 +123,12 @@ def _assets(s: SparkSession, d: str) -> DataFrame:
 
 
 def _grants(s: SparkSession, d: str) -> DataFrame:
-    """Grants made of order lines: users are suppliers, assets are parts."""
+    """Grants made of order lines, direct, to a team or to an organisation by the line's number: users are suppliers, assets are parts."""
     role = F.element_at(F.array(*map(F.lit, ["viewer", "asset_member", "asset_admin", "super_admin"])), (F.col("l_orderkey") % 4 + 1).cast("int"))
     x = table(s, d, "lineitem").select(F.col("l_suppkey").alias("user_id"), F.col("l_partkey").alias("asset_id"), role.alias("role"), F.col("l_shipdate").alias("created_at"), "l_linenumber", "l_orderkey")
-    direct, teams, orgs = x.where("l_linenumber = 1"), x.where("l_linenumber = 2"), x.where("l_linenumber = 3 AND l_orderkey % 40 = 0")
-    members = table(s, d, "supplier").select(F.col("s_suppkey").alias("user_id"), (F.col("s_suppkey") % 25).alias("team_id"), (F.col("s_nationkey") % 5).alias("org_id"))
-    return effective_grants(direct, teams.withColumn("team_id", F.col("user_id") % 25).drop("user_id"), members.select("user_id", "team_id"), orgs.withColumn("org_id", F.col("user_id") % 5).drop("user_id"), members.select("user_id", F.col("org_id").cast("long").alias("org_id")))
+    direct, teams, orgs = (x.where(F.col("l_linenumber") % 3 == k) for k in (1, 2, 0))
+    members = table(s, d, "supplier").select(F.col("s_suppkey").alias("user_id"), (F.col("s_suppkey") % 50).alias("team_id"), F.col("s_nationkey").cast("long").alias("org_id"))
+    return effective_grants(direct, teams.withColumn("team_id", F.col("user_id") % 50).drop("user_id"), members.select("user_id", "team_id"), orgs.withColumn("org_id", F.col("user_id") % 25).drop("user_id"), members.select("user_id", "org_id"))
 
 
 def _roles(s: SparkSession, d: str) -> DataFrame:
@@ -157,8 +162,8 @@ def _tree(s: SparkSession, d: str) -> DataFrame:
 
 
 _GRANTS = """x AS (SELECT l_suppkey AS user_id, l_partkey AS asset_id, ['viewer', 'asset_member', 'asset_admin', 'super_admin'][l_orderkey % 4 + 1] AS role, l_shipdate AS created_at, l_linenumber, l_orderkey FROM lineitem),
-grants AS (SELECT user_id, asset_id, role, FALSE AS inherited, created_at FROM x WHERE l_linenumber = 1 UNION ALL SELECT s_suppkey, asset_id, role, TRUE, created_at FROM x JOIN supplier ON s_suppkey % 25 = user_id % 25 WHERE l_linenumber = 2
-  UNION ALL SELECT s_suppkey, asset_id, role, TRUE, created_at FROM x JOIN supplier ON s_nationkey % 5 = user_id % 5 WHERE l_linenumber = 3 AND l_orderkey % 40 = 0),
+grants AS (SELECT user_id, asset_id, role, FALSE AS inherited, created_at FROM x WHERE l_linenumber % 3 = 1 UNION ALL SELECT s_suppkey, asset_id, role, TRUE, created_at FROM x JOIN supplier ON s_suppkey % 50 = user_id % 50 WHERE l_linenumber % 3 = 2
+  UNION ALL SELECT s_suppkey, asset_id, role, TRUE, created_at FROM x JOIN supplier ON s_nationkey = user_id % 25 WHERE l_linenumber % 3 = 0),
 k AS (SELECT *, CASE role WHEN 'super_admin' THEN 4 WHEN 'asset_admin' THEN 3 WHEN 'asset_member' THEN 2 ELSE 1 END AS r FROM grants),
 roles AS (SELECT user_id, asset_id, role, inherited FROM k QUALIFY row_number() OVER (PARTITION BY user_id, asset_id ORDER BY r DESC, inherited, created_at) = 1)"""
 _INTERVALS = "i AS (SELECT p_partkey % 20 AS file, p_partkey AS id, p_partkey * 7919 % 20000 AS start, p_partkey * 7919 % 20000 + p_size * p_size AS stop FROM part)"
@@ -175,7 +180,7 @@ QUERIES = {
     "j15_suffix_join": lambda s, d: suffix_join(table(s, d, "nation").select(F.concat(F.col("n_name"), F.lit("/"), F.lit("Customer#000000001")).alias("include")).unionByName(table(s, d, "customer").select(F.col("c_name").alias("include"))), _tree(s, d)),
     "j17_lookup_with_fallback": lambda s, d: table(s, d, "events").join(table(s, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("user_id"), "c_name"), "user_id", "left").select("event_id", F.coalesce("c_name", F.concat(F.lit("(deleted) "), F.col("user_id").cast("string"))).alias("name")),
     "j18_tuple_in": lambda s, d: table(s, d, "lineitem").join(table(s, d, "lineitem").groupBy("l_partkey", "l_suppkey").count().where("count > 1").select("l_partkey", "l_suppkey"), ["l_partkey", "l_suppkey"], "left_semi").select("l_orderkey", "l_linenumber"),
-    "j19_update_newer": lambda s, d: update_newer(table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").alias("l_shipdate")), table(s, d, "lineitem").where("l_linenumber < 3").select("l_orderkey", "l_shipdate"), "l_orderkey", "l_shipdate"),
+    "j19_update_newer": lambda s, d: update_newer(table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").alias("l_shipdate")), table(s, d, "lineitem").select("l_orderkey", "l_shipdate"), "l_orderkey", "l_shipdate"),
     "j20_first_of_group": lambda s, d: table(s, d, "orders").select("o_orderkey", F.first("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("asset_id")),
     "j21_snapshot_diff": lambda s, d: snapshot_diff(*_snapshots(s, d)),
     "j22_allowed_action": lambda s, d: allowed(_roles(s, d), _actions(s), "edit"),
@@ -202,7 +207,7 @@ SQL = {
     "j15_suffix_join": f"WITH {_TREE}, w AS (SELECT n_name || '/Customer#000000001' AS include FROM nation UNION ALL SELECT c_name FROM customer) SELECT include, min(path) AS path FROM w JOIN t ON include = list_extract(string_split(path, '/'), -1) OR include = array_to_string(string_split(path, '/')[2:], '/') GROUP BY 1",
     "j17_lookup_with_fallback": "SELECT event_id, coalesce(c_name, '(deleted) ' || user_id) AS name FROM events LEFT JOIN customer ON c_custkey = user_id AND c_custkey % 3 = 0",
     "j18_tuple_in": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_partkey, l_suppkey) IN (SELECT (l_partkey, l_suppkey) FROM lineitem GROUP BY l_partkey, l_suppkey HAVING count(*) > 1)",
-    "j19_update_newer": "SELECT o_orderkey AS l_orderkey, greatest(o_orderdate, (SELECT max(l_shipdate) FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber < 3)) AS l_shipdate FROM orders",
+    "j19_update_newer": "SELECT o_orderkey AS l_orderkey, greatest(o_orderdate, (SELECT max(l_shipdate) FROM lineitem WHERE l_orderkey = o_orderkey)) AS l_shipdate FROM orders",
     "j20_first_of_group": "SELECT o_orderkey, first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS asset_id FROM orders",
     "j21_snapshot_diff": "WITH a AS (SELECT 'o' || o_orderkey AS path, o_orderstatus AS h FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT 'o' || o_orderkey AS path, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS h FROM orders WHERE o_orderkey % 5 <> 0) SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' WHEN a.h <> b.h THEN 'changed' ELSE 'same' END AS status FROM a FULL JOIN b ON a.path = b.path",
     "j22_allowed_action": f"WITH {_GRANTS} SELECT user_id, asset_id FROM roles WHERE role IN ('asset_admin', 'super_admin')",

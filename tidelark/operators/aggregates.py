@@ -16,8 +16,8 @@ SUMS = ["additions_lines", "deletions_lines", "net_lines", "churn_lines", "addit
 
 
 def one_per_commit(commits: DataFrame) -> DataFrame:
-    """Branch copies of a commit agree in all but the branch."""
-    return commits.dropDuplicates(["commit_sha"])
+    """One row for each repository and commit: branch copies agree in all but the branch."""
+    return commits.dropDuplicates(["codebase_id", "commit_sha"])
 
 
 def _sums(names: list[str] = SUMS) -> list[Column]:
@@ -64,8 +64,8 @@ def monthly_rollup(commits: DataFrame) -> DataFrame:
 
 def branch_metrics(commits: DataFrame, default: str = "main") -> DataFrame:
     """Each branch against the default branch: shared and own commits, divergence point, head."""
-    on_default = commits.where(F.col("branch_name") == default).select("commit_sha").distinct().withColumn("shared", F.lit(True))
-    x = commits.join(on_default, "commit_sha", "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
+    on_default = commits.where(F.col("branch_name") == default).select("codebase_id", "commit_sha").distinct().withColumn("shared", F.lit(True))
+    x = commits.join(on_default, ["codebase_id", "commit_sha"], "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
     own, key = ~F.col("shared"), F.struct("committed_at", "commit_sha")
     out = x.groupBy("codebase_id", "branch_name").agg(
         F.count("*").alias("commits"),
@@ -102,9 +102,13 @@ def contributors(commits: DataFrame, as_of: Column) -> DataFrame:
 
 
 def directory_ownership(changes: DataFrame, commits: DataFrame, top: int = 10) -> DataFrame:
-    """The authors of each directory by churn, with their share; bytes become lines row by row before they are summed."""
-    once = one_per_commit(commits).select("commit_sha", "author_email", "committed_at")
-    x = changes.join(once, "commit_sha").withColumn("directory", C.directory_of("file_path")).withColumn("churn", F.floor(F.col("addition_bytes") / 50) + F.floor(F.col("deletion_bytes") / 50))
+    """The authors of each directory by churn, with their share; bytes become lines row by row before they are summed.
+
+    Changes that name their repository meet its commits only; without that column a commit of several repositories counts once.
+    """
+    key = ["codebase_id", "commit_sha"] if "codebase_id" in changes.columns else ["commit_sha"]
+    once = commits.select(*key, "author_email", "committed_at").dropDuplicates(key)
+    x = changes.join(once, key).withColumn("directory", C.directory_of("file_path")).withColumn("churn", F.floor(F.col("addition_bytes") / 50) + F.floor(F.col("deletion_bytes") / 50))
     by = x.groupBy("directory", "author_email").agg(F.sum("churn").cast("long").alias("churn_sloc"), F.countDistinct("commit_sha").alias("commits"), F.countDistinct("committed_at").alias("active_days"))
     group = Window.partitionBy("directory")
     by = by.withColumn("share", F.col("churn_sloc") * 100 / F.nullif(F.sum("churn_sloc").over(group), F.lit(0))).withColumn("contributors", F.count("*").over(group))
@@ -158,7 +162,7 @@ def _as_of() -> Column:
 
 
 def _authored(spark: SparkSession, d: str) -> DataFrame:
-    return _changes(spark, d).join(one_per_commit(_commits(spark, d)).select("commit_sha", "author_email"), "commit_sha")
+    return _changes(spark, d).join(_commits(spark, d).select("commit_sha", "author_email").dropDuplicates(["commit_sha"]), "commit_sha")
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
@@ -175,10 +179,10 @@ def _diffs(spark: SparkSession, d: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("--- a\n+++ b\n@@ -1 +1 @@\n+"), F.regexp_replace("text", "\n", "\n-")).alias("diff"))
 
 
-_PER = f"once AS (SELECT * EXCLUDE (branch_name) FROM (SELECT *, row_number() OVER (PARTITION BY commit_sha ORDER BY branch_name) AS rn FROM commits) WHERE rn = 1)"
+_PER = f"once AS (SELECT * EXCLUDE (branch_name) FROM (SELECT *, row_number() OVER (PARTITION BY codebase_id, commit_sha ORDER BY branch_name) AS rn FROM commits) WHERE rn = 1)"
 _TOTALS = ", ".join(f"CAST(sum({c}) AS BIGINT) AS total_{c}" for c in SUMS)
 _WITH = f"WITH {S.COMMITS}, {_PER}"
-_BRANCHES = f"""WITH {S.COMMITS}, x AS (SELECT c.*, m.commit_sha IS NOT NULL AS shared FROM commits c LEFT JOIN (SELECT DISTINCT commit_sha FROM commits WHERE branch_name = 'main') m ON m.commit_sha = c.commit_sha),
+_BRANCHES = f"""WITH {S.COMMITS}, x AS (SELECT c.*, m.commit_sha IS NOT NULL AS shared FROM commits c LEFT JOIN (SELECT DISTINCT codebase_id, commit_sha FROM commits WHERE branch_name = 'main') m ON m.codebase_id = c.codebase_id AND m.commit_sha = c.commit_sha),
 b AS (SELECT codebase_id, branch_name, count(*) AS commits, count(*) FILTER (NOT shared) AS unique_commits, CAST(coalesce(sum(additions_lines) FILTER (NOT shared), 0) AS BIGINT) AS unique_additions, CAST(coalesce(sum(sloc) FILTER (NOT shared), 0) AS BIGINT) AS unique_sloc,
   arg_max(commit_sha, (committed_at, commit_sha)) AS head_sha, arg_max(commit_sha, (committed_at, commit_sha)) FILTER (shared) AS divergence_sha, arg_max(tree_bytes, (committed_at, commit_sha)) AS head_tree_bytes, arg_max(tree_bytes, (committed_at, commit_sha)) FILTER (shared) AS divergence_tree_bytes, max(committed_at) AS last_commit_at FROM x GROUP BY 1, 2)"""
 

@@ -108,6 +108,7 @@ SQL = {
     "p14_commit_walk": f"WITH {COMMITS} SELECT DISTINCT commit_sha, author_email FROM commits WHERE committed_at BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31' AND contains(author_email, 'user1') AND NOT is_merge_commit",
     "p21_kind_filters": "SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey NOT IN (3, 4)",
     "g5_merge_base": f"WITH {_CHAIN} SELECT o_custkey, o_orderkey AS base FROM ch QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC) = 2",
+    "g8_unravelled_merges": f"WITH RECURSIVE {_CHAIN}, m(node) AS (SELECT o_orderkey FROM ch WHERE nx IS NULL UNION SELECT CASE WHEN n % 10 = 0 THEN p3 ELSE p1 END FROM m JOIN ch ON o_orderkey = node WHERE n > 1) SELECT o_orderkey AS node FROM ch WHERE o_orderkey NOT IN (SELECT node FROM m)",
     "k8_sections": "WITH t AS (SELECT doc_id, string_split('# ' || text, chr(10)) AS l FROM documents) SELECT doc_id, coalesce(array_to_string(l[3:6], chr(10)), '') AS page, list_filter(l[1:3], lambda x: starts_with(x, '#'))[-1] AS heading, CAST(greatest(0, len(l) - 6) AS INT) AS remaining, CASE WHEN len(l) > 6 THEN 7 END AS next FROM t",
     "s29_rekeyed": "SELECT doc_id AS old_key, min(doc_id) OVER (PARTITION BY text) AS new_key FROM documents",
 }

@@ -129,7 +129,7 @@ def _orders(s: SparkSession, d: str) -> DataFrame:
 def _files(s: SparkSession, d: str) -> DataFrame:
     p = table(s, d, "part")
     ext = F.element_at(F.array(*map(F.lit, [".py", ".svg", "", ".tar.gz", ".", ".BIN"])), (F.col("p_size") % 6 + 1).cast("int"))
-    top = F.element_at(F.array(*map(F.lit, ["src/", ".git/", "", "a/driver_docs/", ".", "a/b/c/"])), (F.col("p_partkey") % 6 + 1).cast("int"))
+    top = F.element_at(F.array(*map(F.lit, ["src/", ".git/", "", "a/generated_docs/", ".", "a/b/c/"])), (F.col("p_partkey") % 6 + 1).cast("int"))
     return p.select("p_partkey", "p_name", F.concat(top, F.translate("p_name", " ", "_"), ext).alias("path"))
 
 
@@ -137,7 +137,7 @@ def _paths(s: SparkSession, d: str) -> DataFrame:
     f = _files(s, d)
     return f.select(
         "path", C.directory_of("path").alias("directory"), C.suffix("path").alias("suffix"), C.naive_extension("path").alias("naive"), C.depth("path").alias("depth"), C.parent("path").alias("parent"), C.with_slash(C.parent("path")).alias("slashed"),
-        C.is_analyzable("path").alias("analyzable"), C.language_of("path").alias("language"), C.file_name("path").alias("name"), F.size(C.ancestors("path")).alias("n_ancestors"), C.qualified_name(C.parent("path"), F.lit("::"), C.file_name("path")).alias("qualified"), C.spaced(C.file_name("path")).alias("spaced"),
+        C.is_analyzable("path", ("generated_docs",)).alias("analyzable"), C.language_of("path").alias("language"), C.file_name("path").alias("name"), F.size(C.ancestors("path")).alias("n_ancestors"), C.qualified_name(C.parent("path"), F.lit("::"), C.file_name("path")).alias("qualified"), C.spaced(C.file_name("path")).alias("spaced"),
     )
 
 
@@ -159,7 +159,7 @@ def _scores(s: SparkSession, d: str) -> DataFrame:
 
 _JSON = "event_id, ts, user_id, event_type, value, props"
 _EXT = "['.py', '.svg', '', '.tar.gz', '.', '.BIN'][p_size % 6 + 1]"
-_TOP = "['src/', '.git/', '', 'a/driver_docs/', '.', 'a/b/c/'][p_partkey % 6 + 1]"
+_TOP = "['src/', '.git/', '', 'a/generated_docs/', '.', 'a/b/c/'][p_partkey % 6 + 1]"
 QUERIES = {
     "p2_conjunction": lambda s, d: where_tuples(_orders(s, d), [("o_orderstatus", "in", ["F", "O"]), ("o_totalprice", ">=", 100000.0), ("o_totalprice", "<", 200000.0)]).select("o_orderkey", "o_orderstatus", "o_totalprice"),
     "p3_predicate_grammar": lambda s, d: where_all(_orders(s, d), {"o_orderstatus": "F,O", "o_orderpriority__nin": "5-LOW", "o_totalprice__gt": 50000.0, "o_orderpriority__ilike": "%high%", "no_such_column": "x", "o_orderkey__neq": 7}).select("o_orderkey", "o_orderpriority"),
@@ -186,7 +186,7 @@ QUERIES = {
     "w10_top_in_group": lambda s, d: first_by(_orders(s, d), ["o_orderpriority"], F.desc("o_totalprice"), F.asc("o_orderkey"), n=10).select("o_orderpriority", "o_orderkey"),
     "w12_buckets": lambda s, d: buckets_of(_orders(s, d).select("o_custkey", "o_orderkey", "o_orderstatus"), "o_custkey", "o_orderkey", "o_orderstatus", 4),
     "u2_union_distinct": lambda s, d: _orders(s, d).select(F.col("o_custkey").alias("k")).unionByName(table(s, d, "customer").select(F.col("c_custkey").alias("k"))).distinct(),
-    "u3_except": lambda s, d: difference(table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey")), _orders(s, d), ["o_custkey"]),
+    "u3_except": lambda s, d: difference(table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey")), _orders(s, d).where("o_orderpriority = '1-URGENT'"), ["o_custkey"]),
     "u4_intersect": lambda s, d: _orders(s, d).select(F.col("o_custkey").alias("k")).intersect(table(s, d, "supplier").select(F.col("s_suppkey").alias("k"))),
     "u5_first_source_wins": lambda s, d: first_source_wins("k", table(s, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name")), table(s, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"))),
     "u8_map_report": lambda s, d: map_report(table(s, d, "customer").select(F.col("c_nationkey").alias("k")), table(s, d, "supplier").select(F.col("s_nationkey").alias("k"))).groupBy("k", "side").agg(F.count("*").alias("n")),
@@ -204,7 +204,7 @@ SQL = {
     "f_paths": f"""WITH f AS (SELECT {_TOP} || translate(p_name, ' ', '_') || {_EXT} AS path FROM part), s AS (SELECT path, string_split(path, '/') AS p FROM f), n AS (SELECT *, p[-1] AS name, array_to_string(p[1:-2], '/') AS parent FROM s),
 x AS (SELECT *, regexp_extract(name, '^\\.*[^.].*?(\\.[^.]+)$', 1) AS suffix FROM n)
 SELECT path, CASE WHEN len(p) <= 1 THEN 'root' WHEN len(p) = 2 THEN p[1] ELSE p[1] || '/' || p[2] END AS directory, suffix, CASE WHEN contains(path, '.') THEN '.' || string_split(path, '.')[-1] END AS naive, CAST(len(p) AS INT) AS depth, parent, CASE WHEN parent = '' THEN '' ELSE parent || '/' END AS slashed,
-NOT list_has_any(p, ['.git', 'driver_docs']) AND suffix NOT IN ('.svg', '.BIN') AS analyzable, CASE suffix WHEN '.py' THEN 'Python' END AS language, name, CAST(len(p) AS INT) AS n_ancestors, CASE WHEN parent = '' THEN name ELSE parent || '::' || name END AS qualified, replace(name, '_', ' ') AS spaced FROM x""",
+NOT list_has_any(p, ['.git', 'generated_docs']) AND suffix NOT IN ('.svg', '.BIN') AS analyzable, CASE suffix WHEN '.py' THEN 'Python' END AS language, name, CAST(len(p) AS INT) AS n_ancestors, CASE WHEN parent = '' THEN name ELSE parent || '::' || name END AS qualified, replace(name, '_', ' ') AS spaced FROM x""",
     "f_texts": r"""SELECT doc_id, CAST(length(text) - length(replace(text, chr(10), '')) + CASE WHEN length(text) > 0 AND NOT ends_with(text, chr(10)) THEN 1 ELSE 0 END AS BIGINT) AS lines, CAST(strlen(text) AS INT) AS bytes, substr(text, 1, 1000) AS head, length(regexp_replace(text, '[^a-fA-F0-9\n ]', '', 'g')) / length(text) > 0.99 AS hex_text, TRUE AS hex_digest, substr(sha256(source), 1, 63) AS bucket, substr(sha256(text), 1, 8) AS short_sha, array_to_string(string_split(text, chr(10))[2:3], chr(10)) AS window, FALSE AS binary FROM documents""",
     "f_dates": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, strftime(o_orderdate, '%Y-%m') AS month, CAST(year(o_orderdate) AS INT) AS year, CAST(month(o_orderdate) AS INT) AS month_no, CAST(day(o_orderdate) AS INT) AS day_no, o_orderdate >= TIMESTAMP '1998-06-01' - INTERVAL 90 DAY AS recent, CAST(epoch(TIMESTAMP '1998-06-01') - epoch(o_orderdate) AS BIGINT) AS elapsed, coalesce(epoch(TIMESTAMP '1998-06-01') - epoch(o_orderdate) >= [3600, 86400, 604800, 2592000, NULL][o_orderkey % 5 + 1], FALSE) AS due FROM orders",
     "f_scores": """WITH x AS (SELECT o_orderkey, o_totalprice / 250000 AS x FROM orders), y AS (SELECT *, greatest(0.0::DOUBLE, (1 - abs(1 - x)) * (1 - abs(1 - x)) * (1 - abs(1 - x))) AS semantic, greatest(0.0::DOUBLE, 1 - 1 / (1 + x)) AS keyword FROM x)
@@ -221,7 +221,7 @@ SELECT o_orderkey, semantic, keyword, CASE WHEN o_orderkey % 2 = 0 THEN (semanti
     "w10_top_in_group": "SELECT o_orderpriority, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) <= 10",
     "w12_buckets": "SELECT o_custkey, bucket, string_agg(o_orderstatus, '|' ORDER BY o_orderkey) AS joined FROM (SELECT *, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 4 AS bucket FROM orders) GROUP BY 1, 2",
     "u2_union_distinct": "SELECT o_custkey AS k FROM orders UNION SELECT c_custkey FROM customer",
-    "u3_except": "SELECT c_custkey AS o_custkey FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "u3_except": "SELECT c_custkey AS o_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'",
     "u4_intersect": "SELECT o_custkey AS k FROM orders INTERSECT SELECT s_suppkey FROM supplier",
     "u5_first_source_wins": "SELECT c_custkey AS k, c_name AS name FROM customer UNION ALL SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT c_custkey FROM customer)",
     "u8_map_report": "SELECT k, 'left' AS side, count(*) AS n FROM (SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier) GROUP BY 1 UNION ALL SELECT k, 'right', count(*) FROM (SELECT s_nationkey AS k FROM supplier EXCEPT ALL SELECT c_nationkey FROM customer) GROUP BY 1",

@@ -120,5 +120,9 @@ QUERIES = {
 }
 SQL = {
     "ud7_tagged_scores": "WITH x AS (SELECT doc_id AS id, 'long' AS tag, n_chars / 10000 AS score FROM documents UNION ALL SELECT doc_id, 'english', CASE lang WHEN 'en' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FROM documents) SELECT * FROM x WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY tag ORDER BY score DESC, id) <= 15",
+    "ud5_map_reduce": r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda t: t <> '') AS w FROM documents),
+r(doc_id, n, step) AS (SELECT doc_id, len(w), 2 FROM w WHERE len(w) > 0 UNION ALL SELECT doc_id, n - n // 2, step * 2 FROM r WHERE n > 64),
+k AS (SELECT doc_id, max(step) AS step FROM r GROUP BY 1)
+SELECT k.doc_id, array_to_string(list_transform(range(0, len(w), step), lambda i: w[i + 1]), ' ') AS text FROM k JOIN w ON w.doc_id = k.doc_id""",
     "a25_changed_bytes": "WITH l AS (SELECT doc_id AS path, unnest(string_split(text, chr(10))) AS line, -1 AS n FROM documents UNION ALL SELECT doc_id - 1, unnest(string_split(text, chr(10))), 1 FROM documents), g AS (SELECT path, line, sum(n) AS n FROM l GROUP BY 1, 2) SELECT path, CAST(abs(coalesce(sum(strlen(line) * n) FILTER (n > 0), 0) - coalesce(sum(-strlen(line) * n) FILTER (n < 0), 0)) AS BIGINT) AS changed FROM g GROUP BY 1",
 }

@@ -108,7 +108,7 @@ QUERIES = {
     "a22_statistics": lambda s, d: table(s, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).agg(F.count("*").alias("total"), F.avg("n").alias("mean"), F.min("n").alias("least"), F.max("n").alias("most"), F.count_if(F.col("n") == 1).alias("single")),
     "s13_upsert": lambda s, d: upsert(_one(_versions(s, d, 0, 5)), _one(_versions(s, d, 4, 9)), ["o_custkey"], "o_orderkey"),
     "s14_insert_ignore": lambda s, d: insert_ignore(_one(_versions(s, d, 0, 5)), _one(_versions(s, d, 4, 9)), ["o_custkey"]),
-    "s16_delete_by_key": lambda s, d: _one(_versions(s, d, 0, 5)).where("o_custkey <> 1"),
+    "s16_delete_by_key": lambda s, d: _one(_versions(s, d, 0, 9)).where("o_custkey <> 1"),
     "s17_sql_with_parameters": lambda s, d: s.sql("SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_totalprice > :least AND o_orderstatus = :status", args={"least": 200000, "status": "F"}, orders=table(s, d, "orders")),
     "st4_since_mark": lambda s, d: since(table(s, d, "events"), "event_id", 500).select("event_id"),
     "st5_tombstones": lambda s, d: tombstones(_one(_versions(s, d, 0, 5)), _one(_versions(s, d, 4, 9)), "o_custkey"),
@@ -128,7 +128,7 @@ SQL = {
     "a22_statistics": "SELECT count(*) AS total, avg(n) AS mean, min(n) AS least, max(n) AS most, count(*) FILTER (n = 1) AS single FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)",
     "s13_upsert": f"{_AB} SELECT * FROM (SELECT * FROM a UNION SELECT * FROM b) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1",
     "s14_insert_ignore": f"{_AB} SELECT * FROM a UNION ALL SELECT * FROM b WHERE o_custkey NOT IN (SELECT o_custkey FROM a)",
-    "s16_delete_by_key": f"SELECT * FROM ({_V.format(0, 5)}) WHERE o_custkey <> 1",
+    "s16_delete_by_key": f"SELECT * FROM ({_V.format(0, 9)}) WHERE o_custkey <> 1",
     "s17_sql_with_parameters": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 200000 AND o_orderstatus = 'F'",
     "st4_since_mark": "SELECT event_id FROM events WHERE event_id > 500",
     "st5_tombstones": f"{_AB} SELECT *, FALSE AS is_deleted FROM b UNION ALL SELECT *, TRUE FROM a WHERE o_custkey NOT IN (SELECT o_custkey FROM b)",

@@ -62,9 +62,9 @@ def pages_as_text(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "pages").select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), page_title("html").alias("title"), page_text("html").alias("text"))
 
 
-QUERIES = {"s2_partitioned_scan": partitioned_scan, "s6_append": appended, "s9_merge_sorted": merged_chunks, "s10_merge_partitioned": merged_partitions, "s15_hot_table": hot_table, "s20_json_mart": json_mart, "s25_page_text": pages_as_text, "s1_pruned_scan": lambda s, d: table(s, d, "lineitem").where("l_quantity >= 30 AND l_shipdate < '1995-01-01'").select("l_orderkey", "l_quantity")}
+QUERIES = {"s2_partitioned_scan": partitioned_scan, "s6_append": appended, "s9_merge_sorted": merged_chunks, "s10_merge_partitioned": merged_partitions, "s15_hot_table": hot_table, "s20_json_mart": json_mart, "s25_page_text": pages_as_text, "s1_pruned_scan": lambda s, d: table(s, d, "lineitem").where("l_quantity >= 30 AND l_shipdate < '1997-01-01'").select("l_orderkey", "l_quantity")}
 SQL = {
-    "s1_pruned_scan": "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity >= 30 AND l_shipdate < TIMESTAMP '1995-01-01'",
+    "s1_pruned_scan": "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity >= 30 AND l_shipdate < TIMESTAMP '1997-01-01'",
     "s2_partitioned_scan": f"WITH {CHANGES} SELECT commit_sha, file_path, addition_bytes FROM changes WHERE change_type = 'added'",
     "s6_append": "SELECT o_orderkey, o_orderstatus FROM orders",
     "s9_merge_sorted": "SELECT o_orderkey, o_orderdate FROM orders",

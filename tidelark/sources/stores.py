@@ -26,8 +26,12 @@ def _own_dir(application: str) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path that nothing has used before, in the folder that spark.checkpoint.dir names."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark.sparkContext.applicationId)
+    """A path that nothing has used before, in the folder that spark.checkpoint.dir names; a temporary one only on one machine
+    where that is unset (tests)."""
+    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not base and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    base = base or _own_dir(spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/tidelark/{name}-{uuid.uuid4().hex}"
 
 
@@ -58,11 +62,40 @@ def delete(spark: SparkSession, path: str) -> bool:
     return fs.delete(p, True)
 
 
-def rename(spark: SparkSession, old: str, new: str) -> None:
-    """Put a finished table in the place of another."""
-    fs, p = _path(spark, new)
-    fs.delete(p, True)
-    fs.rename(_path(spark, old)[1], p)
+class Versions:
+    """A table that is replaced whole: each version is a folder of its own, and the newest that Spark has finished counts.
+
+    A crash leaves an unfinished folder that the next write replaces; the version before the newest stays for its readers.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _place(self, number: int) -> str:
+        return f"{self.path}/version-{number:010d}"
+
+    def _numbers(self) -> list[int]:
+        found = [int(n.removeprefix("version-")) for n in names(self.spark, self.path) if n.startswith("version-")]
+        return [n for n in found if exists(self.spark, f"{self._place(n)}/_SUCCESS")]
+
+    def current(self) -> str | None:
+        found = self._numbers()
+        return self._place(found[-1]) if found else None
+
+    def read(self, schema: StructType | None = None) -> DataFrame | None:
+        """None where nothing has been written."""
+        place = self.current()
+        if place is None:
+            return None
+        return (self.spark.read.schema(schema) if schema else self.spark.read).parquet(place)
+
+    def write(self, df: DataFrame) -> str:
+        found = self._numbers()
+        place = self._place(found[-1] + 1 if found else 1)
+        df.write.mode("overwrite").parquet(place)
+        for n in found[:-1]:
+            delete(self.spark, self._place(n))
+        return place
 
 
 def require_columns(df: DataFrame, schema: StructType) -> DataFrame:
@@ -112,17 +145,17 @@ class ParquetStore:
 
 
 class KeyedStore:
-    """A table with a key that is rewritten whole: the next version is finished before it takes the place of the last."""
+    """A table with a key, written as a new version by each change."""
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: list[str]):
-        self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, keys
+        self.spark, self.versions, self.schema, self.keys = spark, Versions(spark, path), schema, keys
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path) if exists(self.spark, self.path) else self.spark.createDataFrame([], self.schema)
+        found = self.versions.read(self.schema)
+        return self.spark.createDataFrame([], self.schema) if found is None else found
 
     def _replace(self, df: DataFrame) -> None:
-        df.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}.next")
-        rename(self.spark, f"{self.path}.next", self.path)
+        self.versions.write(df.select(*self.schema.names))
 
     def upsert(self, rows: DataFrame, version: str) -> None:
         self._replace(upsert(self.read(), rows, self.keys, version))
@@ -184,7 +217,7 @@ def walk(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ()) -> Data
 
 
 def archive_members(files: DataFrame) -> DataFrame:
-    """path, member, size, content of the members of zip files (path, content), without resource forks."""
+    """path, member, size, content of the members of zip files (path, content), without resource forks; a broken file has none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
@@ -193,8 +226,11 @@ def archive_members(files: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    rows += [(path, i.filename, i.file_size, z.read(i)) for i in z.infolist() if not i.is_dir() and not i.filename.startswith("__MACOSX")]
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        rows += [(path, i.filename, i.file_size, z.read(i)) for i in z.infolist() if not i.is_dir() and not i.filename.startswith("__MACOSX")]
+                except zipfile.BadZipFile:
+                    continue
             yield pd.DataFrame(rows, columns=["path", "member", "size", "content"])
 
     return files.select("path", "content").mapInPandas(run, "path string, member string, size long, content binary")

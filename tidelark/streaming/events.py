@@ -144,12 +144,16 @@ QUERIES = {
     "st1_tumbling_stream": lambda s, d: _run(s, tumbling(_events(s, d)), "tumbling", "complete").select("start", "event_type", "events", F.round("value", 6).alias("value")),
     "st9_dedup_stream": lambda s, d: _run(s, once_each(_events(s, d)), "dedup", "append").select("event_id", "event_type"),
     "st11_session_stream": lambda s, d: _run(s, sessions(_events(s, d)), "sessions", "complete"),
-    "st12_throttle_stream": lambda s, d: _run(s, throttled(_events(s, d)), "throttle", "append"),
+    "st12_throttle_stream": lambda s, d: _run(s, throttled(_events(s, d)), "throttle", "append").select("user_id", "event_id"),
     "st2_static_join_stream": lambda s, d: _run(s, with_dimension(_events(s, d), s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("user_id"), "c_mktsegment"), "user_id"), "static", "append").select("event_id", "c_mktsegment"),
 }
 SQL = {
     "st1_tumbling_stream": "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS events, round(sum(value), 6) AS value FROM events GROUP BY 1, 2",
     "st9_dedup_stream": "SELECT event_id, event_type FROM events",
     "st11_session_stream": "WITH x AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) >= 1800000000, TRUE) AS new FROM events), y AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM x) SELECT user_id, min(ts) AS started_at, count(*) AS events FROM y GROUP BY user_id, session",
+    "st12_throttle_stream": """WITH RECURSIVE e AS (SELECT user_id, ts, min(event_id) AS event_id FROM events GROUP BY 1, 2),
+n AS (SELECT user_id, event_id, first_value(event_id) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM e),
+t(user_id, event_id) AS (SELECT user_id, arg_min(event_id, ts) FROM e GROUP BY 1 UNION ALL SELECT n.user_id, n.following FROM t JOIN n ON n.event_id = t.event_id WHERE n.following IS NOT NULL)
+SELECT * FROM t""",
     "st2_static_join_stream": "SELECT event_id, c_mktsegment FROM events LEFT JOIN customer ON c_custkey = user_id",
 }
