@@ -17,7 +17,8 @@ Work per step, for n documents:
 
 Defined cases: null, empty and blank texts have an empty set, are linked with nothing and keep themselves; a text with fewer
 words than a shingle has one shingle, the whole sequence; repeated rows of a doc_id are equal sets and share its component
-(the stage keeps one of them); rows with a null doc_id can't stand for others and are kept;
+(the stage keeps one of them); doc_id is a key: rows that share one but differ in text are taken for versions of one document,
+whose links are those of one version; rows with a null doc_id can't stand for others and are kept;
 other columns of the input are ignored, and an empty table gives an empty result.
 """
 
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelark.llm.shared import cut, documents, one_row_each, only_ids, small_batches, tidy
+from tidelark.llm.shared import cut, documents, forget, one_row_each, only_ids, small_batches, tidy
 
 #: Text bytes hashed at a time; a longer word makes a longer piece.
 PIECE_BYTES = 1 << 21
@@ -196,8 +197,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
         low = cut(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = large.join(low, "u")
+        small, before = large.join(low, "u"), edges
         edges = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        forget(before, least, large, low)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             break
@@ -290,6 +292,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
             break
 
     by_class = cut(classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("digest", F.coalesce("component", "class_id").alias("component_id")), "class-components")
+    forget(classes, members, sets, *done, *edges)
     rows_out = base.select("doc_id", "n_shingles", F.coalesce("digest", F.concat(F.lit("-"), F.col("doc_id").cast("string")).cast("binary")).alias("digest"))
     return rows_out.join(by_class, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
