@@ -280,7 +280,7 @@ def test_spot_signatures_and_neighbours(spark):
     words = [*op10_spotsigs.ANCHORS[:12], *(f"word{i}" for i in range(60)), "Über", "naïve", "日本"]
     texts = [" ".join(r.choice(words) + r.choice(["", "", ",", ".\n"]) for _ in range(r.randint(1, 80))) for _ in range(60)]
     texts += ["", None, "the", "Caps LOCK", "x", " ".join(f"n{i}" for i in range(3000))]
-    ids = sorted(r.sample(range(-500, 5000), len(texts)))
+    ids = sorted([*r.sample(range(-500, 5000), len(texts) - 8), -(2**63) + 1, -(2**62), 2**61, 2**61 + 1, 2**62, 2**63 - 300, 2**63 - 2, 2**63 - 1])
     rows = list(zip(ids, texts, strict=True))
     got = {x.doc_id: x for x in op10_spotsigs.compared(frame(spark, [(i, t, "en", "s") for i, t in rows][::-1])).collect()}
     for (i, t), (_, n) in zip(rows, rows[1:] + rows[:1], strict=True):
@@ -293,6 +293,13 @@ def test_spot_signatures_and_neighbours(spark):
         assert abs(got[i].near_edited - len(a & b) / len(a | b)) < 1e-12 and abs(got[i].near_next - len(a & c) / len(a | c)) < 1e-12
 
 
+def test_spot_neighbours_of_null_and_repeated_ids(spark):
+    docs = frame(spark, [(None, "b", "en", "s"), (None, "a", "en", "s"), (4, "d", "en", "s"), (4, "c", "en", "s"), (900, None, "en", "s")])
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.text, r.next_text) for r in op10_spotsigs.with_next(docs).collect())
+    assert got == [(-1, "a", "b"), (-1, "b", "c"), (4, "c", "d"), (4, "d", ""), (900, "", "a")]
+    assert op10_spotsigs.compared(docs.limit(0)).count() == 0 and op10_spotsigs.linked(docs.limit(0)).count() == 0
+
+
 def test_spot_pairs_equal_brute_force(spark):
     r = random.Random(7)
     base = " ".join(r.choice(["the", "of", f"w{r.randint(0, 200)}"]) for _ in range(120))
@@ -304,7 +311,11 @@ def test_spot_pairs_equal_brute_force(spark):
         first.setdefault(s, i)
     assert {x.doc_id: x.class_id for x in members.collect()} == {i: first[s] for i, s in sets.items()}
     reps = [(i, s) for s, i in first.items()]
-    assert {(x.u, x.v) for x in pairs.collect()} == {(a, b) for k, (a, s) in enumerate(reps) for b, u in reps[k + 1 :] if len(s & u) >= 0.7 * len(s | u)}
+    wanted = {(a, b) for k, (a, s) in enumerate(reps) for b, u in reps[k + 1 :] if len(s & u) >= 0.7 * len(s | u)}
+    assert {(x.u, x.v) for x in pairs.collect()} == wanted
+    links = Counter(x for p in wanted for x in p)
+    rows = op10_spotsigs.linked(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), 0.7).collect()
+    assert {x.doc_id: (x.class_id, x.n_links) for x in rows} == {i: (first[s], links[first[s]]) for i, s in sets.items()}
 
 
 # The pipeline

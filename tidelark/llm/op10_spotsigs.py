@@ -1,18 +1,20 @@
 """Document fingerprints by SpotSigs.
 
 A text is lower-cased and cut into words of letters and digits.  Common words are anchors; the chain of the three content words
-that follow an anchor is a spot signature.  The start of a text is an anchor too, and so is a content word whose hash is a
-multiple of `RARE`, which keeps texts of names, numbers or other languages from having no signatures.  A fingerprint is the sorted
+that follow an anchor is a spot signature.  Two kinds of anchor are added to the method's: the start of a text, and a content
+word whose hash is a multiple of `RARE`; they keep texts of names, numbers or other languages from having no signatures.  A fingerprint is the sorted
 set of the signatures' 32-bit hashes, written as eight hexadecimal digits each; likeness is the Jaccard similarity of two sets.
 
-`similar_pairs` finds pairs in a collection: sets are partitioned by length so that only partitions whose lengths allow the
+`similar_pairs` finds pairs in a collection (query `spotsigs_pairs`): sets are partitioned by length so that only partitions whose lengths allow the
 similarity meet, and within them the rarest signatures of a set are looked up only, as many as the similarity needs.
 
-Neighbours in the order of doc_id are found without a global sort: ids fall into ranges of `RANGE`, the first document of
-each range is also sent to the range before it, and one window works on each range.
+Neighbours in the order of doc_id are found without a global sort of texts: ids fall into ranges of `RANGE`, the first document
+of each range is also sent to the range before it, and one window works on each range.  The range before each is found among
+the ranges' numbers, which are sorted in parts, and across parts by their last numbers.
 
 Only DataFrame functions are used.  Defined cases: a null text counts as empty; an empty text has the one signature of an
-empty word, so equal texts always have likeness 1; rows that repeat a doc_id are ordered by text; a null doc_id comes first;
+empty word, so equal texts always have likeness 1; rows that repeat a doc_id are ordered by text; a null doc_id comes first,
+also as a class that only such rows have (its class_id is null);
 the document after the last is the first; other columns are ignored and an empty table gives an empty result.
 """
 
@@ -78,15 +80,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, sigs and those of the document after it, next_text and next_sigs."""
-    order_id = F.coalesce(F.col("doc_id"), F.lit(-(1 << 62)))
-    rows = docs.select("doc_id", text_or_empty().alias("text"), order_id.alias("o")).withColumn("range", F.expr(f"(o - pmod(o, {RANGE})) div {RANGE}"))
-    heads = cut(rows.groupBy("range").agg(F.min("o").alias("o")).withColumn("block", F.expr(f"(range - pmod(range, {RANGE})) div {RANGE}")), "heads")
-    # The range before each: within blocks of ranges, then across blocks, of which there is one for RANGE * RANGE ids.
-    within = heads.withColumn("before", F.lag("range").over(Window.partitionBy("block").orderBy("range")))
-    blocks = heads.groupBy("block").agg(F.max("range").alias("last"))
+    order_id = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+    rows = docs.select("doc_id", text_or_empty().alias("text"), order_id.alias("o")).withColumn("range", F.expr(f"o div {RANGE} - if(o % {RANGE} < 0, 1, 0)"))
+    heads = rows.groupBy("range").agg(F.min("o").alias("o"))
+    # The range before each: within parts of the sorted ranges, then across parts, of which there are as many as partitions.
+    heads = cut(heads.repartitionByRange("range").withColumn("part", F.spark_partition_id()), "heads")
+    within = heads.withColumn("before", F.lag("range").over(Window.partitionBy("part").orderBy("range")))
+    parts = heads.groupBy("part").agg(F.max("range").alias("last"))
     final = heads.agg(F.max("range")).first()[0]
-    edges = blocks.select("block", F.coalesce(F.lag("last").over(Window.orderBy("block")), F.lit(final)).alias("edge"))
-    heads = cut(within.join(edges, "block").select("o", F.coalesce("before", "edge").alias("before")), "heads-before")
+    edges = parts.select("part", F.coalesce(F.lag("last").over(Window.orderBy("part")), F.lit(final)).alias("edge"))
+    heads = cut(within.join(edges, "part").select("o", F.coalesce("before", "edge").alias("before")), "heads-before")
     if heads.count() <= BROADCAST_HEADS:
         heads = F.broadcast(heads)
     own = F.struct(F.lit(False).alias("copy"), F.col("range"))
@@ -132,9 +135,20 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, D
     return close.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "likeness"), members
 
 
+def linked(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """doc_id, class_id, n_links of documents (doc_id, text): the class of equal fingerprints and the classes similar to it."""
+    pairs, members = similar_pairs(docs, threshold)
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    return members.join(ends, "class_id", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared(documents(spark, sf_dir))
 
 
-QUERIES = {"op10_spotsigs": op10_spotsigs}
+def spotsigs_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked(documents(spark, sf_dir))
+
+
+QUERIES = {"op10_spotsigs": op10_spotsigs, "spotsigs_pairs": spotsigs_pairs}
 SQL: dict[str, str] = {}
