@@ -220,19 +220,14 @@ def test_language_defined_cases(spark):
 
 def test_language_equals_brute_force(spark):
     """Each text is compressed with compressors of its own, by the definition."""
-    import zstandard
-
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    docs = docs.unionByName(docs.limit(5))
-    dictionaries = op03_language.fit(docs)
-    size = lambda data, raw, level: len(zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress(data))
-    texts = [r.text for r in docs.collect()][:60] + ["la", "the", "x" * 3000, "der und 12"]
+    dictionaries = op03_language.fit(docs.unionByName(docs.limit(5)))
     classifier = op03_language.Classifier(dictionaries)
-    for t in texts:
+    for t in [r.text for r in docs.collect()][:60] + ["la", "the", "x" * 3000, "der und 12"]:
         data = op03_language.plain(t)
-        sizes = {k: size(data, v, op03_language.LEVEL) for k, v in dictionaries.items()}
+        sizes = {k: len(op03_language.narrow(v).compress(data)) for k, v in dictionaries.items()}
         if list(sizes.values()).count(min(sizes.values())) > 1:
-            sizes = {k: size(data.decode().encode("utf-32-le"), v.decode("utf-8", "ignore").encode("utf-32-le"), op03_language.WIDE_LEVEL) for k, v in dictionaries.items()}
+            sizes = {k: len(op03_language.wide(v).compress(data.decode().encode("utf-32-le"))) for k, v in dictionaries.items()}
         assert classifier.predict(t)[0] == min(sizes, key=sizes.get)
 
 

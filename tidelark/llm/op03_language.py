@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from tidelark.llm.shared import documents, small_batches, tidy
 
 LEVEL, DICT_BYTES, SAMPLE_DOCS, EXCERPT_CHARS, MAX_LANGUAGES = 9, 250_000, 400, 2_000, 200
-#: Level of the second encoding.
-WIDE_LEVEL = 15
+#: Level of the second encoding, and the size of text that its tables are laid out for, which bounds their memory.
+WIDE_LEVEL, WIDE_SOURCE = 9, 1 << 16
 #: Below this share of the runner-up's size a lead is narrow.
 MIN_MARGIN = 0.002
 _LETTER = regex.compile(r"\p{L}")
@@ -67,25 +67,32 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, excerpt_chars: int = EX
     return {r.lang: b"".join(texts.get(r.lang, []))[:dict_bytes] for r in counts}
 
 
-def _compressors(dictionaries: dict[str, bytes], level: int) -> dict[str, zstandard.ZstdCompressor]:
-    out = {}
-    for lang, raw in dictionaries.items():
-        words = zstandard.ZstdCompressionDict(raw if len(raw) >= 8 else raw.ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        words.precompute_compress(level=level)
-        out[lang] = zstandard.ZstdCompressor(dict_data=words, level=level, write_content_size=False, write_checksum=False, write_dict_id=False)
-    return out
+def narrow(raw: bytes) -> zstandard.ZstdCompressor:
+    """Compressor of the first encoding with a raw dictionary."""
+    words = zstandard.ZstdCompressionDict(raw.ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    words.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(dict_data=words, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
+def wide(raw: bytes) -> zstandard.ZstdCompressor:
+    """Compressor of the second encoding with the same dictionary."""
+    raw = raw.decode("utf-8", "ignore").encode("utf-32-le").ljust(8)
+    words = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    parameters = zstandard.ZstdCompressionParameters.from_level(WIDE_LEVEL, source_size=WIDE_SOURCE, dict_size=len(raw), write_content_size=False, write_checksum=False, write_dict_id=False)
+    words.precompute_compress(compression_params=parameters)
+    return zstandard.ZstdCompressor(dict_data=words, compression_params=parameters)
 
 
 class Classifier:
     """Sizes of a text under each language's dictionary; equal ones are decided by the second encoding."""
 
-    def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL):
-        self.compressors = _compressors(dictionaries, level)
+    def __init__(self, dictionaries: dict[str, bytes]):
+        self.compressors = {k: narrow(v) for k, v in dictionaries.items()}
         self._dictionaries = dictionaries
 
     @functools.cached_property
     def wide(self) -> dict[str, zstandard.ZstdCompressor]:
-        return _compressors({k: v.decode("utf-8", "ignore").encode("utf-32-le") for k, v in self._dictionaries.items()}, WIDE_LEVEL)
+        return {k: wide(v) for k, v in self._dictionaries.items()}
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, margin); the margin is the lead over the runner-up as a share of the runner-up's size."""
