@@ -36,7 +36,7 @@ MARK = "▁"
 #: Pairs that a worker remembers at most.
 MEMO_PAIRS = 400_000
 #: Text bytes whose segments are encoded together.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 #: Segments up to this length are filled together, longer ones each by itself.
 TOGETHER = 64
 SLOT_BITS = 19

@@ -75,14 +75,21 @@ def one_row_each(rows: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A task that gives its memory back to the system at its end: Python workers wait for the next one without it."""
+    """A task that gives memory back to the system after each batch and at its end: Python workers wait for the next one
+    without it."""
+
+    def give_back() -> None:
+        with contextlib.suppress(AttributeError, OSError):
+            ctypes.CDLL(None).malloc_trim(0)
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+        for batch in run(batches):
+            yield batch
+            del batch
+            give_back()
         gc.collect()
         pa.default_memory_pool().release_unused()
-        with contextlib.suppress(AttributeError, OSError):
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return tidied
 
