@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidelark.operators import access, aggregates, catalog, graphs, listing, search, symbols, usage
+from tidelark.operators import access, aggregates, catalog, graphs, imports, listing, search, symbols, usage
 from tidelark.sources import queries as stores
 from tidelark.streaming import events
 
-_MODULES = [aggregates, listing, access, catalog, usage, search, graphs, symbols, stores, events]
+_MODULES = [aggregates, listing, access, catalog, usage, search, graphs, imports, symbols, stores, events]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
