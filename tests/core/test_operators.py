@@ -10,10 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelark.functions import columns as C
-from tidelark.operators import access, aggregates, graphs, listing, search, symbols, usage
+from tidelark.operators import access, aggregates, graphs, imports, listing, search, symbols, usage
 from tidelark.plans import standins
 from tidelark.plans.analytics import AnalyticsRun
-from tidelark.sources.stores import ChunkStore, KeyedStore, ParquetStore, archive_members, page_text, read_json, require_columns, walk, write_json
+from tidelark.sources.stores import ChunkStore, KeyedStore, ParquetStore, archive_members, git_log, next_cursor, page_text, paged_log, read_json, require_columns, walk, write_json
 from tidelark.streaming import events
 
 DATA = "/root/testdata/sf0.001"
@@ -384,3 +384,92 @@ def test_entry_point(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def links(df):
+    return sorted((r.path, r.name, r.unit) for r in df.collect())
+
+
+def test_import_rules(spark):
+    files = lambda *paths: spark.createDataFrame([(p, 1) for p in (*paths, paths[0], None)], "path string, unit int")
+    wanted = lambda *rows: spark.createDataFrame([*rows, rows[0], (None, "x"), ("a", None), ("a", "")], "path string, name string")
+    c = imports.c_includes(wanted(("r/a/x.c", "y.h"), ("r/a/x.c", "../b/z.h"), ("r/b/w.c", "y.h"), ("r/a/x.c", "none.h"), ("r/b/w.c", "a/y.h")), files("r/a/y.h", "r/a/b/my.h", "r/b/z.h", "q/a/y.h"))
+    assert links(c) == [("r/a/x.c", "../b/z.h", "r/b/z.h"), ("r/a/x.c", "y.h", "r/a/y.h"), ("r/b/w.c", "a/y.h", "q/a/y.h"), ("r/b/w.c", "y.h", "q/a/y.h")]
+    assert links(imports.c_includes(wanted(("r/c.c", "y.h")), files("r/a/my.h"))) == [("r/c.c", "y.h", "r/a/my.h")]
+    java = imports.java_imports(wanted(("r/M.java", "com.a.K"), ("r/M.java", "com.a"), ("r/M.java", "K"), ("r/M.java", "org.x")), files("r/com/a/K.java", "r/com/a/L.java", "r/sub/com/a/N.java"))
+    assert links(java) == [("r/M.java", "com.a", "r/com/a"), ("r/M.java", "com.a", "r/sub/com/a"), ("r/M.java", "com.a.K", "r/com/a/K.java")]
+    js = imports.js_imports(wanted(("r/a/m.ts", "./x"), ("r/a/m.ts", "../b"), ("r/a/m.ts", "../b/y.js"), ("r/a/m.ts", "./x.css"), ("r/a/m.ts", "x"), ("r/a/m.ts", "../../../r/a/x")), files("r/a/x.js", "r/a/x.ts", "r/b/index.js", "r/b/y.js", "r/a/x.css"))
+    assert links(js) == [("r/a/m.ts", "../b", "r/b/index.js"), ("r/a/m.ts", "../b/y.js", "r/b/y.js"), ("r/a/m.ts", "./x", "r/a/x.ts")]
+    required = spark.createDataFrame([("r/a.rb", "lib/x", True), ("r/a.rb", "x", False), ("r/a.rb", "y.rb", False), ("r/a.rb", "u", False), ("r/a.rb", "u", None)], "path string, name string, relative boolean")
+    assert links(imports.ruby_requires(required, files("r/lib/x.rb", "r/b/y.rb", "r/c/y.rb", "r/mu.rb"))) == [("r/a.rb", "lib/x", "r/lib/x.rb"), ("r/a.rb", "x", "r/lib/x.rb")]
+
+
+def test_import_packages(spark):
+    mods = spark.createDataFrame([("r/go.mod", "// c\nmodule ex.com/r \n"), ("r/sub/go.mod", "module ex.com/s\n"), ("r/x/go.mod", "nothing")], "path string, text string")
+    files = spark.createDataFrame([("r/m.go",), ("r/u/a.go",), ("r/u/b.go",), ("r/sub/n.go",), ("r/sub/k/d.go",), ("r/u/t.txt",), ("q/z.go",)], "path string")
+    packages = imports.go_packages(files, imports.go_modules(mods))
+    assert {(r.path, r.package) for r in packages.collect()} == {("r/m.go", "ex.com/r"), ("r/u/a.go", "ex.com/r/u"), ("r/u/b.go", "ex.com/r/u"), ("r/sub/n.go", "ex.com/s"), ("r/sub/k/d.go", "ex.com/s/k")}
+    asked = spark.createDataFrame([("r/m.go", "ex.com/r/u", False), ("r/m.go", "ex.com/s", False), ("r/sub/n.go", "ex.com/s/k", None), ("r/m.go", "ex.com/r", True)], "path string, name string, skipped boolean")
+    assert links(imports.go_imports(asked, packages)) == [("r/m.go", "ex.com/r/u", "r/u"), ("r/sub/n.go", "ex.com/s/k", "r/sub/k")]
+    rows = [("a", "N.A", "namespace"), ("b", "N.A", "namespace"), ("b", "N.B", "namespace"), ("c", "N.A.Type", "using"), ("c", "N.B", "using"), ("c", "N.A.Type.Deep", "using"), ("d", "N.B.T", "global")]
+    own, everywhere = imports.csharp_usings(spark.createDataFrame(rows, "path string, name string, kind string"))
+    assert links(own) == [("a", "N.A", "N.A"), ("b", "N.A", "N.A"), ("b", "N.B", "N.B"), ("c", "N.A.Type", "N.A"), ("c", "N.B", "N.B"), ("d", "N.B.T", "N.B")]
+    assert [r.unit for r in everywhere.collect()] == ["N.B"]
+    held = imports.members(files, spark.createDataFrame([("r/m.go", "N.A")], "path string, name string"))
+    uses = spark.createDataFrame([(1, "r/m.go", "f"), (2, "r/m.go", "g"), (3, "r/sub/n.go", "f")], "use_id int, file string, name string")
+    defs = spark.createDataFrame([("f", "r/u/a.go", 10), ("g", "r/u/a.go", 11), ("g", "r/u/b.go", 12)], "name string, def_file string, def_id int")
+    assert [tuple(r) for r in imports.link_uses_by_unit(uses, defs, imports.go_imports(asked, packages), held).collect()] == [(1, 10)]
+
+
+def test_tree_sizes_equal_a_fold(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice([None, 999]) if i < 2 else rng.choice([i - 1, rng.randrange(i)]), rng.randrange(-30, 25)) for i in range(120)]
+    size = {}
+    for node, parent, delta in rows:
+        size[node] = max(0, size.get(parent, 0) + delta)
+    got = graphs.tree_sizes(spark.createDataFrame(rows, "node int, parent int, delta int")).collect()
+    assert {r.node: r.size for r in got} == size and len(got) == 120
+    assert graphs.tree_sizes(spark.createDataFrame([], "node int, parent int, delta int")).collect() == []
+    with pytest.raises(ValueError):
+        graphs.tree_sizes(spark.createDataFrame([(1, 2, 1), (2, 1, 1)], "node int, parent int, delta int"))
+
+
+def test_git_log_reads_exports(spark, tmp_path):
+    text = "\x1es1\x1fp1 p2\x1fAnn\x1fa@x\x1f2024-05-01T10:00:00+02:00\x1fsub\tject\n\n1\t2\ta/b.py\n-\t-\timg.png\n3\t0\tsrc/{old => new}/f.py\n0\t0\tx.py => y.py\n1\t1\t{a => }/z.py\n\x1es2\x1f\x1fB\x1fb@x\x1fnot a date\x1f\n"
+    (tmp_path / "in").mkdir()
+    for name in ("one.log", "two.log"):
+        (tmp_path / "in" / name).write_text(text)
+    found, changes = git_log(spark, str(tmp_path / "in"))
+    rows = {r.commit_sha: r for r in found.collect()}
+    assert len(rows) == found.count() == 2 and rows["s1"].parents == ["p1", "p2"] and rows["s1"].message == "sub\tject" and rows["s1"].committed_at.hour == 8
+    assert rows["s2"].parents == [] and rows["s2"].committed_at is None
+    got = sorted((r.file_path, r.additions_lines, r.deletions_lines) for r in changes.collect())
+    assert got == [("/z.py", 1, 1), ("a/b.py", 1, 2), ("img.png", None, None), ("src/new/f.py", 3, 0), ("y.py", 0, 0)]
+
+
+def test_paged_log(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text('[{"log_id": "b", "type": "s"}, {"log_id": "c", "type": "x"}]\nno page\n[]\n[{"log_id": "a", "type": "s"}, {"log_id": "b", "type": "s"}, {"type": "s"}]\n')
+    read = lambda **k: paged_log(spark, str(tmp_path / "in"), "log_id string, type string", **k)
+    assert sorted(r.log_id for r in read().collect()) == ["a", "b", "c"] and next_cursor(read()) == "c"
+    assert [r.log_id for r in read(after="a", kinds=["s"]).collect()] == ["b"] and next_cursor(read(after="c")) is None
+    query = read(stream=True).writeStream.format("memory").queryName("paged").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
+    query.awaitTermination()
+    assert sorted(r.log_id for r in spark.table("paged").collect()) == ["a", "b", "c"]
+
+
+def test_functions_by_batch(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def upper(texts):
+        seen.add(len(texts))
+        assert 0 < len(texts) <= 3 and None not in texts
+        return [t.upper() for t in texts]
+
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else f"t{i}") for i in range(20)], "i int, t string").coalesce(1)
+    assert {r.i: r.u for r in df.select("i", symbols.by_batch(upper, "string", 3)("t").alias("u")).collect()} == {i: None if i % 4 == 0 else f"T{i}" for i in range(20)}
+    assert seen.value == 15
+    half = symbols.by_batch(lambda docs: [[t[: len(t) // 2] for t in d] for d in docs], "array<string>")
+    docs = spark.createDataFrame([(1, "aa bb cc dd ee"), (2, "x"), (3, ""), (4, None)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in symbols.reduced(docs, half, 2, whole=True).collect()} == {1: "a", 2: ""}
+    assert symbols.embedded_chunks(docs.limit(0), symbols._sizes).count() == 0

@@ -75,6 +75,36 @@ def folded_sizes(chain: DataFrame, group: str, order: str, delta: str) -> DataFr
     return x.withColumn("size", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(w))).drop("_sum")
 
 
+def tree_sizes(commits: DataFrame) -> DataFrame:
+    """node, size of commits (node, parent, delta): size(c) = max(0, size(first parent) + delta) along the whole graph; a commit
+    without a known parent begins at 0.  Nodes are unique.
+
+    A commit's step is x -> max(low, x + add), and steps in a row are one of the same form; so each round joins a commit with the
+    one its steps go back to, which doubles their number: a history of depth n takes log2(n) rounds.
+    """
+    add = F.col("delta").cast("long")
+    rows = commits.select("node", "parent", F.lit(0).cast("long").alias("low"), add.alias("add"))
+    known = rows.select(F.col("node").alias("parent")).distinct().withColumn("_known", F.lit(True))
+    rows = cut(rows.join(known, "parent", "left").select("node", F.when(F.col("_known"), F.col("parent")).alias("parent"), "low", "add"), "sizes")
+    done, open_ = rows.where("parent IS NULL"), rows.where("parent IS NOT NULL")
+    n, left, rounds = rows.count(), open_.count(), 0
+    while left:
+        if 2**rounds > n:
+            raise ValueError("parents go round in a circle")
+        above = done.unionByName(open_).select(F.col("node").alias("parent"), F.col("parent").alias("_up"), F.col("low").alias("_low"), F.col("add").alias("_add"))
+        step = open_.join(above, "parent").select("node", F.col("_up").alias("parent"), F.greatest("low", F.col("_low") + F.col("add")).alias("low"), (F.col("_add") + F.col("add")).alias("add"))
+        step = cut(step, "sizes")
+        done, open_ = done.unionByName(step.where("parent IS NULL")), step.where("parent IS NOT NULL")
+        left, rounds = open_.count(), rounds + 1
+    return done.select("node", F.greatest("low", "add").alias("size"))
+
+
+def below(edges: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the subgraph that the roots (node) reach, themselves included."""
+    nodes = cut(reachable(edges, roots.select(F.lit(0).alias("seed"), "node")).select("node"), "below")
+    return nodes, edges.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi")
+
+
 def transition_delta(before_ok: Column, after_ok: Column, before: Column, after: Column) -> Column:
     """What a changed file adds to the tree by whether it counted before and counts after."""
     return F.when(before_ok & after_ok, after - before).when(after_ok, after).when(before_ok, -before).otherwise(0)
@@ -172,6 +202,14 @@ def _symbols(s: SparkSession, d: str) -> DataFrame:
     return link_uses(uses, defs, visible)
 
 
+def _tree_sizes(s: SparkSession, d: str) -> DataFrame:
+    """Sizes along first parents that branch: each tenth commit goes on from the one three before."""
+    c = _chain(s, d)
+    parent = F.when((F.col("n") % 10 == 0) & F.col("p3").isNotNull(), F.col("p3")).otherwise(F.col("p1"))
+    delta = F.floor(F.col("o_totalprice") - 100000 * F.when(F.col("n") == 1, 0).otherwise(1.2)).cast("long")
+    return tree_sizes(c.select(F.col("o_orderkey").alias("node"), parent.alias("parent"), delta.alias("delta")))
+
+
 _CHAIN = "ch AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER w AS n, lag(o_orderkey) OVER w AS p1, lag(o_orderkey, 3) OVER w AS p3, lead(o_orderkey) OVER w AS nx FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"
 _TREE = "t AS (SELECT 'r' || n_regionkey || '/' || n_name || '/' || c_name AS path, c_custkey, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey)"
 _LINKS = """u AS (SELECT s_suppkey AS use_id, s_nationkey AS file, ['BUILDING', 'MACHINERY', 'AUTOMOBILE'][s_suppkey % 3 + 1] || '_' || (s_suppkey % 97) AS name FROM supplier), f AS (SELECT c_custkey AS def_id, c_nationkey AS def_file, c_mktsegment || '_' || (c_custkey % 97) AS name FROM customer),
@@ -180,6 +218,8 @@ QUERIES = {
     "g1_branch_membership": _membership,
     "g2_ancestor_difference": lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("node")).join(reachable(_edges(s, d), _heads(s, d).where("seed = 'dev'")), "node", "left_anti").select("node"),
     "g3_folded_sizes": lambda s, d: folded_sizes(_chain(s, d).withColumn("delta", F.floor(F.col("o_totalprice") - 100000 * F.when(F.col("n") == 1, 0).otherwise(1.2)).cast("long")), "o_custkey", "n", "delta").select("o_orderkey", "size"),
+    "g3_tree_sizes": _tree_sizes,
+    "g15_subgraph": lambda s, d: below(_edges(s, d), _heads(s, d).where("seed = 'dev'").select("node"))[1].select("src", "dst").distinct(),
     "g4_transition_delta": lambda s, d: file_changes(s, d).groupBy("commit_sha").agg(F.sum(transition_delta(F.col("change_type") != "added", (F.col("change_type") != "deleted") & C.is_analyzable("file_path"), F.col("deletion_bytes"), F.col("addition_bytes"))).cast("long").alias("delta")),
     "g6_is_merged": lambda s, d: _heads(s, d).join(reachable(_edges(s, d), _heads(s, d).where("seed = 'main'")).select("node").distinct().withColumn("merged", F.lit(True)), "node", "left").select("node", "seed", F.coalesce("merged", F.lit(False)).alias("merged")),
     "g7_first_own_commit": lambda s, d: commits(s, d).join(commits(s, d).where("branch_name = 'main'").select("commit_sha").distinct(), "commit_sha", "left_anti").groupBy("codebase_id", "branch_name").agg(F.min_by("commit_sha", F.struct("committed_at", "commit_sha")).alias("first_sha")),
@@ -196,6 +236,8 @@ SQL = {
     "g1_branch_membership": f"WITH {_CHAIN} SELECT o_orderkey AS node, CASE WHEN nx IS NULL THEN 'main' ELSE 'dev,main' END AS branches FROM ch",
     "g2_ancestor_difference": f"WITH {_CHAIN} SELECT o_orderkey AS node FROM ch WHERE nx IS NULL",
     "g3_folded_sizes": f"WITH {_CHAIN}, x AS (SELECT *, CAST(floor(o_totalprice - 100000 * CASE WHEN n = 1 THEN 0 ELSE 1.2::DOUBLE END) AS BIGINT) AS delta FROM ch), y AS (SELECT *, sum(delta) OVER (PARTITION BY o_custkey ORDER BY n) AS s FROM x) SELECT o_orderkey, CAST(s - least(0, min(s) OVER (PARTITION BY o_custkey ORDER BY n)) AS BIGINT) AS size FROM y",
+    "g3_tree_sizes": f"WITH RECURSIVE {_CHAIN}, x AS (SELECT o_orderkey AS node, CASE WHEN n % 10 = 0 THEN p3 ELSE p1 END AS parent, CAST(floor(o_totalprice - 100000 * CASE WHEN n = 1 THEN 0 ELSE 1.2::DOUBLE END) AS BIGINT) AS delta FROM ch), r(node, size) AS (SELECT node, greatest(0, delta) FROM x WHERE parent IS NULL UNION ALL SELECT x.node, greatest(0, r.size + x.delta) FROM r JOIN x ON x.parent = r.node) SELECT node, CAST(size AS BIGINT) AS size FROM r",
+    "g15_subgraph": f"WITH {_CHAIN} SELECT o_orderkey AS src, p1 AS dst FROM ch WHERE nx IS NOT NULL AND p1 IS NOT NULL UNION SELECT o_orderkey, p3 FROM ch WHERE nx IS NOT NULL AND p3 IS NOT NULL AND n % 10 = 0",
     "g4_transition_delta": f"WITH {CHANGES} SELECT commit_sha, CAST(sum(CASE WHEN change_type <> 'added' AND change_type <> 'deleted' AND file_path NOT LIKE '%.svg' THEN addition_bytes - deletion_bytes WHEN change_type <> 'deleted' AND file_path NOT LIKE '%.svg' THEN addition_bytes WHEN change_type <> 'added' THEN -deletion_bytes ELSE 0 END) AS BIGINT) AS delta FROM changes GROUP BY 1",
     "g6_is_merged": f"WITH {_CHAIN} SELECT o_orderkey AS node, CASE WHEN nx IS NULL THEN 'main' ELSE 'dev' END AS seed, TRUE AS merged FROM ch QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC) <= 2",
     "g7_first_own_commit": f"WITH {COMMITS} SELECT codebase_id, branch_name, arg_min(commit_sha, (committed_at, commit_sha)) AS first_sha FROM commits WHERE commit_sha NOT IN (SELECT commit_sha FROM commits WHERE branch_name = 'main') GROUP BY 1, 2",

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelark.plans.standins import CHANGES, commits, file_changes, table
-from tidelark.sources.stores import ChunkStore, KeyedStore, ParquetStore, new_path, page_text, page_title, read_json, write_json
+from tidelark.plans.standins import CHANGES, COMMITS, commits, file_changes, table
+from tidelark.sources.stores import ChunkStore, KeyedStore, ParquetStore, git_log, new_path, next_cursor, page_text, page_title, paged_log, read_json, write_json
 
 
 def partitioned_scan(s: SparkSession, d: str) -> DataFrame:
@@ -62,8 +62,38 @@ def pages_as_text(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "pages").select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), page_title("html").alias("title"), page_text("html").alias("text"))
 
 
-QUERIES = {"s2_partitioned_scan": partitioned_scan, "s6_append": appended, "s9_merge_sorted": merged_chunks, "s10_merge_partitioned": merged_partitions, "s15_hot_table": hot_table, "s20_json_mart": json_mart, "s25_page_text": pages_as_text, "s1_pruned_scan": lambda s, d: table(s, d, "lineitem").where("l_quantity >= 30 AND l_shipdate < '1997-01-01'").select("l_orderkey", "l_quantity")}
+def exported_log(s: SparkSession, d: str) -> DataFrame:
+    """Commits and changes written as an export of Git history and read from it."""
+    numstat = F.concat_ws("\t", F.col("additions_lines").cast("string"), F.col("deletions_lines").cast("string"), "file_path")
+    files = file_changes(s, d).groupBy("commit_sha").agg(F.array_join(F.collect_list(numstat), "\n").alias("files"))
+    c = commits(s, d).dropDuplicates(["commit_sha"]).join(files, "commit_sha")
+    at = F.date_format("committed_at", "yyyy-MM-dd'T'HH:mm:ssXXX")
+    head = F.concat_ws("\x1f", "commit_sha", F.lit(""), F.lit("name"), "author_email", at, F.lit("a subject"))
+    path = new_path(s, "git-log")
+    c.select(F.concat(head, F.lit("\n\n"), "files").alias("value")).write.option("lineSep", "\x1e").text(path)
+    found, changes = git_log(s, path)
+    return changes.join(found, "commit_sha").select("commit_sha", "author_email", F.to_date("committed_at").alias("day"), "file_path", "additions_lines", "deletions_lines")
+
+
+def logged_pages(s: SparkSession, d: str) -> DataFrame:
+    """Events as pages of a log, each with the first entries of the next one too; read up to a cursor, then on from there."""
+    e = table(s, d, "events").select(F.col("event_id").alias("log_id"), F.col("event_type").alias("type"), "user_id")
+    page = F.explode(F.array_distinct(F.array(F.floor(F.col("log_id") / 100), F.floor((F.col("log_id") - 5) / 100)))).alias("page")
+    pages = e.select("*", page).groupBy("page").agg(F.to_json(F.collect_list(F.struct("log_id", "type", "user_id"))).alias("value"))
+    path, entry = new_path(s, "pages"), "log_id long, type string, user_id long"
+    pages.where("page < 5").select("value").write.text(path)
+    first = paged_log(s, path, entry)
+    cursor = next_cursor(first)
+    taken = first.withColumn("turn", F.lit(1))
+    later = new_path(s, "pages")
+    pages.where("page >= 4").select("value").write.text(later)
+    return taken.unionByName(paged_log(s, later, entry, after=cursor).withColumn("turn", F.lit(2)))
+
+
+QUERIES = {"s22_git_log": exported_log, "s24_paged_log": logged_pages, "s2_partitioned_scan": partitioned_scan, "s6_append": appended, "s9_merge_sorted": merged_chunks, "s10_merge_partitioned": merged_partitions, "s15_hot_table": hot_table, "s20_json_mart": json_mart, "s25_page_text": pages_as_text, "s1_pruned_scan": lambda s, d: table(s, d, "lineitem").where("l_quantity >= 30 AND l_shipdate < '1997-01-01'").select("l_orderkey", "l_quantity")}
 SQL = {
+    "s22_git_log": f"WITH {COMMITS}, {CHANGES} SELECT c.commit_sha, author_email, CAST(committed_at AS DATE) AS day, file_path, c.additions_lines, c.deletions_lines FROM changes c JOIN (SELECT DISTINCT commit_sha, author_email, committed_at FROM commits) o ON o.commit_sha = c.commit_sha",
+    "s24_paged_log": "SELECT event_id AS log_id, event_type AS type, user_id, CASE WHEN event_id < 505 THEN 1 ELSE 2 END AS turn FROM events",
     "s1_pruned_scan": "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity >= 30 AND l_shipdate < TIMESTAMP '1997-01-01'",
     "s2_partitioned_scan": f"WITH {CHANGES} SELECT commit_sha, file_path, addition_bytes FROM changes WHERE change_type = 'added'",
     "s6_append": "SELECT o_orderkey, o_orderstatus FROM orders",

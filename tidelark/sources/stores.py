@@ -216,6 +216,45 @@ def walk(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ()) -> Data
     return files.select("path", "length", "content")
 
 
+#: Format of the exports that git_log reads: `git log --numstat --format=...`.
+GIT_LOG_FORMAT = "%x1e%H%x1f%P%x1f%an%x1f%ae%x1f%cI%x1f%s"
+
+
+def git_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(commits, changes) of Git history exported as text in GIT_LOG_FORMAT; a commit that several exports hold is one.
+
+    commits: commit_sha, parents, author, author_email, committed_at, message.  changes: commit_sha, file_path, additions_lines,
+    deletions_lines (null for binary files); a renamed file counts under its new path.
+    """
+    raw = spark.read.option("lineSep", "\x1e").text(path)
+    head = F.split(F.substring_index("value", "\n", 1), "\x1f")
+    x = raw.select(head.alias("h"), "value").where((F.size("h") >= 6) & (F.col("h")[0] != ""))
+    x = x.select(F.col("h")[0].alias("commit_sha"), "h", "value")
+    found = x.select("commit_sha", F.filter(F.split(F.col("h")[1], " "), lambda p: p != "").alias("parents"), F.col("h")[2].alias("author"), F.col("h")[3].alias("author_email"), F.try_to_timestamp(F.col("h")[4]).alias("committed_at"), F.array_join(F.slice("h", 6, F.size("h")), "\x1f").alias("message"))
+    line = r"^(\d+|-)\t(\d+|-)\t(.+)$"
+    lines = x.dropDuplicates(["commit_sha"]).select("commit_sha", F.explode(F.split("value", "\n")).alias("line")).where(F.regexp_like("line", F.lit(line)))
+    new_name = F.regexp_replace(F.regexp_replace(F.regexp_extract("line", line, 3), r"\{[^{}]* => ([^{}]*)\}", "$1"), "^.* => ", "")
+    count = lambda k: F.expr(f"try_cast(split(line, '\\t')[{k}] AS long)")
+    changes = lines.select("commit_sha", F.replace(new_name, F.lit("//"), F.lit("/")).alias("file_path"), count(0).alias("additions_lines"), count(1).alias("deletions_lines"))
+    return found.dropDuplicates(["commit_sha"]), changes
+
+
+def paged_log(spark: SparkSession, path: str, entry: StructType | str, after: str | int | None = None, kinds: list[str] | None = None, stream: bool = False) -> DataFrame:
+    """Entries of log pages, each line of the files one page (a JSON array of entries): those after a cursor (the last log_id
+    taken), of the given types.  Pages overlap where entries came in between, so an entry counts once; a line that is no page has
+    none.  As a stream, the files' order is that of the pages, and checkpoints keep the place instead of the cursor."""
+    reader = spark.readStream if stream else spark.read
+    kind = entry if isinstance(entry, str) else entry.simpleString()
+    x = reader.text(path).select(F.explode(F.from_json("value", f"array<struct<{kind}>>" if isinstance(entry, str) else f"array<{kind}>")).alias("e")).select("e.*").where("log_id IS NOT NULL")
+    x = x.where(F.col("log_id") > F.lit(after)) if after is not None else x
+    x = x.where(F.col("type").isin(kinds)) if kinds is not None else x
+    return x.dropDuplicates(["log_id"])
+
+
+def next_cursor(entries: DataFrame) -> str | int | None:
+    return entries.agg(F.max("log_id")).first()[0]
+
+
 def archive_members(files: DataFrame) -> DataFrame:
     """path, member, size, content of the members of zip files (path, content), without resource forks; a broken file has none."""
 
