@@ -469,7 +469,7 @@ def test_functions_by_batch(spark):
     df = spark.createDataFrame([(i, None if i % 4 == 0 else f"t{i}") for i in range(20)], "i int, t string").coalesce(1)
     assert {r.i: r.u for r in df.select("i", symbols.by_batch(upper, "string", 3)("t").alias("u")).collect()} == {i: None if i % 4 == 0 else f"T{i}" for i in range(20)}
     assert seen.value == 15
-    half = symbols.by_batch(lambda docs: [[t[: len(t) // 2] for t in d] for d in docs], "array<string>")
+    half = symbols.by_batch(lambda texts: [t[: len(t) // 2] for t in texts], "string")
     docs = spark.createDataFrame([(1, "aa bb cc dd ee"), (2, "x"), (3, ""), (4, None)], "doc_id long, text string")
-    assert {r.doc_id: r.text for r in symbols.reduced(docs, half, 2, whole=True).collect()} == {1: "a", 2: ""}
+    assert {r.doc_id: r.text for r in symbols.reduced(docs, half, 2).collect()} == {1: "a", 2: ""}
     assert symbols.embedded_chunks(docs.limit(0), symbols._sizes).count() == 0

@@ -81,18 +81,18 @@ def chunk_texts(docs: DataFrame, size: int, overlap: int = 0) -> DataFrame:
     return x.select("doc_id", F.transform(F.sequence(F.lit(0), F.size("t") - 1, F.lit(size - overlap)), part).alias("texts"))
 
 
-def reduced(docs: DataFrame, describe: Callable[[Column], Column], chunk_tokens: int = 512, max_rounds: int = 12, whole: bool = False) -> DataFrame:
+def reduced(docs: DataFrame, describe: Callable[[Column], Column], chunk_tokens: int = 512, max_rounds: int = 12) -> DataFrame:
     """One description of each document (doc_id, text): chunks are described and joined until a document is one chunk.
 
-    `describe` makes an expression of a chunk's text, or with `whole` of the array of all texts of a document (as a function in
-    Python does).  A document stays one row, so nothing is shuffled; one table a round is written.  Goes on as long as the open
-    documents together get shorter; `max_rounds` rounds on end without that raise.
+    Chunks are dealt over the tasks, and one table a round is written.  Goes on as long as the open documents together get shorter;
+    `max_rounds` rounds on end without that raise.
     """
     done, rest = None, docs.select("doc_id", "text")
     least, stuck = None, 0
     while stuck < max_rounds:
-        texts = describe(F.col("texts")) if whole else F.transform("texts", describe)
-        joined = cut(chunk_texts(rest, chunk_tokens).select("doc_id", F.size("texts").alias("n"), F.array_join(texts, " ").alias("text")), "joined")
+        parts = chunks(rest, chunk_tokens, 0).select("doc_id", "chunk_number", describe(F.col("text")).alias("text"))
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_number", "text"))), lambda s: s["text"]), " ")
+        joined = cut(parts.groupBy("doc_id").agg(F.count("*").alias("n"), joined.alias("text")), "joined")
         ready = joined.where("n = 1").select("doc_id", "text")
         done = ready if done is None else done.unionByName(ready)
         rest = joined.where("n > 1").select("doc_id", "text")
