@@ -20,12 +20,12 @@ def frame(spark, rows):
 # Line dedup
 
 
-def clean_by_hand(rows, max_ratio, min_pages, min_count):
+def clean_by_hand(rows, max_ratio, min_count):
     pages, counts = Counter(), defaultdict(Counter)
     for _, t, _, s in rows:
         pages[s or ""] += 1
         counts[s or ""].update({x.strip(" \t\r") for x in (t or "").split("\n")} - {""})
-    drop = {s: {x for x, c in counts[s].items() if c >= min_count and pages[s] >= min_pages and c / pages[s] > max_ratio} for s in pages}
+    drop = {s: {x for x, c in counts[s].items() if c >= min_count and c / pages[s] > max_ratio} for s in pages}
     return sorted((i, None if t is None else "\n".join(x for x in t.split("\n") if x.strip(" \t\r") not in drop[s or ""])) for i, t, _, s in rows)
 
 
@@ -35,8 +35,8 @@ def test_line_dedup(spark, broadcast_lines):
     rows = [(i, "\n".join(r.choice(["footer", " footer ", "nav\t", "", f"own {i}", f"line {r.randint(0, 30)}"]) for _ in range(r.randint(0, 8))), "en", r.choice(["a", "a", "b", None])) for i in range(150)]
     rows += [(200, None, None, "a"), (201, "", "en", "b"), (202, "footer", "en", "tiny"), (203, "x" * 50_000 + "\nfooter", "en", "a")]
     pages = frame(spark, rows).drop("host").selectExpr("*", "coalesce(source, '') AS host")
-    got = op01_line_dedup.clean_lines(pages, 0.3, 20, 3, broadcast_lines)
-    assert sorted(((x.doc_id, x.text) for x in got.collect())) == clean_by_hand(rows, 0.3, 20, 3)
+    got = op01_line_dedup.clean_lines(pages, 0.3, 3, broadcast_lines)
+    assert sorted(((x.doc_id, x.text) for x in got.collect())) == clean_by_hand(rows, 0.3, 3)
     x = {x.doc_id: x for x in got.collect()}
     assert (x[200].n_lines, x[200].n_dropped, x[201].n_lines, x[202].text) == (0, 0, 1, "footer")
 
@@ -46,10 +46,17 @@ def test_line_dedup_of_pages_without_doc_id(spark, broadcast_lines):
     # A join by doc_id alone found no drops for them.
     rows = [(None if i % 3 == 0 else i // 2, f"footer\nown {i}", "en", "ab"[i % 2]) for i in range(60)] + [(None, "footer\nown 0", "en", "tiny")]
     pages = frame(spark, rows).drop("host").selectExpr("*", "coalesce(source, '') AS host")
-    got = op01_line_dedup.clean_lines(pages, 0.3, 20, 3, broadcast_lines).collect()
+    got = op01_line_dedup.clean_lines(pages, 0.3, 3, broadcast_lines).collect()
     assert sorted(x.text for x in got) == sorted([f"own {i}" for i in range(60)] + ["footer\nown 0"])
 
 
+def test_small_hosts_lose_their_boilerplate_too(spark):
+    rows = [(i, f"footer\nown {i}", "en", "small") for i in range(19)] + [(50, "footer\nown", "en", "two"), (51, "footer\nown", "en", "two")]
+    pages = frame(spark, rows).drop("host").selectExpr("*", "source AS host")
+    got = {x.doc_id: x.text for x in op01_line_dedup.clean_lines(pages).collect()}
+    assert got == {i: f"own {i}" for i in range(19)} | {50: "footer\nown", 51: "footer\nown"}
+
+
 def test_line_stage_keeps_other_columns(spark):
     docs = frame(spark, [(i, f"footer\nown {i}", "en", "a") for i in range(40)])
     out = op01_line_dedup.lines_stage(spark, docs, "")
@@ -121,6 +128,53 @@ def test_mix_meets_budgets_and_redistributes(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
 
 
+def mix_by_hand(rows, percent, max_epochs):
+    """(doc_id, epoch) of rows (doc_id, domain, lang, source, tokens)."""
+    import hashlib
+
+    leaves = defaultdict(list)
+    for x in rows:
+        leaves[tuple(v or "unknown" for v in x[1:4])].append(x)
+    tokens = {k: sum(x[4] for x in v) for k, v in leaves.items() if sum(x[4] for x in v)}
+    capacity = lambda *prefix: sum(n * max_epochs for k, n in tokens.items() if k[: len(prefix)] == prefix)
+    weight = lambda weights, name: weights.get((name,), 1)
+    top = split_by_hand([(d, weight(op07_mixing.DOMAIN_WEIGHTS, d), capacity(d)) for d in sorted({k[0] for k in tokens})], sum(tokens.values()) * percent // 100)
+    chosen = set()
+    for d, share in top.items():
+        langs = sorted({k[1] for k in tokens if k[0] == d})
+        for g, part in split_by_hand([(g, weight(op07_mixing.LANGUAGE_WEIGHTS, g), capacity(d, g)) for g in langs], share).items():
+            sources = sorted({k[2] for k in tokens if k[:2] == (d, g)})
+            for s, budget in split_by_hand([(s, 1, capacity(d, g, s)) for s in sources], part).items():
+                whole, rest = divmod(budget, tokens[d, g, s])
+                members = leaves[d, g, s]
+                chosen |= {(x[0], e) for x in members for e in range(whole)}
+                before = 0
+                for x in sorted(members, key=lambda x: (hashlib.md5(f"mix:{whole}:{x[0]}".encode()).hexdigest(), x[0])):
+                    if before >= rest:
+                        break
+                    chosen.add((x[0], whole))
+                    before += x[4]
+    return chosen
+
+
+def test_mix_equals_brute_force(spark):
+    r = random.Random(11)
+    rows = [(i, r.choice(["web", "web", "news", "books", None]), r.choice(["en", "de", None]), r.choice(["s1", "s2", "s3", None]), r.randint(0, 40)) for i in range(400)]
+    docs = spark.createDataFrame([(*x, "clash") for x in rows], "doc_id long, domain string, lang string, source string, tokens long, share string")
+    got = op07_mixing.mix(docs, percent=70, max_epochs=2).collect()
+    assert Counter((x.doc_id, x.epoch) for x in got) == Counter(mix_by_hand(rows, 70, 2))
+
+
+def test_stages_take_columns_with_clashing_names(spark):
+    t = " ".join(f"w{i}" for i in range(40))
+    names = ["_id", "_x", "_h", "_key", "component_id", "kept", "x"]
+    docs = frame(spark, [(1, t, "en", "src1"), (2, t, "en", "src1"), (2, t, "en", "src1"), (3, "other", "de", "src2")])
+    docs = docs.selectExpr("doc_id", "text", "lang", "source", "n_chars", *(f"'clash' AS {n}" for n in names))
+    assert op07_mixing.mixing_stage(spark, docs, "").columns == docs.columns
+    out = op08_minmax_dedup.dedup_stage(spark, docs, "")
+    assert out.columns == docs.columns and sorted(x.doc_id for x in out.collect()) == [1, 3]
+
+
 def test_mixing_stage_defined_cases(spark):
     docs = frame(spark, [(1, "some text here", "en", "src1"), (2, None, None, None), (None, "other text", "de", "src2"), (3, "", "en", "src1"), (3, "", "en", "src1")])
     assert op07_mixing.mixing_stage(spark, docs, "").columns == docs.columns
@@ -186,6 +240,48 @@ def test_crowded_buckets_lose_no_link(spark):
     assert got == components_by_hand({i: shingles_of(t, 3) for i, t in enumerate(texts)}, 85)
 
 
+def test_texts_of_one_doc_id_are_texts_of_their_own(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    near_b = b.replace("b7 ", "b8 ")
+    rows = [(5, a), (5, b), (7, b), (8, near_b), (None, c), (None, c), (None, "c"), (9, c), (3, ""), (3, ""), (3, a + " z")]
+    docs = frame(spark, [(i, t, "en", "s") for i, t in rows])
+    got = Counter((x.doc_id, x.n_shingles, x.component_id, x.kept) for x in op08_minmax_dedup.near_duplicates(docs).collect())
+    assert got == Counter({(5, 56, 3, False): 1, (5, 56, 5, True): 1, (7, 56, 5, False): 1, (8, 56, 5, False): 1, (None, 56, 9, True): 2, (None, 1, None, True): 1, (9, 56, 9, True): 1, (3, 0, 3, True): 2, (3, 57, 3, True): 1})
+    out = op08_minmax_dedup.dedup_stage(spark, docs, "").collect()
+    assert Counter((x.doc_id, x.text) for x in out) == Counter([(5, b), (9, c), (3, ""), (3, a + " z"), (None, c), (None, c), (None, "c")])
+
+
+def test_rows_at_the_prefix_join_grow_with_the_copies(spark, monkeypatch):
+    """One component of n near copies and one foreign text in their buckets."""
+    met = {}
+    cut = op08_minmax_dedup.cut
+
+    def counted(df, name):
+        out = cut(df, name)
+        if name in ("mixed-components", "prefixes"):
+            met[name] = out
+        return out
+
+    monkeypatch.setattr(op08_minmax_dedup, "cut", counted)
+    base = [f"b{i}" for i in range(80)]
+    found = {}
+    for n in (60, 120, 240):
+        r = random.Random(n)
+        sets = []
+        for i in range(n):
+            w = list(base)
+            w[r.randrange(80)] = f"e{i}"
+            sets.append((i, w))
+        sets.append((n, base[:45] + [f"f{i}" for i in range(35)]))
+        hashed = [(i, np.unique(np.array([hash(tuple(w[j : j + 3])) for j in range(len(w) - 2)], dtype=np.int64)).tobytes()) for i, w in sets]
+        members = spark.createDataFrame([(i, len(h) // 8, 0 if i < n else 1) for i, h in hashed], "x long, n long, comp long")
+        pairs = op08_minmax_dedup.prefix_pairs(members, spark.createDataFrame(hashed, "x long, hashes binary"), 40)
+        assert all(x.u == n for x in pairs.collect())
+        mixed, prefix = met["mixed-components"], met["prefixes"]
+        found[n] = prefix.join(mixed.where("comp = 0").select("h", "comp"), ["h", "comp"]).count()
+    assert 0 < found[240] <= 5 * found[60]
+
+
 def test_min_max_agreement_estimates_jaccard():
     r = np.random.default_rng(1)
     x = r.integers(0, 2**63, 3000, dtype=np.uint64)
@@ -332,12 +428,12 @@ def test_pipeline_equals_its_stages_by_hand(spark, tmp_path):
     classifier = op03_language.Classifier(op03_language.fit(docs))
     predicted = {i: classifier.predict(t) for i, t, _, _ in rows}
     rows = [(i, t, predicted[i][0], s) for i, t, _, s in rows if predicted[i][2] >= op03_language.MIN_MARGIN]
-    cleaned = dict(clean_by_hand(rows, op01_line_dedup.MAX_RATIO, op01_line_dedup.MIN_PAGES, op01_line_dedup.MIN_COUNT))
+    cleaned = dict(clean_by_hand(rows, op01_line_dedup.MAX_RATIO, op01_line_dedup.MIN_COUNT))
     kept = components_by_hand({i: shingles_of(cleaned[i], 5) for i in cleaned}, 80)
-    survivors = {i for i in cleaned if kept[i] == i}
-    ids = {r.doc_id for r in out}
-    assert ids <= survivors
-    tokens = {i: -(-len(cleaned[i].encode()) // 4) for i in survivors}
-    assert 0.75 < sum(tokens[i] for i in ids) / sum(tokens.values()) < 0.95
+    source = {i: x for i, _, _, x in rows}
+    lang = {i: x for i, _, x, _ in rows}
+    domain = lambda x: (lambda n: ["web", "news", "books"][int(n[0][-9:]) % 3] if n else "unknown")(regex.findall("[0-9]+$", x or ""))
+    survivors = [(i, domain(source[i]), lang[i], source[i], -(-len(cleaned[i].encode()) // 4)) for i in cleaned if kept[i] == i]
+    assert sorted(r.doc_id for r in out) == sorted(i for i, _ in mix_by_hand(survivors, 80, 1))
     encoder = op02_pieces.PrefixTableEncoder(op02_pieces.model_path())
     assert all(r.ids == [*encoder.library.encode(cleaned[r.doc_id]), 2] for r in out)

@@ -54,6 +54,17 @@ def test_prefix_table_equals_merging(text):
     assert _PIECES.splitter().encode_all(pa.array([text]))[0].tolist() == _PIECES.library.encode(text)
 
 
+_WORDS = word_bpe(public_tokenizers.path("word_bpe_49k.json"))
+_LIBRARY = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["J\u030c", "T\u0308", "H\u0331", "W\u030a", "Y\u030a", *"JTHaeiK\u030c\u0308\u0331\u030a .,\n3'É"]), max_size=30))
+def test_marks_after_capitals_equal_the_library(parts):
+    text = "".join(parts)
+    assert _WORDS.encode_all(pa.array([text]))[0].tolist() == _LIBRARY.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize(("name", "make"), [("word_bpe_49k.json", word_bpe), ("byte_bpe_50k.json", byte_bpe)])
 def test_split_encoders_equal_the_library(name, make, texts):
     path = public_tokenizers.path(name)

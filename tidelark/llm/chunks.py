@@ -141,7 +141,8 @@ def word_bpe(path: str) -> SplitEncoder:
     texts are cut at spaces and line feeds, and between a letter and the punctuation at the end of a word.
 
     A-Z are lower-cased beforehand, so that words at the start of sentences are the same parts as elsewhere; a text that may
-    hold a special token, which is matched as it stands, is left whole.
+    hold a special token, which is matched as it stands, is left whole, and so is one with a mark right after a capital: composed
+    first, as the library does, it may be another letter than lower-cased first.
     """
     library = _library(path)
     suffix = library.model.end_of_word_suffix
@@ -152,7 +153,7 @@ def word_bpe(path: str) -> SplitEncoder:
         plain = pc.ascii_lower(pc.replace_substring(texts, "\n", " "))
         return pc.split_pattern(pc.replace_substring_regex(plain, "([a-z])([.,!?;:]+) ", "\\1 \\2 "), " ")
 
-    return SplitEncoder(PartTable(lambda parts: _encode_words(library, ends, parts)), lists, lambda t: pc.match_substring(t, "<|"), lambda t: np.frombuffer(_encode_with(library, [t])[0], "<i4"))
+    return SplitEncoder(PartTable(lambda parts: _encode_words(library, ends, parts)), lists, lambda t: pc.match_substring_regex(t, "<\\||[A-Z]\\pM"), lambda t: np.frombuffer(_encode_with(library, [t])[0], "<i4"))
 
 
 def byte_bpe(path: str) -> SplitEncoder:

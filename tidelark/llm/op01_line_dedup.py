@@ -10,8 +10,8 @@ pages' lines by (host, digest) and the drops brought back by a hash of doc_id, o
 
 Defined cases: a null text stays null; pages with a null host are left as they are, and the query and the stage take a null source
 for the empty one; blank lines are never counted or dropped; lines are
-compared without surrounding spaces, tabs and carriage returns; hosts with fewer than `min_pages` pages are left as they
-are; a page that loses all its lines keeps an empty text; repeated rows of a doc_id count as pages of their own; other
+compared without surrounding spaces, tabs and carriage returns; a line is boilerplate on `min_count` pages or more, whatever the
+host's size, so that hosts of one or two pages keep theirs; a page that loses all its lines keeps an empty text; repeated rows of a doc_id count as pages of their own; other
 columns pass through in the stage, and an empty table gives an empty result.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidelark.llm.shared import cut, documents
 
-MAX_RATIO, MIN_PAGES, MIN_COUNT = 0.05, 20, 3
+MAX_RATIO, MIN_COUNT = 0.05, 3
 #: Boilerplate digests of all hosts that are broadcast at most: 200,000 of 16 bytes.
 BROADCAST_LINES = 200_000
 #: What is trimmed off lines.
@@ -35,16 +35,16 @@ def _digests(text: Column) -> Column:
     return F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.unhex(F.md5(x)))
 
 
-def boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, min_count: int = MIN_COUNT) -> DataFrame:
+def boilerplate(pages: DataFrame, max_ratio: float = MAX_RATIO, min_count: int = MIN_COUNT) -> DataFrame:
     """host, digest, n_pages, ratio of the lines of (host, text) above the ratio."""
-    totals = pages.groupBy("host").agg(F.count("*").alias("host_pages")).where(F.col("host_pages") >= min_pages)
+    totals = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
     counts = pages.select("host", F.explode(F.array_distinct(_digests(F.col("text")))).alias("digest")).groupBy("host", "digest").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= min_count)
     return counts.join(totals, "host").withColumn("ratio", F.col("n_pages") / F.col("host_pages")).where(F.col("ratio") > max_ratio).select("host", "digest", "n_pages", "ratio")
 
 
-def clean_lines(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, min_count: int = MIN_COUNT, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+def clean_lines(pages: DataFrame, max_ratio: float = MAX_RATIO, min_count: int = MIN_COUNT, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """pages (doc_id, host, text, ...) with text without boilerplate lines, and n_lines and n_dropped added."""
-    found = cut(boilerplate(pages, max_ratio, min_pages, min_count).select("host", "digest"), "boilerplate")
+    found = cut(boilerplate(pages, max_ratio, min_count).select("host", "digest"), "boilerplate")
     if found.count() <= broadcast_lines:
         drops = F.broadcast(found.groupBy("host").agg(F.collect_set("digest").alias("_drops")))
         with_drops = pages.join(drops.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host"), "left").drop("_host")
@@ -82,7 +82,7 @@ SQL = {
     "op1_line_dedup": """
 WITH d AS (SELECT doc_id, coalesce(source, '') AS host, text, string_split(text, chr(10)) AS ls FROM documents),
 u AS (SELECT DISTINCT doc_id, host, trim(unnest(ls), ' ' || chr(9) || chr(13)) AS line FROM d),
-h AS (SELECT host, count(*) AS host_pages FROM d GROUP BY host HAVING count(*) >= 20),
+h AS (SELECT host, count(*) AS host_pages FROM d GROUP BY host),
 b AS (SELECT u.host, list(line) AS drops FROM (SELECT host, line, count(*) AS c FROM u WHERE line <> '' GROUP BY host, line) u JOIN h ON h.host = u.host WHERE c >= 3 AND c / host_pages > 0.05 GROUP BY u.host),
 k AS (SELECT d.doc_id, d.host, d.text, ls, list_filter(ls, lambda x: NOT list_contains(coalesce(drops, []), trim(x, ' ' || chr(9) || chr(13)))) AS kept FROM d LEFT JOIN b ON b.host = d.host)
 SELECT doc_id, host, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(ls) - len(kept), 0) AS BIGINT) AS n_dropped, CASE WHEN text IS NULL THEN NULL ELSE coalesce(array_to_string(kept, chr(10)), '') END AS text FROM k

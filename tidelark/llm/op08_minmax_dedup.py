@@ -15,10 +15,13 @@ Work per step, for n documents:
   components is lost;
 * components come from alternating large-star and small-star steps, each written to the shared folder.
 
+Classes are known by their sets' digests, not by doc_id: rows that share a doc_id but differ in text are texts of their own, each
+with its own links, and the component of each is the smallest doc_id that its text reaches.
+
 Defined cases: null, empty and blank texts have an empty set, are linked with nothing and keep themselves; a text with fewer
-words than a shingle has one shingle, the whole sequence; repeated rows of a doc_id are equal sets and share its component
-(the stage keeps one of them); doc_id is a key: rows that share one but differ in text are taken for versions of one document,
-whose links are those of one version; rows with a null doc_id can't stand for others and are kept;
+words than a shingle has one shingle, the whole sequence; repeated rows of a doc_id are equal sets and share its component;
+rows with a null doc_id link like others, but can't stand for others and are kept; the stage keeps one row for each doc_id and
+set that is kept, and all rows with a null doc_id;
 other columns of the input are ignored, and an empty table gives an empty result.
 """
 
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelark.llm.shared import cut, documents, forget, one_row_each, only_ids, small_batches, tidy
+from tidelark.llm.shared import BROADCAST_IDS, cut, documents, forget, small_batches, tidy, unused
 
 #: Text bytes hashed at a time; a longer word makes a longer piece.
 PIECE_BYTES = 1 << 21
@@ -144,7 +147,7 @@ def _sketch(shingle: int, rows: int, bands: int):
         hasher, minmax = WordHasher(), MinMax(math.ceil(rows * bands / 2))
         mult = np.random.default_rng(3).integers(0, 2**63, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         for batch in batches:
-            sets = shingle_sets(batch.column(1), shingle, hasher)
+            sets = shingle_sets(batch.column(2), shingle, hasher)
             full = [i for i, s in enumerate(sets) if len(s)]
             keys: list = [None] * len(sets)
             digests: list = [None] * len(sets)
@@ -155,7 +158,7 @@ def _sketch(shingle: int, rows: int, bands: int):
                     keys[i] = k
                     s = sets[i]
                     digests[i] = (int(_mix(s).sum(dtype=np.uint64)).to_bytes(8, "little") + int(_mix(s * _ODD).sum(dtype=np.uint64)).to_bytes(8, "little") + len(s).to_bytes(4, "little"))
-            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "keys"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h", "n_shingles", "digest", "keys"])
 
     return run
 
@@ -165,7 +168,7 @@ def _sets_of(shingle: int):
         hasher = WordHasher()
         for batch in batches:
             sets = shingle_sets(batch.column(1), shingle, hasher)
-            yield pa.record_batch([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "hashes"])
+            yield pa.record_batch([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["x", "hashes"])
 
     return run
 
@@ -210,7 +213,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(x, h) of every hash in the sets of a batch (doc_id, hashes)."""
+    """(x, h) of every hash in the sets of a batch (x, hashes)."""
     for batch in batches:
         sets = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column(1)]
         if sets:
@@ -224,42 +227,63 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     of each, in any order that all sets agree on.  The rarest first: shingles that only one member has need no row at all.
     """
     members = cut(members, "open-sets")
-    tokens = sets.join(members.select(F.col("x").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "hashes").mapInArrow(tidy(_tokens), "x long, h long")
+    tokens = sets.join(members.select("x"), "x", "left_semi").select("x", "hashes").mapInArrow(tidy(_tokens), "x long, h long")
     tokens = cut(tokens, "tokens")
     shared = cut(tokens.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "shared-tokens")
     placed = tokens.join(shared, "h").withColumn("i", F.row_number().over(Window.partitionBy("x").orderBy("c", "h"))).withColumn("k", F.count("*").over(Window.partitionBy("x")))
     prefix = placed.join(members, "x").where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.col("k")))
     prefix = cut(prefix.select("h", "x", "n", "comp", (F.col("k") - F.col("i") + 1).alias("rest")), "prefixes")
+    # Components of a shingle are paired first, then their members: those of one component never meet.
+    sizes = cut(prefix.groupBy("h", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "shingle-components")
+    mixed = sizes.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    sizes = cut(sizes.join(mixed, "h", "left_semi"), "mixed-components")
+    met = sizes.join(sizes.select("h", F.col("comp").alias("yc"), F.col("lo").alias("ylo"), F.col("hi").alias("yhi")), "h")
+    met = met.where((F.col("comp") > F.col("yc")) & (F.col("hi") * 100 >= F.col("ylo") * percent) & (F.col("yhi") * 100 >= F.col("lo") * percent)).select("h", "comp", "yc")
     other = prefix.select("h", F.col("x").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("yc"), F.col("rest").alias("yrest"))
-    close = (F.col("x") > F.col("y")) & (F.col("comp") != F.col("yc")) & (F.least("n", "yn") * 100 >= F.greatest("n", "yn") * percent)
+    close = F.least("n", "yn") * 100 >= F.greatest("n", "yn") * percent
     # From the first shared shingle on, what is left of both must suffice for the overlap that the similarity takes.
     enough = F.least("rest", "yrest") * (100 + percent) >= (F.col("n") + F.col("yn")) * percent
-    return prefix.join(other, "h").where(close & enough).select(F.col("x").alias("u"), F.col("y").alias("v")).distinct()
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = 4, miss: float = 1e-6, star_rounds: int = 1) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of documents (doc_id, text); linked at `percent` Jaccard similarity of word shingles."""
+    pairs = prefix.join(met, ["h", "comp"]).join(other, ["h", "yc"]).where(close & enough)
+    return pairs.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
+
+
+def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """x, text of the classes (x, doc_id, h) that rows (doc_id, h, text) stand for; a row that is repeated comes once."""
+    name = [unused("_id", texts), unused("_h", texts)]
+    ids = wanted.select("x", F.col("doc_id").alias(name[0]), F.col("h").alias(name[1]))
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS // 3 else ids
+    same = F.col("doc_id").eqNullSafe(F.col(name[0])) & (F.col("h") == F.col(name[1]))
+    again = cut(texts.join(ids, same).groupBy("x").agg(F.count("*").alias("c")).where("c > 1").select("x"), "repeated")
+    found = texts.join(ids, same).select("x", "text")
+    if again.isEmpty():
+        return found
+    return found.join(again, "x", "left_anti").unionByName(found.join(again, "x", "left_semi").dropDuplicates(["x"]))
+
+
+def labelled(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = 4, miss: float = 1e-6, star_rounds: int = 1) -> DataFrame:
+    """doc_id, h, n_shingles, digest, component_id, kept of documents (doc_id, text); h is a hash of the text, and digest that of its
+    set (empty for no set)."""
     spark = docs.sparkSession
     small_batches(spark)
     bands = bands_for(percent / 100, rows, miss)
-    texts = docs.select("doc_id", "text")
-    base = cut(texts.mapInArrow(tidy(_sketch(shingle, rows, bands)), "doc_id long, n_shingles long, digest binary, keys array<long>"), "sketch")
-
-    # Equal sets form a class, which its smallest doc_id stands for.
-    classes = cut(base.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id")), "classes")
-    heads = base.where("digest is not null").join(classes.select(F.col("class_id").alias("doc_id"), F.col("digest").alias("d")), "doc_id").where("digest = d").dropDuplicates(["doc_id"])
-    members = heads.select(F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"), F.posexplode("keys").alias("band", "bucket"))
-    members = cut(members, "members")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    base = cut(texts.mapInArrow(tidy(_sketch(shingle, rows, bands)), "doc_id long, h long, n_shingles long, digest binary, keys array<long>"), "sketch")
+
+    # Equal sets form a class with a number of its own, which its row of the smallest doc_id stands for.
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first")
+    classes = base.where("digest is not null").groupBy("digest").agg(F.any_value("n_shingles").alias("n"), F.any_value("keys").alias("keys"), first)
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("x"), "digest", "n", "keys", "first.doc_id", "first.h"), "classes")
+    members = cut(classes.select("x", "n", F.posexplode("keys").alias("band", "bucket")), "members")
     counts = cut(members.groupBy("band", "bucket").agg(F.count("*").alias("c")).where("c > 1").select("band", "bucket"), "buckets")
     members = cut(members.join(counts, ["band", "bucket"]), "shared-buckets")
 
-    # Sets are needed for documents that share a bucket only.
-    wanted = cut(members.select(F.col("x").alias("doc_id")).distinct(), "wanted")
-    sets = cut(one_row_each(only_ids(texts, wanted)).mapInArrow(tidy(_sets_of(shingle)), "doc_id long, hashes binary"), "sets")
+    # Sets are needed for classes that share a bucket only.
+    wanted = cut(classes.join(members.select("x").distinct(), "x", "left_semi").select("x", "doc_id", "h"), "wanted")
+    sets = cut(_texts_of(texts, wanted).mapInArrow(tidy(_sets_of(shingle)), "x long, hashes binary"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        left = sets.select(F.col("doc_id").alias("u"), F.col("hashes").alias("hu"))
-        right = sets.select(F.col("doc_id").alias("v"), F.col("hashes").alias("hv"))
+        left = sets.select(F.col("x").alias("u"), F.col("hashes").alias("hu"))
+        right = sets.select(F.col("x").alias("v"), F.col("hashes").alias("hv"))
         return pairs.join(left, "u").join(right, "v").select("u", "v", "hu", "hv").mapInArrow(tidy(_confirm(percent)), "u long, v long")
 
     def sizes_fit(a: str, b: str):
@@ -291,17 +315,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, rows:
         if open_members.isEmpty():
             break
 
-    by_class = cut(classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select("digest", F.coalesce("component", "class_id").alias("component_id")), "class-components")
+    named = classes.join(labels.select(F.col("node").alias("x"), "component"), "x", "left").select("digest", "doc_id", F.coalesce("component", "x").alias("component"))
+    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    by_class = cut(named.join(smallest, "component").select("digest", "component_id"), "class-components")
     forget(classes, members, sets, *done, *edges)
-    rows_out = base.select("doc_id", "n_shingles", F.coalesce("digest", F.concat(F.lit("-"), F.col("doc_id").cast("string")).cast("binary")).alias("digest"))
-    return rows_out.join(by_class, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    nothing = F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")
+    out = base.select("doc_id", "h", "n_shingles", F.coalesce("digest", nothing).alias("_key"), F.coalesce("digest", F.lit(b"")).alias("digest"))
+    out = out.join(by_class.withColumnRenamed("digest", "_key"), "_key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "h", "n_shingles", "digest", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, **settings) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of documents (doc_id, text); linked at `percent` Jaccard similarity of word shingles."""
+    return labelled(docs, shingle, percent, **settings).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document with the smallest doc_id of each group of near copies stays."""
-    kept = cut(near_duplicates(docs).where("kept").select("doc_id").distinct(), "kept")
-    named = one_row_each(only_ids(docs.where(F.col("doc_id").isNotNull()), kept))
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    """Pipeline stage: of each group of near copies the document with the smallest doc_id stays; a doc_id with several texts keeps
+    each of those that no smaller doc_id stands for."""
+    kept = labelled(docs).where("kept AND doc_id IS NOT NULL").groupBy("doc_id", "digest").agg(F.min("h").alias("h"))
+    x, doc_id, h = (unused(n, docs) for n in ("_x", "_id", "_h"))
+    kept = cut(kept.select(F.monotonically_increasing_id().alias(x), F.col("doc_id").alias(doc_id), F.col("h").alias(h)), "kept")
+    ids = F.broadcast(kept) if kept.count() <= BROADCAST_IDS // 3 else kept
+    found = docs.join(ids, (F.col("doc_id") == F.col(doc_id)) & (F.xxhash64("text") == F.col(h)))
+    again = cut(found.groupBy(x).agg(F.count("*").alias("c")).where("c > 1").select(x), "repeated")
+    if not again.isEmpty():
+        found = found.join(again, x, "left_anti").unionByName(found.join(again, x, "left_semi").dropDuplicates([x]))
+    return found.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op8_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,22 +112,38 @@ def _pairs(sentence: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.nd
     return both // BUCKETS, both % BUCKETS
 
 
+def _in_parts(rows: list[tuple[bytes, int]], most: int = 100):
+    """(rows before, buckets, sentence, owner) of `most` rows at a time, which bounds the memory that their features take."""
+    hasher = SentenceHasher()
+    for i in range(0, len(rows), most):
+        buckets, sentence, owner, _, _ = hasher.features([r[0] for r in rows[i : i + most]])
+        yield i, buckets, sentence, owner
+
+
 def fit(rows: list[tuple[bytes, int]], rounds: int = ROUNDS, a_round: int = A_ROUND, shrink: float = SHRINK, smooth: float = SMOOTH, least_docs: int = LEAST_DOCS) -> tuple[np.ndarray, float] | None:
     """(weights by bucket, bias); features of fewer than `least_docs` toxic documents have none.  None without rows of both labels."""
     y = np.array([r[1] for r in rows], dtype=bool)
     if not y.any() or y.all():
         return None
-    buckets, sentence, owner, _, _ = SentenceHasher().features([r[0] for r in rows])
     n, weights = len(rows), np.zeros(BUCKETS, dtype=np.float32)
+    seen = np.zeros(BUCKETS, dtype=np.int64)
+    for _, buckets, sentence, owner in _in_parts([r for r in rows if r[1]]):
+        _, f = _pairs(np.repeat(owner[sentence], buckets.shape[1]), buckets.ravel())
+        seen += np.bincount(f, minlength=BUCKETS)
+    parts, owners, sentences = [], [], 0
+    for before, buckets, sentence, owner in _in_parts(rows):
+        at = seen[buckets] >= least_docs
+        s, f = _pairs(np.repeat(sentence, at.sum(axis=1)), buckets[at])
+        parts.append(((s + sentences).astype(np.int32), f.astype(np.int32)))
+        owners.append(owner + before)
+        sentences += len(owner)
+    owner = np.concatenate(owners)
     if not len(owner):
         return weights, -20.0
-    of_toxic = y[owner[sentence]]
-    _, seen = _pairs(np.repeat(owner[sentence[of_toxic]], buckets.shape[1]), buckets[of_toxic].ravel())
-    often = np.bincount(seen, minlength=BUCKETS) >= least_docs
-    at = often[buckets]
-    s, f = _pairs(np.repeat(sentence, at.sum(axis=1)), buckets[at])
+    s, f = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
     order = np.argsort(f, kind="stable")
-    s, f = s[order].astype(np.int32), f[order]
+    s, f = s[order], f[order]
     starts = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]])[: len(f)])
     ends = np.append(starts[1:], len(f))
     toxic, z = y[owner], np.full(len(owner), np.log(0.3 * n / len(owner)))

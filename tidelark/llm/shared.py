@@ -54,14 +54,23 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """`name`, with as many underscores before it as make it a new one for the tables."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def only_ids(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
     """Rows whose `column` is in the written table `ids` of one column, a null being equal to a null.
 
     Up to BROADCAST_IDS ids (counted) are broadcast, so that texts aren't shuffled; beyond that both sides are.
     """
-    ids = ids.select(F.col(ids.columns[0]).alias("_id"))
+    name = unused("_id", rows)
+    ids = ids.select(F.col(ids.columns[0]).alias(name))
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return rows.join(ids, F.col(column).eqNullSafe(F.col("_id")), "left_semi")
+    return rows.join(ids, F.col(column).eqNullSafe(F.col(name)), "left_semi")
 
 
 def one_row_each(rows: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -69,8 +78,9 @@ def one_row_each(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     again = cut(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key), "repeated")
     if again.isEmpty():
         return rows
-    again = again.select(F.col(key).alias("_id"))
-    same = F.col(key).eqNullSafe(F.col("_id"))
+    name = unused("_id", rows)
+    again = again.select(F.col(key).alias(name))
+    same = F.col(key).eqNullSafe(F.col(name))
     return rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates([key]))
 
 
