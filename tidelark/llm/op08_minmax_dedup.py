@@ -273,7 +273,7 @@ def labelled(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = 4
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first")
     classes = base.where("digest is not null").groupBy("digest").agg(F.any_value("n_shingles").alias("n"), F.any_value("keys").alias("keys"), first)
     classes = cut(classes.select(F.monotonically_increasing_id().alias("x"), "digest", "n", "keys", "first.doc_id", "first.h"), "classes")
-    members = cut(classes.select("x", "n", F.posexplode("keys").alias("band", "bucket")), "members")
+    members = cut(classes.select("x", "n", "doc_id", F.posexplode("keys").alias("band", "bucket")), "members")
     counts = cut(members.groupBy("band", "bucket").agg(F.count("*").alias("c")).where("c > 1").select("band", "bucket"), "buckets")
     members = cut(members.join(counts, ["band", "bucket"]), "shared-buckets")
 
@@ -293,7 +293,7 @@ def labelled(docs: DataFrame, shingle: int = 5, percent: int = 80, rows: int = 4
     labels = None
     for turn in range(star_rounds + 1):
         if turn < star_rounds:
-            order = F.col("x") if turn == 0 else F.xxhash64(F.lit(turn), "x")
+            order = F.struct(F.col("doc_id").isNull(), "doc_id", "x") if turn == 0 else F.xxhash64(F.lit(turn), "x")
             leads = cut(open_members.groupBy("band", "bucket").agg(F.min_by(F.struct("x", "n"), order).alias("lead")).select("band", "bucket", F.col("lead.x").alias("lx"), F.col("lead.n").alias("ln")), "leads")
             pairs = open_members.join(leads, ["band", "bucket"]).where((F.col("x") != F.col("lx")) & sizes_fit("n", "ln"))
             if turn:
