@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelark.functions import columns as C
-from tidelark.operators import access, aggregates, graphs, imports, listing, search, symbols, usage
+from tidelark.operators import access, aggregates, components, graphs, imports, listing, search, symbols, usage
 from tidelark.plans import standins
 from tidelark.plans.analytics import AnalyticsRun
 from tidelark.sources.stores import ChunkStore, KeyedStore, ParquetStore, archive_members, git_log, next_cursor, page_text, paged_log, read_json, require_columns, walk, write_json
@@ -103,7 +103,7 @@ def test_suffix_join(spark):
 def test_closure_on_a_diamond_with_a_cycle(spark):
     edges = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (5, 6), (6, 5)], "src int, dst int")
     assert {tuple(r) for r in graphs.closure(edges).collect()} == {(1, 2), (1, 3), (1, 4), (2, 4), (3, 4), (5, 6), (6, 5), (5, 5), (6, 6)}
-    got = {r.node: (r.component, r.reach) for r in graphs.components_with_reach(edges).collect()}
+    got = {r.node: (r.component, r.reach) for r in components.components_with_reach(edges).collect()}
     assert got == {1: (1, 4), 2: (2, 2), 3: (3, 2), 4: (4, 1), 5: (5, 2), 6: (5, 2)}
     seeds = spark.createDataFrame([("m", 2), ("d", 1)], "seed string, node int")
     assert {tuple(r) for r in graphs.reachable(edges, seeds).collect()} == {("m", 2), ("m", 4), ("d", 1), ("d", 2), ("d", 3), ("d", 4)}
@@ -260,12 +260,6 @@ def test_python_symbols_and_imports(spark):
     assert {(r.path, r.target) for r in symbols.resolved_imports(found, files).collect()} == {("pkg/a.py", "pkg/b.py")}
 
 
-def test_changed_bytes(spark):
-    frame = lambda *rows: spark.createDataFrame(rows, "path string, text string")
-    got = {r.path: r.changed for r in symbols.changed_bytes(frame(("f", "a\nbb"), ("g", "same")), frame(("f", "a\ncccc"), ("g", "same"))).collect()}
-    assert got == {"f": 2, "g": 0}
-
-
 def test_streams_equal_batches(spark, tmp_path):
     batch = spark.read.parquet(f"{DATA}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     batch.repartition(3).write.parquet(str(tmp_path / "in"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidelark.operators.graphs import _CHAIN, _chain, _edges, _heads, reachable
 from tidelark.operators.listing import first_by, page
 from tidelark.plans.standins import CHANGES, COMMITS, commits, file_changes, table
+from tidelark.sources.stores import cut
 
 
 def walk_commits(rows: DataFrame, since: Column | None = None, until: Column | None = None, author: str | None = None, skip_merges: bool = False, known: DataFrame | None = None, limit: int | None = None) -> DataFrame:
@@ -26,11 +27,19 @@ def walk_commits(rows: DataFrame, since: Column | None = None, until: Column | N
     return rows.limit(limit) if limit is not None else rows
 
 
-def merge_base(edges: DataFrame, heads: DataFrame, generation: DataFrame, group: str) -> DataFrame:
-    """The common ancestor of a group's two heads (seed, node, group) of the highest generation (node, group, n)."""
-    reach = reachable(edges, heads.select("seed", "node"))
-    shared = reach.groupBy("node").agg(F.countDistinct("seed").alias("k")).where("k = 2")
-    return shared.join(generation, "node").groupBy(group).agg(F.max_by("node", F.struct("n", "node")).alias("base"))
+def merge_bases(edges: DataFrame, heads: DataFrame) -> DataFrame:
+    """group, base: the best common ancestors of each group's heads (group, node), of any number: those that no other common
+    ancestor of the group reaches.  Groups may share commits; a group without a common ancestor has no row.
+
+    Whatever a common ancestor reaches is one too, so the best ones are those with no child among them.
+    """
+    heads = heads.select("group", "node").distinct()
+    reach = reachable(edges, heads.select(F.struct("group", F.col("node").alias("head")).alias("seed"), "node"))
+    counts = heads.groupBy("group").agg(F.count("*").alias("_heads"))
+    common = reach.groupBy(F.col("seed.group").alias("group"), "node").agg(F.count("*").alias("_n")).join(counts, "group").where("_n = _heads")
+    common = cut(common.select("group", "node"), "common")
+    below = edges.select(F.col("src").alias("node"), "dst").join(common, "node").select("group", F.col("dst").alias("node")).distinct()
+    return common.join(below, ["group", "node"], "left_anti").select("group", F.col("node").alias("base"))
 
 
 def unravelled(edges: DataFrame, first_parents: DataFrame, heads: DataFrame) -> DataFrame:
@@ -66,6 +75,22 @@ def _five(s: SparkSession, d: str) -> DataFrame:
     return x.join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count("*").alias("n"))
 
 
+def _last(s: SparkSession, d: str, n: int) -> DataFrame:
+    """The last n commits of each customer that has as many, as heads of a group."""
+    x = _chain(s, d).withColumn("k", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("n"))))
+    x = x.withColumn("many", F.max("n").over(Window.partitionBy("o_custkey"))).where((F.col("k") <= n) & (F.col("many") >= n))
+    return x.select(F.col("o_custkey").alias("group"), F.col("o_orderkey").alias("node"))
+
+
+def _criss_cross(s: SparkSession, d: str) -> DataFrame:
+    """Each commit goes on from those two and three before it; customers share commits in pairs."""
+    w = Window.partitionBy("o_custkey").orderBy("n")
+    c = _chain(s, d).select("o_custkey", "o_orderkey", "n", F.lag("o_orderkey", 2).over(w).alias("a"), F.lag("o_orderkey", 3).over(w).alias("b"))
+    heads = c.where("n = 1").select((F.col("o_custkey") - 1).alias("o_custkey"), F.col("o_orderkey").alias("c"))
+    x = c.join(heads, "o_custkey", "left").select(F.col("o_orderkey").alias("src"), F.explode(F.array("a", "b", F.when(F.expr("n = 1 AND o_custkey % 2 = 1"), F.col("c")))).alias("dst"))
+    return cut(x.where("dst IS NOT NULL"), "edges")
+
+
 QUERIES = {
     "j1_changes_with_commits": lambda s, d: file_changes(s, d).join(commits(s, d).dropDuplicates(["commit_sha"]).select("commit_sha", "author_email"), "commit_sha").groupBy("author_email").agg(F.count("*").alias("n")),
     "j2_left_fill": lambda s, d: table(s, d, "customer").select("c_custkey").join(_orders(s, d).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("most")), "c_custkey", "left").fillna(0.0, ["most"]),
@@ -84,7 +109,8 @@ QUERIES = {
     "u9_around_a_path": lambda s, d: table(s, d, "part").where("p_size <= 10").unionByName(table(s, d, "part").where("p_size >= 5")).dropDuplicates(["p_partkey"]).select("p_partkey"),
     "p14_commit_walk": lambda s, d: walk_commits(commits(s, d).dropDuplicates(["commit_sha"]), F.to_timestamp(F.lit("1995-01-01")), F.to_timestamp(F.lit("1996-12-31")), "USER1", True).select("commit_sha", "author_email"),
     "p21_kind_filters": lambda s, d: table(s, d, "customer").where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY") & ~F.col("c_nationkey").isin(3, 4)).select("c_custkey"),
-    "g5_merge_base": lambda s, d: merge_base(_edges(s, d), _heads(s, d), _chain(s, d).select(F.col("o_orderkey").alias("node"), "o_custkey", "n"), "o_custkey"),
+    "g5_merge_base": lambda s, d: merge_bases(_edges(s, d), _last(s, d, 2)).select(F.col("group").alias("o_custkey"), "base"),
+    "g5_criss_cross": lambda s, d: merge_bases(_criss_cross(s, d), _last(s, d, 3)).select(F.col("group").alias("o_custkey"), "base"),
     "g8_unravelled_merges": lambda s, d: unravelled(_edges(s, d), _chain(s, d).where("p1 IS NOT NULL AND n % 10 <> 0").select(F.col("o_orderkey").alias("src"), F.col("p1").alias("dst")).unionByName(_chain(s, d).where("p3 IS NOT NULL AND n % 10 = 0").select(F.col("o_orderkey").alias("src"), F.col("p3").alias("dst"))), _heads(s, d).where("seed = 'main'")),
     "k8_sections": lambda s, d: sections(table(s, d, "documents").select("doc_id", F.concat(F.lit("# "), "text").alias("text")), 3, 4),
     "s29_rekeyed": lambda s, d: rekeyed(table(s, d, "documents").select("doc_id", "text"), "doc_id", ["text"])[1],
@@ -108,6 +134,10 @@ SQL = {
     "p14_commit_walk": f"WITH {COMMITS} SELECT DISTINCT commit_sha, author_email FROM commits WHERE committed_at BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31' AND contains(author_email, 'user1') AND NOT is_merge_commit",
     "p21_kind_filters": "SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey NOT IN (3, 4)",
     "g5_merge_base": f"WITH {_CHAIN} SELECT o_custkey, o_orderkey AS base FROM ch QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC) = 2",
+    "g5_criss_cross": f"""WITH RECURSIVE {_CHAIN}, x AS (SELECT o_custkey, o_orderkey, n, lag(o_orderkey, 2) OVER w AS a, lag(o_orderkey, 3) OVER w AS b, count(*) OVER (PARTITION BY o_custkey) AS many FROM ch WINDOW w AS (PARTITION BY o_custkey ORDER BY n)),
+e AS (SELECT o_orderkey AS src, a AS dst FROM x WHERE a IS NOT NULL UNION SELECT o_orderkey, b FROM x WHERE b IS NOT NULL UNION SELECT x.o_orderkey, y.o_orderkey FROM x JOIN x y ON y.o_custkey = x.o_custkey + 1 AND y.n = 1 WHERE x.n = 1 AND x.o_custkey % 2 = 1),
+h AS (SELECT o_custkey AS g, o_orderkey AS node FROM x WHERE many >= 3 AND n > many - 3), r(g, head, node) AS (SELECT g, node, node FROM h UNION SELECT g, head, dst FROM r JOIN e ON src = node),
+c AS (SELECT g, node FROM r GROUP BY 1, 2 HAVING count(*) = 3) SELECT g AS o_custkey, node AS base FROM c WHERE NOT EXISTS (SELECT 1 FROM e JOIN c k ON k.node = e.src WHERE e.dst = c.node AND k.g = c.g)""",
     "g8_unravelled_merges": f"WITH RECURSIVE {_CHAIN}, m(node) AS (SELECT o_orderkey FROM ch WHERE nx IS NULL UNION SELECT CASE WHEN n % 10 = 0 THEN p3 ELSE p1 END FROM m JOIN ch ON o_orderkey = node WHERE n > 1) SELECT o_orderkey AS node FROM ch WHERE o_orderkey NOT IN (SELECT node FROM m)",
     "k8_sections": "WITH t AS (SELECT doc_id, string_split('# ' || text, chr(10)) AS l FROM documents) SELECT doc_id, coalesce(array_to_string(l[3:6], chr(10)), '') AS page, list_filter(l[1:3], lambda x: starts_with(x, '#'))[-1] AS heading, CAST(greatest(0, len(l) - 6) AS INT) AS remaining, CASE WHEN len(l) > 6 THEN 7 END AS next FROM t",
     "s29_rekeyed": "SELECT doc_id AS old_key, min(doc_id) OVER (PARTITION BY text) AS new_key FROM documents",

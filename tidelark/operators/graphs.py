@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelark.functions import columns as C
+from tidelark.operators import components
 from tidelark.operators.access import _tree
 from tidelark.operators.listing import first_by
 from tidelark.plans.standins import CHANGES, COMMITS, commits, file_changes, table
@@ -60,14 +61,6 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return known if known is not None else front
 
 
-def components_with_reach(edges: DataFrame) -> DataFrame:
-    """(node, component, reach): strongly connected components by their smallest node, and the nodes each reaches, itself included."""
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    all_pairs = cut(closure(edges).unionByName(nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"))).distinct(), "reach")
-    mutual = all_pairs.join(all_pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
-    return mutual.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("component")).join(all_pairs.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("reach")), "node")
-
-
 def folded_sizes(chain: DataFrame, group: str, order: str, delta: str) -> DataFrame:
     """size(c) = max(0, size(parent) + delta) along a chain, without a fold: the running sum less its lowest point below 0."""
     w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
@@ -223,7 +216,7 @@ QUERIES = {
     "g4_transition_delta": lambda s, d: file_changes(s, d).groupBy("commit_sha").agg(F.sum(transition_delta(F.col("change_type") != "added", (F.col("change_type") != "deleted") & C.is_analyzable("file_path"), F.col("deletion_bytes"), F.col("addition_bytes"))).cast("long").alias("delta")),
     "g6_is_merged": lambda s, d: _heads(s, d).join(reachable(_edges(s, d), _heads(s, d).where("seed = 'main'")).select("node").distinct().withColumn("merged", F.lit(True)), "node", "left").select("node", "seed", F.coalesce("merged", F.lit(False)).alias("merged")),
     "g7_first_own_commit": lambda s, d: commits(s, d).join(commits(s, d).where("branch_name = 'main'").select("commit_sha").distinct(), "commit_sha", "left_anti").groupBy("codebase_id", "branch_name").agg(F.min_by("commit_sha", F.struct("committed_at", "commit_sha")).alias("first_sha")),
-    "g9_scc_reach": lambda s, d: components_with_reach(_functional(s, d)),
+    "g9_scc_reach": lambda s, d: components.components_with_reach(_functional(s, d)),
     "g9_closure": lambda s, d: closure(_edges(s, d)).groupBy("src").agg(F.count("*").alias("ancestors")),
     "g10_link_uses": _symbols,
     "g11_inverted": lambda s, d: inverted(_symbols(s, d)),

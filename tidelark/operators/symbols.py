@@ -1,4 +1,4 @@
-"""Symbols of Python files, tree diffs, and map-reduce over chunks with a function of one's own."""
+"""Symbols of Python files, and map-reduce over chunks with a function of one's own."""
 
 from __future__ import annotations
 
@@ -63,17 +63,6 @@ def resolved_imports(symbols: DataFrame, files: DataFrame) -> DataFrame:
     return found.groupBy("path", "module").agg(F.min_by("target", F.struct("k", "target")).alias("target"))
 
 
-def changed_bytes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """path, changed: bytes of lines only one side has, for files (path, text) of two snapshots; signs cancel as in a diff."""
-
-    def lines(df: DataFrame, sign: int) -> DataFrame:
-        return df.select("path", F.explode(F.split("text", "\n")).alias("line")).groupBy("path", "line").agg((F.count("*") * sign).alias("n"))
-
-    both = lines(old, -1).unionByName(lines(new, 1)).groupBy("path", "line").agg(F.sum("n").alias("n"))
-    size = F.octet_length("line") * F.col("n")
-    return both.groupBy("path").agg(F.abs(F.sum(F.when(F.col("n") > 0, size).otherwise(0)) - F.sum(F.when(F.col("n") < 0, -size).otherwise(0))).cast("long").alias("changed"))
-
-
 def chunk_texts(docs: DataFrame, size: int, overlap: int = 0) -> DataFrame:
     """doc_id, texts: a document's chunks as an array; a text without tokens has no row."""
     x = docs.select("doc_id", tokens("text").alias("t")).where(F.size("t") > 0)
@@ -172,7 +161,6 @@ QUERIES = {
     "ud6_by_size": _by_size,
     "ud5_map_reduce": lambda s, d: reduced(_docs(s, d), _half, 64),
     "ud7_tagged_scores": lambda s, d: tagged_scores(s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "n_chars", "lang"), {"long": F.col("n_chars") / 10000, "english": F.when(F.col("lang") == "en", 1.0).otherwise(0.0)}, 15, 0.5),
-    "a25_changed_bytes": lambda s, d: changed_bytes(_docs(s, d).select(F.col("doc_id").alias("path"), "text"), _docs(s, d).select((F.col("doc_id") - 1).alias("path"), "text")),
 }
 _WORDS = r"t AS (SELECT doc_id, text, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS t FROM documents)"
 SQL = {
@@ -186,5 +174,4 @@ UNION ALL SELECT doc_id, 'gathered', array_to_string(list_transform(range(0, len
 r(doc_id, n, step) AS (SELECT doc_id, len(w), 2 FROM w WHERE len(w) > 0 UNION ALL SELECT doc_id, n - n // 2, step * 2 FROM r WHERE n > 64),
 k AS (SELECT doc_id, max(step) AS step FROM r GROUP BY 1)
 SELECT k.doc_id, array_to_string(list_transform(range(0, len(w), step), lambda i: w[i + 1]), ' ') AS text FROM k JOIN w ON w.doc_id = k.doc_id""",
-    "a25_changed_bytes": "WITH l AS (SELECT doc_id AS path, unnest(string_split(text, chr(10))) AS line, -1 AS n FROM documents UNION ALL SELECT doc_id - 1, unnest(string_split(text, chr(10))), 1 FROM documents), g AS (SELECT path, line, sum(n) AS n FROM l GROUP BY 1, 2) SELECT path, CAST(abs(coalesce(sum(strlen(line) * n) FILTER (n > 0), 0) - coalesce(sum(-strlen(line) * n) FILTER (n < 0), 0)) AS BIGINT) AS changed FROM g GROUP BY 1",
 }
