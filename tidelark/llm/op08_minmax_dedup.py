@@ -234,11 +234,14 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     prefix = placed.join(members, "x").where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.col("k")))
     prefix = cut(prefix.select("h", "x", "n", "comp", (F.col("k") - F.col("i") + 1).alias("rest")), "prefixes")
     # Components of a shingle are paired first, then their members: those of one component never meet.
-    sizes = cut(prefix.groupBy("h", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "shingle-components")
+    sizes = cut(prefix.groupBy("h", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("most")), "shingle-components")
     mixed = sizes.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     sizes = cut(sizes.join(mixed, "h", "left_semi"), "mixed-components")
-    met = sizes.join(sizes.select("h", F.col("comp").alias("yc"), F.col("lo").alias("ylo"), F.col("hi").alias("yhi")), "h")
-    met = met.where((F.col("comp") > F.col("yc")) & (F.col("hi") * 100 >= F.col("ylo") * percent) & (F.col("yhi") * 100 >= F.col("lo") * percent)).select("h", "comp", "yc")
+    met = sizes.join(sizes.select("h", F.col("comp").alias("yc"), F.col("lo").alias("ylo"), F.col("hi").alias("yhi"), F.col("most").alias("ymost")), "h")
+    fits = (F.col("hi") * 100 >= F.col("ylo") * percent) & (F.col("yhi") * 100 >= F.col("lo") * percent)
+    # The bound on what is left, as below, for the best that two components have.
+    may = F.least("most", "ymost") * (100 + percent) >= (F.col("lo") + F.col("ylo")) * percent
+    met = met.where((F.col("comp") > F.col("yc")) & fits & may).select("h", "comp", "yc")
     other = prefix.select("h", F.col("x").alias("y"), F.col("n").alias("yn"), F.col("comp").alias("yc"), F.col("rest").alias("yrest"))
     close = F.least("n", "yn") * 100 >= F.greatest("n", "yn") * percent
     # From the first shared shingle on, what is left of both must suffice for the overlap that the similarity takes.
