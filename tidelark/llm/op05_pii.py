@@ -2,8 +2,8 @@
 
 The base patterns of four kinds are found first and stay as they are.  What they leave is searched by the model: a candidate
 segment is a span of one to `MAX_TOKENS` whitespace-separated tokens, scored as a whole (digit groups, separators, checksums,
-at-signs, cue words before it), and dynamic programming over a stretch of tokens jointly chooses boundaries and kinds, a token
-outside all entities scoring 0.  A segment without a digit or an at-sign scores minus infinity, so a stretch reaches
+at-signs, cue words before it), a pair of segments with at most `NEAR_TOKENS` tokens between them by their kinds, and dynamic
+programming over a stretch of tokens jointly chooses boundaries and kinds, a token outside all entities scoring 0.  A segment without a digit, an at-sign or the word dot scores minus infinity, so a stretch reaches
 `MAX_TOKENS` tokens around such characters and everything else is outside without being looked at: the result is that of the
 whole text.  Chosen segments never overlap base spans.
 
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidelark.llm.shared import documents, small_batches, text_or_empty, tidy
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TOKENS = 6
+MAX_TOKENS, NEAR_TOKENS = 9, 3
 #: The base patterns.  An ip can only begin where a run of digits does, which is said so that a run is tried once.
 EMAIL_HOST = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -40,10 +40,15 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_TAIL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 #: Cue words by kind.
 CUES = {"phone": "phone tel telephone call mobile fax cell telefon tél teléfono".split(), "email": "email mail e-mail contact write correo courriel".split(), "card": "card visa mastercard amex credit karte carte tarjeta".split(), "ip": "ip address host server addr from".split()}
-_TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]", re.I)
+_TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]|(?<=\s)dot(?=\s)", re.I)
+#: Groups of digits that numbers of the four languages are written in.
+PHONE_SHAPES = frozenset("3-3-4 3-7 4-7 4-3-4 4-8 3-8 3-3-2-2 3-3-2-2-2 4-3-2-2 2-2-2-2-2 3-3-3 2-3-2-2 3-2-2-2 5-6 5-3-3".split())
 _TOKEN = re.compile(r"\S+")
 _AT = re.compile(r"\s*(?:@|[(\[]at[)\]])\s*", re.I)
-_DOT = re.compile(r"\s*(?:\.|[(\[]dot[)\]])\s*", re.I)
+#: A dot with a space behind it alone ends a sentence.
+_DOT = re.compile(r"\s+\.\s+|(?<!\s)\.(?!\s)|\s*[(\[]dot[)\]]\s*|\s+dot\s+", re.I)
+#: An address in words, with its dots and its at: the words of its host are parted by dots in words.
+_SPELT = re.compile(r"[A-Za-z0-9_-]+(?:\s+dot\s+[A-Za-z0-9_-]+)*\s+at\s+[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)+", re.I)
 _NAME, _HOST = re.compile(r"[A-Za-z0-9._%+-]+"), re.compile(r"[A-Za-z0-9-]+")
 
 
@@ -102,12 +107,16 @@ class Taken:
 def segment_features(segment: str, before: str, kind: str) -> list[str] | None:
     """Features of a candidate as a whole; None where the kind rules it out."""
     digits = _digits(segment)
-    if not digits and not _AT.search(segment):
+    spelt = kind == "email" and _SPELT.fullmatch(segment)
+    if not digits and not spelt and not _AT.search(segment):
         return None
     if not (segment[0].isalnum() or segment[0] in "([+") or not (segment[-1].isalnum() or segment[-1] in ")]"):
         return None
     letters = any(c.isalpha() for c in segment)
     cue = "cue" if any(w.strip(".,:;()").lower() in CUES[kind] for w in before.split()[-2:]) else "nocue"
+    if spelt:
+        top = segment.split()[-1]
+        return ["email", f"email:{cue}", f"email:spelt={min(len(top), 6) if top.isalpha() else 'odd'}", f"email:dots={min(3, len(re.findall('dot', segment, re.I)))}"]
     if kind == "email":
         sides = _AT.split(segment)
         if len(sides) != 2 or not _NAME.fullmatch(sides[0]):
@@ -129,8 +138,9 @@ def segment_features(segment: str, before: str, kind: str) -> list[str] | None:
         return ["card", f"card:{cue}", f"card:marks={marks}", f"card:even={len(set(groups[:-1])) <= 1 and groups[0] >= 4}"]
     if not 9 <= len(digits) <= 15 or len(groups) > 6:
         return None
-    shape = "-".join(map(str, groups[-3:]))
-    return ["phone", f"phone:{cue}", f"phone:marks={marks}", f"phone:shape={shape if shape in ('3-3-4', '3-4', '2-4-4') else 'other'}", f"phone:groups={min(len(groups), 5)}", f"phone:paren={bool(re.match(r'[(+]', segment))}"]
+    shape = "-".join(map(str, groups))
+    led = "zero" if digits[0] == "0" else "plain"
+    return ["phone", f"phone:{cue}", f"phone:marks={marks}", f"phone:shape={shape if shape in PHONE_SHAPES else 'other'}", f"phone:{led}:{cue}", f"phone:{led}:groups={min(len(groups), 6)}", f"phone:paren={bool(re.match(r'[(+]', segment))}"]
 
 
 class SemiMarkov:
@@ -142,8 +152,21 @@ class SemiMarkov:
     def candidates(self, text: str, tokens: list[tuple[int, int]], taken: Taken | list[tuple[int, int]]) -> list[tuple[int, int, str, int, int, list[str]]]:
         """(first token, token after the last, kind, start, end, features) of every segment that isn't ruled out."""
         out, taken = [], taken if isinstance(taken, Taken) else Taken(taken)
+        words = [text[a:b] for a, b in tokens]
+        triggers = [bool(_TRIGGER.search(f" {w} ")) for w in words]
+        letters = [any(c.isalpha() for c in w) for w in words]
+        ats = ["@" in w or "at" in w.lower() for w in words]
         for i in range(len(tokens)):
+            trigger = letter = at = False
             for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
+                trigger, letter, at = trigger or triggers[j - 1], letter or letters[j - 1], at or ats[j - 1]
+                # Only an address has letters, and it has an at.
+                if letter and not at:
+                    if not any(ats[j : i + MAX_TOKENS]):
+                        break
+                    continue
+                if not trigger:
+                    continue
                 start, end = tokens[i][0], tokens[j - 1][1]
                 while end > start and text[end - 1] in ".,;:!?\"'":
                     end -= 1
@@ -152,7 +175,7 @@ class SemiMarkov:
                 if end <= start or taken.meets(start, end):
                     continue
                 before = text[max(0, start - 40) : start]
-                for kind in KINDS:
+                for kind in ("email",) if letter else KINDS:
                     if (f := segment_features(text[start:end], before, kind)) is not None:
                         out.append((i, j, kind, start, end, f))
         return out
@@ -160,53 +183,106 @@ class SemiMarkov:
     def score(self, features: list[str]) -> float:
         return sum(self.weights.get(f, 0.0) for f in features)
 
+    def pair(self, before: str, kind: str) -> float:
+        return self.weights.get(f"pair:{before}>{kind}", 0.0)
+
+    def _before(self, n: int, candidates: list) -> list[list[int]]:
+        """For each candidate those that end at most NEAR_TOKENS tokens before it."""
+        by_end: dict[int, list[int]] = {}
+        for i, c in enumerate(candidates):
+            by_end.setdefault(c[1], []).append(i)
+        return [[k for e in range(max(0, c[0] - NEAR_TOKENS), c[0] + 1) for k in by_end.get(e, ())] for c in candidates]
+
     def best(self, n: int, candidates: list) -> list[tuple[str, int, int]]:
         """The segmentation of n tokens with the highest score, as (kind, start, end)."""
-        by_end: dict[int, list] = {}
-        for c in candidates:
-            by_end.setdefault(c[1], []).append(c)
-        top, back = [0.0] * (n + 1), [None] * (n + 1)
+        near, total, back = self._before(n, candidates), [0.0] * len(candidates), [-1] * len(candidates)
+        # Best of all that ends at a token or before it, and the candidate it ends with.
+        top, last, by_end = [0.0] * (n + 1), [-1] * (n + 1), {}
+        for i, c in enumerate(candidates):
+            by_end.setdefault(c[1], []).append(i)
         for j in range(1, n + 1):
-            top[j] = top[j - 1]
-            for c in by_end.get(j, ()):
-                if (s := top[c[0]] + self.score(c[5])) > top[j]:
-                    top[j], back[j] = s, c
-        out, j = [], n
-        while j:
-            if back[j] is None:
-                j -= 1
-            else:
-                out.append(back[j][2:5])
-                j = back[j][0]
+            top[j], last[j] = top[j - 1], last[j - 1]
+            for i in by_end.get(j, ()):
+                c = candidates[i]
+                far = max(0, c[0] - NEAR_TOKENS - 1)
+                before, back[i] = top[far], last[far]
+                for k in near[i]:
+                    if (v := total[k] + self.pair(candidates[k][2], c[2])) > before:
+                        before, back[i] = v, k
+                total[i] = before + self.score(c[5])
+                if total[i] > top[j]:
+                    top[j], last[j] = total[i], i
+        out, i = [], last[n]
+        while i >= 0:
+            out.append(candidates[i][2:5])
+            i = back[i]
         return out[::-1]
 
-    def expected(self, n: int, candidates: list) -> tuple[float, list[float]]:
-        """Log of the partition function and each candidate's probability."""
-        scores = [self.score(c[5]) for c in candidates]
-        forward, backward = [0.0] * (n + 1), [0.0] * (n + 1)
+    def expected(self, n: int, candidates: list) -> tuple[float, list[float], dict[tuple[int, int], float]]:
+        """Log of the partition function, each candidate's probability, and that of each pair of near ones."""
+        near, scores = self._before(n, candidates), [self.score(c[5]) for c in candidates]
+        order = sorted(range(len(candidates)), key=lambda i: candidates[i][1])
 
         def join(values: list[float]) -> float:
             m = max(values)
             return m + math.log(sum(math.exp(v - m) for v in values))
 
+        after: list[list[int]] = [[] for _ in candidates]
+        for i, ks in enumerate(near):
+            for k in ks:
+                after[k].append(i)
+        # Of all segmentations that end at a token or before it; with a candidate as the last.
+        up, forward, at = [0.0] * (n + 1), [0.0] * len(candidates), 0
         for j in range(1, n + 1):
-            forward[j] = join([forward[j - 1]] + [forward[c[0]] + s for c, s in zip(candidates, scores, strict=True) if c[1] == j])
-        for i in range(n - 1, -1, -1):
-            backward[i] = join([backward[i + 1]] + [backward[c[1]] + s for c, s in zip(candidates, scores, strict=True) if c[0] == i])
-        return forward[n], [math.exp(forward[c[0]] + s + backward[c[1]] - forward[n]) for c, s in zip(candidates, scores, strict=True)]
+            here = []
+            while at < len(order) and candidates[order[at]][1] == j:
+                i = order[at]
+                c = candidates[i]
+                far = [up[c[0] - NEAR_TOKENS - 1]] if c[0] > NEAR_TOKENS else [0.0]
+                forward[i] = scores[i] + join(far + [forward[k] + self.pair(candidates[k][2], c[2]) for k in near[i]])
+                here.append(forward[i])
+                at += 1
+            up[j] = join([up[j - 1], *here])
+        # Of all that begin at a token or after it; behind a candidate.
+        down, backward = [0.0] * (n + 2), [0.0] * len(candidates)
+        by_start: dict[int, list[int]] = {}
+        for i, c in enumerate(candidates):
+            by_start.setdefault(c[0], []).append(i)
+        done = [False] * len(candidates)
+
+        def behind(i: int) -> float:
+            if not done[i]:
+                to = candidates[i][1] + NEAR_TOKENS + 1
+                backward[i] = join([down[to] if to <= n else 0.0] + [self.pair(candidates[i][2], candidates[k][2]) + scores[k] + behind(k) for k in after[i]])
+                done[i] = True
+            return backward[i]
+
+        for j in range(n - 1, -1, -1):
+            down[j] = join([down[j + 1], *(scores[i] + behind(i) for i in by_start.get(j, ()))])
+        z = up[n]
+        pairs = {(k, i): math.exp(forward[k] + self.pair(candidates[k][2], candidates[i][2]) + scores[i] + backward[i] - z) for i, ks in enumerate(near) for k in ks}
+        return z, [math.exp(f + b - z) for f, b in zip(forward, backward, strict=True)], pairs
 
     def fit(self, labelled: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 60, rate: float = 0.5, decay: float = 1e-3) -> SemiMarkov:
         data = []
         for text, gold in labelled:
             tokens = [m.span() for m in _TOKEN.finditer(text)]
             found = self.candidates(text, tokens, [s[1:] for s in base_spans(text)])
-            data.append((len(tokens), found, [c[2:5] in gold for c in found]))
+            right = [c[2:5] in gold for c in found]
+            chosen = sorted((i for i, y in enumerate(right) if y), key=lambda i: found[i][0])
+            follow = {(a, b) for a, b in zip(chosen, chosen[1:], strict=False) if found[b][0] - found[a][1] <= NEAR_TOKENS}
+            data.append((len(tokens), found, right, follow))
         for _ in range(rounds):
             gradient: dict[str, float] = {}
-            for n, found, right in data:
-                for c, p, y in zip(found, self.expected(n, found)[1], right, strict=True):
-                    for f in c[5]:
-                        gradient[f] = gradient.get(f, 0.0) + y - p
+            for n, found, right, follow in data:
+                _, each, pairs = self.expected(n, found)
+                for c, p, y in zip(found, each, right, strict=True):
+                    if y - p:
+                        for f in c[5]:
+                            gradient[f] = gradient.get(f, 0.0) + y - p
+                for (a, b), p in pairs.items():
+                    f = f"pair:{found[a][2]}>{found[b][2]}"
+                    gradient[f] = gradient.get(f, 0.0) + ((a, b) in follow) - p
             for f, g in gradient.items():
                 self.weights[f] = self.weights.get(f, 0.0) * (1 - decay) + rate * g / math.sqrt(len(data))
         return self
@@ -219,18 +295,18 @@ class SemiMarkov:
             if m.start() < reach or taken.meets(m.start(), m.start() + 1):
                 continue
             start, end = m.start(), m.end()
-            for _ in range(MAX_TOKENS):
+            for _ in range(MAX_TOKENS + NEAR_TOKENS):
                 while start > 0 and text[start - 1].isspace():
                     start -= 1
                 while start > 0 and not text[start - 1].isspace():
                     start -= 1
             last, k = end, 0
             for t in _TOKEN.finditer(text, start):
-                # The stretch goes on until MAX_TOKENS tokens in a row hold no trigger.
+                # The stretch goes on until no later segment can be near one of its own.
                 if t.end() > m.start():
                     k = 0 if _TRIGGER.search(t[0]) else k + 1
                 last = t.end()
-                if k >= MAX_TOKENS:
+                if k >= 2 * MAX_TOKENS + NEAR_TOKENS:
                     break
             reach = last
             tokens = [t.span() for t in _TOKEN.finditer(text, start, last)]
@@ -256,17 +332,20 @@ def examples(n: int = 600, seed: int = 7) -> list[tuple[str, list[tuple[str, int
     def entity() -> tuple[str, str]:
         kind = r.choice(["phone", "phone", "phone", "email", "email", "card", "ip"])
         if kind == "phone":
-            a, b, c = number(3), number(3), number(4)
-            return kind, r.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"({a}) {b} {c}", f"{a}.{b}.{c}", f"({a}){b}-{c}"])
+            a, b, c, two = number(3), number(3), number(4), [number(2) for _ in range(4)]
+            near = [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"({a}) {b} {c}", f"{a}.{b}.{c}", f"({a}){b}-{c}"]
+            far = [f"01{two[0]} {number(7)}", f"0{two[0]} / {a} {' '.join(two[1:])}", f"0{two[0]}/{number(7)}", f"06 {' '.join(two)}", f"0{r.randint(1, 9)} {' '.join(two)}", f"6{two[0]} {a} {b}", f"9{r.randint(1, 9)} {a} {two[0]} {two[1]}", f"0{two[0]}-{number(8)}", f"01{two[0]}-{number(7)}"]
+            return kind, r.choice(near + far)
         if kind == "email":
-            at, dot = r.choice([(" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", " [dot] "), (" @ ", "."), ("(at)", ".")])
-            return kind, f"{word()}{r.choice(['.', '', '_'])}{word()}{at}{word()}{dot}{r.choice(['com', 'org', 'net', 'de', 'fr'])}"
+            at, dot = r.choice([(" (at) ", " (dot) "), ("[at]", "[dot]"), (" [at] ", " [dot] "), (" @ ", "."), ("(at)", "."), (" at ", " dot "), (" at ", " dot ")])
+            inner = r.choice([" dot ", ""]) if at == " at " else r.choice([".", "", "_"])
+            return kind, f"{word()}{inner}{word()}{at}{word()}{dot}{r.choice(['com', 'org', 'net', 'de', 'fr'])}"
         if kind == "card":
             return kind, card()
-        return kind, " . ".join(str(r.randint(1, 255)) for _ in range(4))
+        return kind, r.choice([" . ", " ."]).join(str(r.randint(1, 255)) for _ in range(4))
 
     def other() -> str:
-        return r.choice([f"{number(4)}-0{r.randint(1, 9)}-{r.randint(10, 28)}", f"{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}", f"{number(2)},{number(3)}.{number(2)}", f"{number(4)} {number(4)} {number(4)}", number(r.randint(1, 12)), number(r.randint(9, 18)), f"{number(3)}-{number(6)}", f"{number(2)} {number(3)} {number(2)} {number(4)}", f"ISBN {number(3)}-{number(1)}-{number(5)}-{number(3)}-{number(1)}", f"{number(2)}:{number(2)}:{number(2)}.{number(3)}", f"{number(5)}-{number(4)}", f"{word()}@{word()}", f"@ {word()}"])
+        return r.choice([f"{number(4)}-0{r.randint(1, 9)}-{r.randint(10, 28)}", f"{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}", f"{number(2)},{number(3)}.{number(2)}", f"{number(4)} {number(4)} {number(4)}", number(r.randint(1, 12)), number(r.randint(9, 18)), f"{number(3)}-{number(6)}", f"{number(2)} {number(3)} {number(2)} {number(4)}", f"ISBN {number(3)}-{number(1)}-{number(5)}-{number(3)}-{number(1)}", f"{number(2)}:{number(2)}:{number(2)}.{number(3)}", f"{number(5)}-{number(4)}", f"{word()}@{word()}", f"@ {word()}", f"{word()} dot {word()}", f"at {word()} dot", f"{number(2)} / {number(2)} / {number(4)}", f"{number(1)} . {number(2)} . {number(1)}", f"{number(3)} {number(3)}"])
 
     out = []
     for _ in range(n):
