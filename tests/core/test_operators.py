@@ -40,6 +40,31 @@ def test_texts_and_sizes(spark):
     assert values(spark, [(100, 95)], "a int, d int", C.is_refactor("a", "d")) == [(True,)]
     got = values(spark, [("deadBEEF 01\n",), ("xyz",), ("",), ("a\x00b",)], "t string", C.is_hex("t"), C.looks_binary("t"))
     assert got == [(True, False), (False, False), (False, False), (False, True)]
+    got = values(spark, [(chr(c),) for c in range(32)], "t string", C.looks_binary("t"))
+    assert [c for c in range(32) if not got[c][0]] == [9, 10, 11, 12, 13, 28, 29, 30, 31]
+
+
+def test_encodings_of_contents(spark):
+    text = "Größe: 12 €\n\tпривет 😀"
+    cases = [(text.encode(), "utf-8"), (b"", "utf-8"), (text.encode("utf-16"), "utf-16le"), (b"\xfe\xff" + text.encode("utf-16-be"), "utf-16be"), ("plain text".encode("utf-16-le"), "utf-16le"), ("plain text".encode("utf-16-be"), "utf-16be")]
+    cases += [("Größe".encode("latin-1"), "other"), (b"a\x07b", None), (b"a\x1bb", None), (b"\x00\x01\x02\x03", None), ("a\x07b".encode("utf-16-le"), None), (b"\xff\xfe\x00\xd8", None), (b"\xff\xfea", None), (bytes(range(256)), None), (("ж😀 a" * 100_000).encode("utf-16"), "utf-16le"), (("ж a" * 100_000).encode(), "utf-8")]
+    got = values(spark, [(bytearray(c),) for c, _ in cases], "c binary", C.content_encoding("c"))
+    assert [g[0] for g in got] == [e for _, e in cases]
+
+
+def test_grants_are_ranked_before_members_meet_them(spark):
+    day = datetime.datetime
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} string, asset_id string, role string, created_at timestamp")
+    direct = frame([("u", "a", "viewer", day(2020, 1, 1)), ("u", "a", "asset_admin", day(2021, 1, 1)), ("u", "b", "odd", None)], "user_id")
+    team = frame([("t", "a", "asset_admin", day(2019, 1, 1)), ("t", "a", "viewer", None), ("t", "c", "viewer", None), ("t", "c", "viewer", day(2022, 1, 1))], "team_id")
+    org = frame([("o", "c", "super_admin", None), ("o", "a", "viewer", day(2018, 1, 1))], "org_id")
+    members = spark.createDataFrame([("u", "t"), ("v", "t")], "user_id string, team_id string")
+    staff = spark.createDataFrame([("v", "o")], "user_id string, org_id string")
+    parts = (direct, team, members, org, staff)
+    one_by_one = access.effective_role(access.effective_grants(*parts)).select("user_id", "asset_id", "role", "inherited", "created_at").collect()
+    assert sorted(map(str, access.effective_roles(*parts).select("user_id", "asset_id", "role", "inherited", "created_at").collect())) == sorted(map(str, one_by_one))
+    assert {tuple(r) for r in access.strongest_roles(*parts).collect()} == {tuple(r) for r in access.strongest_role(access.effective_grants(*parts)).collect()} == {("u", "asset_admin"), ("v", "super_admin")}
+    assert {tuple(r) for r in access.users_by_asset(*parts).collect()} == {("a", 2), ("b", 1), ("c", 2)}
 
 
 def test_strings(spark):

@@ -120,9 +120,38 @@ def is_hex(text: Column | str) -> Column:
     return F.when(F.length(t) == 0, False).otherwise(F.length(F.regexp_replace(t, r"[^a-fA-F0-9\n ]", "")) / F.length(t) > HEX_SHARE)
 
 
+#: Control characters that texts don't have, as a range of a pattern.
+CONTROLS = r"\x00-\x08\x0e-\x1b"
+
+
 def looks_binary(text: Column | str) -> Column:
-    """A NUL byte, or other control characters that texts don't have."""
-    return F.contains(col(text), F.lit("\x00")) | F.regexp_like(col(text), F.lit("[\\x01-\\x06\\x0e-\\x1a]"))
+    """Control characters that texts don't have."""
+    return F.regexp_like(col(text), F.lit(f"[{CONTROLS}]"))
+
+
+def content_encoding(content: Column | str) -> Column:
+    """utf-8, utf-16le, utf-16be or other (8 bits a character) of a file's bytes; null for a binary file.
+
+    Bytes of a control character rule out all but UTF-16, which is taken for such by its mark, or by zeros in nine tenths of one of
+    its two bytes, if no control character or broken pair is left when it is decoded.
+    """
+    c = col(content)
+    byte = F.decode(c, "ISO-8859-1")
+    bad = F.regexp_like(byte, F.lit(f"[{CONTROLS}]"))
+    firsts, seconds = F.regexp_replace(byte, r"(?s)(.)(.)?", "$1"), F.regexp_replace(byte, r"(?s)(.)(.?)", "$2")
+    zeros = lambda x: (F.length(x) - F.length(F.translate(x, "\x00", ""))) / F.greatest(F.lit(1), F.length(x))
+    little = F.startswith(byte, F.lit("\u00ff\u00fe")) | (zeros(seconds) >= 0.9)
+    big = F.startswith(byte, F.lit("\u00fe\u00ff")) | (zeros(firsts) >= 0.9)
+    even = F.length(byte) % 2 == 0
+
+    def clean(name: str) -> Column:
+        # The high bytes tell surrogates: each first half is followed by a second one, and no second one stands alone.
+        broken = F.regexp_like(firsts if name == "UTF-16BE" else seconds, F.lit(r"[\xd8-\xdb](?![\xdc-\xdf])|(?<![\xd8-\xdb])[\xdc-\xdf]"))
+        control = r"\x00[\x00-\x08\x0e-\x1b]" if name == "UTF-16BE" else r"[\x00-\x08\x0e-\x1b]\x00"
+        return even & ~broken & ~F.regexp_like(byte, F.lit(rf"(?s)\A(?:..)*{control}"))
+
+    wide = F.when(little & clean("UTF-16LE"), "utf-16le").when(big & clean("UTF-16BE"), "utf-16be")
+    return F.when(bad | little | big, wide).when(F.is_valid_utf8(c), "utf-8").otherwise("other")
 
 
 # Strings

@@ -39,10 +39,39 @@ def effective_role(grants: DataFrame) -> DataFrame:
     return first_by(grants, ["user_id", "asset_id"], F.desc(role_rank("role")), F.asc("inherited"), F.asc_nulls_last("created_at"))
 
 
+def _best(grants: DataFrame, *key: str) -> DataFrame:
+    """Of each principal's grants to an asset the strongest, then oldest."""
+    order = F.struct(-F.coalesce(role_rank("role"), F.lit(-1)), F.col("created_at").isNull(), "created_at")
+    best = grants.groupBy(*key, "asset_id").agg(F.min_by(F.struct("role", "created_at"), order).alias("_best"))
+    return best.select(*key, "asset_id", "_best.role", "_best.created_at")
+
+
+def effective_roles(direct: DataFrame, by_team: DataFrame, team_members: DataFrame, by_org: DataFrame, org_members: DataFrame) -> DataFrame:
+    """user_id, asset_id, role, inherited, created_at: the grant that counts, of grants to users, teams and organisations.
+
+    Grants are ranked within each team, organisation and user first, so that members meet one row an asset.
+    """
+    return effective_role(effective_grants(_best(direct, "user_id"), _best(by_team, "team_id"), team_members, _best(by_org, "org_id"), org_members))
+
+
 def strongest_role(grants: DataFrame) -> DataFrame:
     return grants.groupBy("user_id").agg(role_name(F.max(role_rank("role"))).alias("role"))
 
 
+def strongest_roles(direct: DataFrame, by_team: DataFrame, team_members: DataFrame, by_org: DataFrame, org_members: DataFrame) -> DataFrame:
+    """user_id, role: the strongest role on any asset; members meet one row a team or organisation."""
+    top = lambda df, key: df.groupBy(key).agg(F.max(role_rank("role")).alias("rank"))
+    ranks = top(direct, "user_id").unionByName(top(by_team, "team_id").join(team_members, "team_id").select("user_id", "rank")).unionByName(top(by_org, "org_id").join(org_members, "org_id").select("user_id", "rank"))
+    return ranks.groupBy("user_id").agg(role_name(F.max("rank")).alias("role"))
+
+
+def users_by_asset(direct: DataFrame, by_team: DataFrame, team_members: DataFrame, by_org: DataFrame, org_members: DataFrame) -> DataFrame:
+    """asset_id, users: how many users some grant of an asset reaches; grants that say the same are one before members are met."""
+    pairs = lambda df, key: df.select(key, "asset_id").distinct()
+    reached = pairs(direct, "user_id").unionByName(pairs(by_team, "team_id").join(team_members, "team_id").select("user_id", "asset_id")).unionByName(pairs(by_org, "org_id").join(org_members, "org_id").select("user_id", "asset_id"))
+    return reached.groupBy("asset_id").agg(F.countDistinct("user_id").alias("users"))
+
+
 def allowed(roles: DataFrame, actions: DataFrame, action: str) -> DataFrame:
     """(user_id, asset_id) that may do the action; super admins may do all."""
     may = actions.where(F.col("action") == action).select("role")
@@ -122,17 +151,22 @@ def _assets(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "part").select(F.col("p_partkey").alias("asset_id"), F.col("p_size").alias("size"))
 
 
-def _grants(s: SparkSession, d: str) -> DataFrame:
-    """Grants made of order lines, direct, to a team or to an organisation by the line's number: users are suppliers, assets are parts."""
+def _principals(s: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    """Grants made of order lines, direct, to a team or to an organisation by the line's number, and the members: users are
+    suppliers, assets are parts."""
     role = F.element_at(F.array(*map(F.lit, ["viewer", "asset_member", "asset_admin", "super_admin"])), (F.col("l_orderkey") % 4 + 1).cast("int"))
     x = table(s, d, "lineitem").select(F.col("l_suppkey").alias("user_id"), F.col("l_partkey").alias("asset_id"), role.alias("role"), F.col("l_shipdate").alias("created_at"), "l_linenumber", "l_orderkey")
     direct, teams, orgs = (x.where(F.col("l_linenumber") % 3 == k) for k in (1, 2, 0))
     members = table(s, d, "supplier").select(F.col("s_suppkey").alias("user_id"), (F.col("s_suppkey") % 50).alias("team_id"), F.col("s_nationkey").cast("long").alias("org_id"))
-    return effective_grants(direct, teams.withColumn("team_id", F.col("user_id") % 50).drop("user_id"), members.select("user_id", "team_id"), orgs.withColumn("org_id", F.col("user_id") % 25).drop("user_id"), members.select("user_id", "org_id"))
+    return direct, teams.withColumn("team_id", F.col("user_id") % 50).drop("user_id"), members.select("user_id", "team_id"), orgs.withColumn("org_id", F.col("user_id") % 25).drop("user_id"), members.select("user_id", "org_id")
+
+
+def _grants(s: SparkSession, d: str) -> DataFrame:
+    return effective_grants(*_principals(s, d))
 
 
 def _roles(s: SparkSession, d: str) -> DataFrame:
-    return effective_role(_grants(s, d)).select("user_id", "asset_id", "role", "inherited")
+    return effective_roles(*_principals(s, d)).select("user_id", "asset_id", "role", "inherited")
 
 
 def _actions(s: SparkSession) -> DataFrame:
@@ -187,9 +221,9 @@ QUERIES = {
     "w4_effective_role": _roles,
     "p16_visibility": lambda s, d: visibility(_assets(s, d), table(s, d, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("asset_id")), table(s, d, "lineitem").where("l_discount = 0").select(F.col("l_partkey").alias("asset_id"))).select("asset_id", "visibility"),
     "p17_grant_predicate": lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.element_at(F.array(*map(F.lit, ["public", "org", "user", "team"])), (F.col("l_orderkey") % 4 + 1).cast("int")).alias("principal"), F.col("l_suppkey").cast("string").alias("user_id"), (F.col("l_partkey") % 9).cast("string").alias("team_id"), (F.col("l_partkey") % 5).cast("string").alias("org_id")).where(is_granted("7", "2", ["1", "4"])).select("l_orderkey", "l_linenumber"),
-    "a15_users_by_asset": lambda s, d: _grants(s, d).groupBy("asset_id").agg(F.countDistinct("user_id").alias("users")),
+    "a15_users_by_asset": lambda s, d: users_by_asset(*_principals(s, d)),
     "a16_count_if_by_group": lambda s, d: table(s, d, "customer").groupBy("c_nationkey").agg(F.count_if(F.col("c_acctbal") > 0).alias("solvent"), F.count_if(F.col("c_mktsegment") == "BUILDING").alias("building")),
-    "a17_strongest_role": lambda s, d: strongest_role(_grants(s, d)),
+    "a17_strongest_role": lambda s, d: strongest_roles(*_principals(s, d)),
     "a18_latest_through_joins": lambda s, d: table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.max("l_shipdate").alias("latest")),
     "a19_duplicates": lambda s, d: table(s, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n")).where("n > 1"),
     "a23_prefix_stats": lambda s, d: prefix_join(_tree(s, d), table(s, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("prefix"))).groupBy("prefix").agg(F.count_if(F.col("c_acctbal") > 0).alias("positive"), F.count_if(F.col("c_acctbal") <= 0).alias("other")),
