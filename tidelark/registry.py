@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from tidelark.operators import access, aggregates, catalog, components, diffs, graphs, imports, keywords, listing, search, symbols, usage, vectors
 from tidelark.sources import queries as stores
-from tidelark.streaming import events
+from tidelark.streaming import events, keyed
 
-_MODULES = [aggregates, listing, access, catalog, usage, search, graphs, imports, symbols, stores, events, vectors, keywords, components, diffs]
+_MODULES = [aggregates, listing, access, catalog, usage, search, graphs, imports, symbols, stores, events, vectors, keywords, components, diffs, keyed]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
