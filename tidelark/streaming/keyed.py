@@ -90,7 +90,7 @@ def _run(s: SparkSession, stream: DataFrame, name: str) -> DataFrame:
 
 
 QUERIES = {
-    "st11_closing_sessions": lambda s, d: _run(s, closing_sessions(_events(s, d)), "closing"),
+    "st11_closing_sessions": lambda s, d: _run(s, closing_sessions(_events(s, d)), "closing").select("user_id", "started_at", "ended_at", "events", "status"),
 }
 SQL = {
     "st11_closing_sessions": """WITH x AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 1800000000 OR lag(event_type) OVER w IN ('purchase', 'error'), TRUE) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
