@@ -12,6 +12,8 @@ BYTES_PER_LINE = 50
 # Languages by extension and by file name, and what is never analysed; callers add folders and names of their own.
 EXTENSION_LANGUAGES = {".py": "Python", ".js": "JavaScript", ".ts": "TypeScript", ".tsx": "TSX", ".jsx": "JSX", ".java": "Java", ".go": "Go", ".rs": "Rust", ".rb": "Ruby", ".php": "PHP", ".c": "C", ".cpp": "C++", ".cc": "C++", ".h": "Header", ".hpp": "C++", ".cs": "C#", ".swift": "Swift", ".kt": "Kotlin", ".scala": "Scala", ".r": "R", ".R": "R", ".sql": "SQL", ".sh": "Shell", ".bash": "Shell", ".zsh": "Shell", ".yml": "YAML", ".yaml": "YAML", ".json": "JSON", ".xml": "XML", ".html": "HTML", ".htm": "HTML", ".css": "CSS", ".scss": "SCSS", ".sass": "Sass", ".less": "Less", ".md": "Markdown", ".txt": "Text", ".rst": "reStructuredText"}
 NAME_LANGUAGES = {"Dockerfile": "Dockerfile", "Makefile": "Makefile", "CMakeLists.txt": "CMake", "Gemfile": "Ruby", "Rakefile": "Ruby", "package.json": "JSON", "requirements.txt": "Text", "setup.py": "Python", "pyproject.toml": "TOML", "Cargo.toml": "TOML", "go.mod": "Go Module", ".gitignore": "Ignore List", ".dockerignore": "Ignore List"}
+# Languages whose symbols are known, by extension.
+SYMBOL_LANGUAGES = {".go": "GO", ".mod": "GO", ".c": "C", ".cpp": "CPP", ".cc": "CPP", ".cxx": "CPP", ".c++": "CPP", ".h": "C_OR_CPP_HEADER", ".hpp": "C_OR_CPP_HEADER", ".hh": "C_OR_CPP_HEADER", ".hxx": "C_OR_CPP_HEADER", ".h++": "C_OR_CPP_HEADER", ".py": "PYTHON", ".pyw": "PYTHON", ".pyi": "PYTHON", ".v": "VERILOG", ".sv": "VERILOG", ".rs": "RUST", ".s": "ASSEMBLY", ".S": "ASSEMBLY", ".asm": "ASSEMBLY", ".nasm": "ASSEMBLY", ".inc": "ASSEMBLY", ".java": "JAVA", ".rb": "RUBY", ".rbi": "RUBY", ".cs": "C_SHARP", ".ts": "TYPESCRIPT", ".tsx": "TYPESCRIPT", ".js": "JAVASCRIPT", ".jsx": "JAVASCRIPT"}
 BLACKLIST_DIRS = [".git"]
 BLACKLIST_EXTENSIONS = [".svg", ".hex", ".bin", ".BIN", ".dat", ".DAT", ".exe", ".o", ".a", ".so", ".dll", ".dylib", ".cdylib", ".axf", ".elf"]
 BLACKLIST_NAMES = [".DS_Store"]
@@ -109,6 +111,12 @@ def language_of(path: Column | str) -> Column:
     return F.coalesce(F.try_element_at(tables[0], suffix(path)), F.try_element_at(tables[1], file_name(path)))
 
 
+def symbol_language(path: Column | str) -> Column:
+    """The language whose symbols a file has, by its extension; DEFAULT for all others."""
+    known = F.create_map(*[F.lit(x) for pair in SYMBOL_LANGUAGES.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, suffix(path)), F.lit("DEFAULT"))
+
+
 def is_analyzable(path: Column | str, directories: tuple[str, ...] = (), file_names: tuple[str, ...] = ()) -> Column:
     """Cheap tests first: directories, then extension, then name."""
     return ~F.arrays_overlap(F.split(col(path), "/"), F.array(*map(F.lit, [*BLACKLIST_DIRS, *directories]))) & ~suffix(path).isin(BLACKLIST_EXTENSIONS) & ~file_name(path).isin([*BLACKLIST_NAMES, *file_names])
@@ -253,3 +261,70 @@ def json_path(column: Column | str, path: str) -> Column:
 
 def json_has_key(column: Column | str, key: str) -> Column:
     return F.array_contains(F.json_object_keys(col(column)), key)
+
+
+def ordered_keys(column: Column | str, n: int = 3) -> Column:
+    """The keys of a JSON object of numbers, the greatest number first, then by name; the first n.  Null for none."""
+    scores = F.map_entries(F.from_json(col(column), "map<string,string>"))
+    ordered = F.array_sort(F.transform(scores, lambda e: F.struct((-e["value"].cast("double")).alias("score"), e["key"].alias("key"))))
+    return F.when(F.size(scores) > 0, F.slice(F.transform(ordered, lambda e: e["key"]), 1, n))
+
+
+def json_or(column: Column | str, key: Column, default: str) -> Column:
+    """The value of a computed key of a JSON object, or the default where there is none."""
+    return F.coalesce(F.try_element_at(F.from_json(col(column), "map<string,string>"), key), F.lit(default))
+
+
+# Hashes
+
+
+def content_hash(text: Column | str) -> Column:
+    """SHA-256 of a text in UTF-8, lowercase hex."""
+    return F.sha2(col(text).cast("binary"), 256)
+
+
+def config_hash(text: Column | str) -> Column:
+    """The first 16 characters of a configuration's content hash."""
+    return F.left(content_hash(text), F.lit(16))
+
+
+def stable_id(kind: Column | str, node: Column | str, needs: Column | str) -> Column:
+    """Id of a task by its kind, its node and the ids of the tasks that it needs, in their order."""
+    own = F.concat_ws("_", col(kind), col(node))
+    return F.when(F.size(col(needs)) > 0, F.concat(own, F.lit("_"), F.array_join(col(needs), "_"))).otherwise(own)
+
+
+# Numbers
+
+
+def round_half_even(x: Column | str, digits: int = 2) -> Column:
+    """The nearest number of so many digits (0 to 8) to the exact binary value; only a true tie goes to the even digit.
+
+    The product's rounding error is had from x in two halves of which each product is exact; it decides where the product alone
+    looks like a tie.
+    """
+    v, scale = col(x).cast("double"), float(10**digits)
+    high = v * 134217729.0 - (v * 134217729.0 - v)
+    p = v * scale
+    error = (high * scale - p) + (v - high) * scale
+    low = F.floor(p).cast("double")
+    past = p - low - 0.5
+    up = (past > 0) | ((past == 0) & ((error > 0) | ((error == 0) & (F.pmod(low, F.lit(2.0)) == 1))))
+    n = F.when(up, low + 1.0).otherwise(low)
+    return F.when(F.isnan(v) | (F.abs(p) >= 2.0**52), v).otherwise(n / scale)
+
+
+def scale_factor(files: Column | str, pages: Column | str, threshold: int = 10_000, pages_a_file: int = 10) -> Column:
+    """How many files must count as one for files and pages to stay within the threshold; 1 where they do without."""
+    f, p = col(files), F.floor(col(pages) / pages_a_file)
+    over = (f + col(pages) > threshold) & (f > threshold) & (p < threshold)
+    return F.when(over, F.ceil(f / (threshold - p))).otherwise(F.lit(1)).cast("long")
+
+
+# Checks
+
+
+def zone_error(text: Column | str, name: str) -> Column:
+    """What is wrong with an ISO 8601 time: it must name its zone (Z or an offset).  Null for none and for no time."""
+    named = F.rlike(F.trim(col(text)), F.lit(r"[T ]\d{2}:\d{2}.*(?:[Zz]|[+-]\d{2}:?\d{2})$"))
+    return F.when(col(text).isNotNull() & ~named, F.lit(f"{name} must name its time zone"))
