@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tidelark.llm.shared import BROADCAST_IDS, cut, documents, forget, small_batches, tidy, unused
 
 #: Text bytes hashed at a time; a longer word makes a longer piece.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

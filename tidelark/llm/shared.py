@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: Ids that are broadcast at most, 8 MB; rows and bytes in one Arrow batch of texts at most.
 BROADCAST_IDS = 1_000_000
 TEXT_BATCH_ROWS, TEXT_BATCH_BYTES = 4096, 4 << 20
+#: Column chunks are read one after another: with vectored reads each reading thread keeps direct buffers of its largest read.
+PLAIN_READS = {"parquet.hadoop.vectored.io.enabled": "false"}
 
 
 @functools.cache
@@ -42,7 +44,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage ends there, and a lost executor loses nothing."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.options(**PLAIN_READS).schema(df.schema).parquet(path)
     out.written_at = path
     return out
 
@@ -111,7 +113,7 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spark.read.options(**PLAIN_READS).parquet(f"{sf_dir}/documents.parquet")
 
 
 def text_or_empty(name: str = "text") -> Column:
