@@ -509,11 +509,14 @@ def test_users_meet_grants_by_cells(spark, monkeypatch, cell, bucket):
     monkeypatch.setattr(access, "BUCKET", bucket)
     parts = _many_principals(spark)
     grants = access.effective_grants(*parts).cache()
+    columns = ["user_id", "asset_id", "role", "inherited", "created_at"]
+    expected = sorted(map(str, access.effective_role(grants).select(columns).collect()))
+    assert sorted(map(str, access.effective_roles(*parts).collect())) == expected
     users = grants.groupBy("asset_id").agg(F.countDistinct("user_id").alias("users"))
     assert sorted(map(str, access.users_by_asset(*parts).collect())) == sorted(map(str, users.collect()))
 
 
-@pytest.mark.parametrize("found", [access.users_by_asset])
+@pytest.mark.parametrize("found", [access.users_by_asset, access.effective_roles])
 def test_no_row_of_a_user_and_asset_is_shuffled(spark, found):
     plan = found(*_many_principals(spark))._jdf.queryExecution().executedPlan().toString()
     lines = [x for x in plan.splitlines() if "Exchange" in x or "Aggregate" in x or "Window" in x]
