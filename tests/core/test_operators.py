@@ -530,3 +530,20 @@ def test_allowed_users_are_found_before_they_are_listed(spark):
     expected = access.allowed(access.effective_role(access.effective_grants(*parts)), actions, "edit")
     found = access.effective_roles(*parts, may=access._allowing(actions, "edit")).select("user_id", "asset_id")
     assert sorted(map(str, found.collect())) == sorted(map(str, expected.collect()))
+
+
+def _many_intervals(spark):
+    draw = random.Random(5)
+    rows = [(n % 2, n, s, s + draw.choice([0, 3, 40, 900, 70_000])) for n in range(300) for s in [draw.randrange(-500, 3_000)]]
+    rows += [(0, 1_000, -(2**50), 2**50), (0, 1_001, 7, 9), (0, 1_002, 7, 9), (0, 1_003, 7, 9), (1, 1_004, -(2**50), 2**50)]
+    return rows, spark.createDataFrame(rows, "file int, id long, start long, stop long")
+
+
+def _around(rows):
+    return [(f, i, o, e - s, s) for f, i, a, b in rows for g, o, s, e in rows if f == g and i != o and s <= a and b <= e]
+
+
+def test_intervals_of_any_length(spark):
+    rows, df = _many_intervals(spark)
+    found = [(r.file, r.inner_id, r.outer_id, r._e - r._s, r._s) for r in access.interval_join(df, df).collect()]
+    assert sorted(found) == sorted(_around(rows))
