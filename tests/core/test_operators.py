@@ -564,3 +564,22 @@ def test_pairs_of_a_group_are_made_in_many_tasks(spark, monkeypatch):
     got = access.all_pairs(left, right, "k").withColumn("task", F.spark_partition_id()).collect()
     assert sorted((r.a, r.b) for r in got) == sorted((a, b) for a in range(30) for b in range(60) if a % 2 == b % 3)
     assert all(len({r.task for r in got if r.k == k}) > 3 for k in (0, 1))
+
+
+def test_closure_writes_each_pair_once(spark, monkeypatch):
+    written = []
+    plain = graphs.cut
+
+    def counted(df, name):
+        out = plain(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(graphs, "cut", counted)
+    draw = random.Random(3)
+    pairs = {(n, n + 1) for n in range(40)} | {(draw.randrange(30), draw.randrange(40)) for _ in range(5)} | {(50, 50)}
+    known = set(pairs)
+    while more := {(a, d) for a, b in known for c, d in pairs if b == c} - known:
+        known |= more
+    got = [tuple(r) for r in graphs.closure(spark.createDataFrame(sorted(pairs), "src int, dst int")).collect()]
+    assert len(got) == len(known) and set(got) == known and sum(written) == len(known)
