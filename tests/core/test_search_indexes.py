@@ -212,3 +212,20 @@ def test_diff_of_long_files_ends_soon():
     b = [x for i, x in enumerate(a) if i % 97] + ["tail"] * 5
     gone, new = diffs.diff(a, b)
     assert len(gone) == len(range(0, 40_000, 97)) and len(new) == 5
+
+
+def test_hits_of_queries_are_not_shuffled(spark, tmp_path, monkeypatch):
+    docs = [(n, " ".join(w for m, w in enumerate(["lantern", "harbour", "violet", "quarry"]) if n % (m + 2) == 0), None) for n in range(60)]
+    queries = spark.createDataFrame([(q, t) for q, t in enumerate(["lantern violet", "harbour", "quarry lantern lantern", "nothing", "violet harbour"])], "query long, text string")
+    index = keywords.KeywordIndex(spark, str(tmp_path / "index"))
+    index.build(spark.createDataFrame(docs, "id long, text string, path string"))
+    for every in (False, True):
+        df = index.search(queries, 4, every)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Aggregate" in x and "query#" in x and "id#" in x]
+        one_block = sorted(map(tuple, df.collect()))
+        monkeypatch.setattr(keywords, "BLOCK_POSTINGS", 7)
+        monkeypatch.setattr(keywords, "BLOCK_QUERIES", 2)
+        assert sorted(map(tuple, index.search(queries, 4, every).collect())) == one_block
+        monkeypatch.undo()
+        assert {q for q, *_ in one_block} == {0, 1, 2, 4} and len(one_block) == 16
