@@ -229,3 +229,13 @@ def test_hits_of_queries_are_not_shuffled(spark, tmp_path, monkeypatch):
         assert sorted(map(tuple, index.search(queries, 4, every).collect())) == one_block
         monkeypatch.undo()
         assert {q for q, *_ in one_block} == {0, 1, 2, 4} and len(one_block) == 16
+
+
+def test_diffs_get_small_batches_of_long_files(spark, monkeypatch):
+    for name in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{name}")
+    monkeypatch.setattr(diffs, "BATCH_BYTES", 100_000)
+    files = spark.createDataFrame([(n, "word\n" * 10_000) for n in range(12)], "path long, text string").coalesce(1)
+    found = diffs.line_diffs(files, files.withColumn("text", diffs.F.concat("text", diffs.F.lit("end"))))
+    assert {(r.status, r.added_lines) for r in found.collect()} == {("modified", 1)}
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "100000"

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Starts of added and removed lines that look like the head of a diff, and don't count.
 HEADS = {"+": "++", "-": "--"}
+#: Files and bytes of a batch that is sent to Python.
+BATCH_ROWS, BATCH_BYTES = 4_096, 4 << 20
 
 
 def lines_of(text: str) -> list[str]:
@@ -81,6 +83,9 @@ def line_diffs(old: DataFrame, new: DataFrame) -> DataFrame:
     a = old.select("path", F.coalesce("text", F.lit("")).alias("old"))
     b = new.select("path", F.coalesce("text", F.lit("")).alias("new"))
     both = a.join(b, "path", "full")
+    # Whole texts go to Python: batches are bounded by their bytes.
+    both.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    both.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
