@@ -54,6 +54,30 @@ def test_long_cycles_and_chains_settle(spark, monkeypatch):
     assert rows == sorted(rows, reverse=True) and rows[0] == 120_000 and len(rows) < 80
 
 
+def test_reach_of_chains_and_trees_makes_no_closure(spark, monkeypatch):
+    from tidelark.operators import graphs
+
+    made = []
+    monkeypatch.setattr(graphs, "cut", lambda df, name, cut=graphs.cut: made.append(cut(df, name)) or made[-1])
+    n = 3_000
+    chain = spark.range(n - 1).selectExpr("id AS src", "id + 1 AS dst")
+    got = components.reach_sizes(chain, spark.range(n).selectExpr("id AS node", "1 AS size")).selectExpr(f"count_if(reach = {n} - node) AS n").first()
+    assert got.n == n
+    assert sum(t.count() for t in made) < components.SMALL**2
+
+
+@pytest.mark.parametrize("seed", [0])
+def test_rounds_of_reach_equal_brute_force(spark, monkeypatch, seed):
+    monkeypatch.setattr(components, "SMALL", 0)
+    monkeypatch.setattr(components, "FEW", 0.02)
+    r = random.Random(seed)
+    pairs = [(i, r.randrange(i + 1, 62)) for i in range(60) for _ in range(r.choice([0, 1, 1, 1, 2]))]
+    reach = reach_by_hand(pairs)
+    nodes = spark.createDataFrame([(i, i % 3 + 1) for i in reach], "node long, size long")
+    got = {x.node: x.reach for x in components.reach_sizes(spark.createDataFrame(pairs, "src long, dst long").distinct(), nodes).collect()}
+    assert got == {i: sum(j % 3 + 1 for j in reach[i]) for i in reach}
+
+
 def test_no_edges(spark):
     none = spark.createDataFrame([], "src long, dst long")
     assert components.components_with_reach(none).count() == 0

@@ -10,7 +10,7 @@ Each round works on what is left of the edges, which never become more:
 * where few nodes can be folded, every node takes the largest node that reaches it for its colour, along edges until nothing
   changes; those that reach their colour backwards within it are its component.
 
-Reach is counted over the components' own graph only.
+Reach is counted over the components' own graph only, by `reach_sizes`; a closure is made of what is branched on both sides.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from tidelark.sources.stores import cut
 
 #: Below this share of nodes that a round folds or trims, components are coloured.
 FEW = 0.1
+#: Nodes whose closure is made at once, at most half a million pairs.
+SMALL = 1_000
 
 
 def _coin(node, turn: int):
@@ -68,7 +70,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every node of edges (src, dst)."""
     left = cut(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
     nodes = cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct(), "nodes")
-    known: list[DataFrame] = []  # node, component
+    merged: list[DataFrame] = []  # node, component of nodes that aren't components by themselves
     folded: list[DataFrame] = []  # node, anchor, other: by round
     turn = 0
     while not left.isEmpty():
@@ -77,13 +79,12 @@ def strong_components(edges: DataFrame) -> DataFrame:
         n, done = x.agg(F.count("*"), F.count_if("trimmed") + F.count("anchor")).first()
         if done < FEW * n:
             found = cut(_coloured(left), "coloured")
-            known.append(found)
+            merged.append(found.where("node <> component"))
             gone = found.select("node")
             left = cut(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "edges")
             continue
         names = x.where("anchor IS NOT NULL").select("node", "anchor")
         trimmed = x.where("trimmed").select("node")
-        known.append(trimmed.withColumn("component", F.col("node")))
         both = left.select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(left.select(F.col("dst").alias("node"), F.col("src").alias("other")))
         # The edge to the anchor is left out once: an anchor that is a neighbour both ways stays among the others.
         beside = both.join(names, "node").groupBy("node", "anchor", "other").agg(F.count("*").alias("times")).where("other <> anchor OR times > 1")
@@ -92,37 +93,80 @@ def strong_components(edges: DataFrame) -> DataFrame:
         new = _renamed(_renamed(left, names, "src"), names, "dst").where("src <> dst").select("src", "dst").distinct()
         left = cut(new.join(trimmed.withColumnRenamed("node", "src"), "src", "left_anti").join(trimmed.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "edges")
 
-    out = None
-    for k in known:
-        out = k if out is None else out.unionByName(k)
-    out = cut(out, "known") if out is not None else nodes.limit(0).withColumn("component", F.col("node"))
-    later = None
-    for f in folded:
-        later = f.select("node") if later is None else later.unionByName(f.select("node"))
-    # A node that ran out of edges without being folded or found is a component with what is folded into it.
-    rest = nodes.join(out, "node", "left_anti")
-    rest = rest if later is None else rest.join(later, "node", "left_anti")
-    out = cut(out.unionByName(rest.withColumn("component", F.col("node"))), "known")
+    # A node that no table of `merged` has is a component of its own, so only merged ones are written and looked up.
+    out = _union(merged, nodes)
     for f in reversed(folded):
-        a = f.join(out.select(F.col("node").alias("anchor"), F.col("component").alias("ca")), "anchor", "left")
-        a = a.join(out.select(F.col("node").alias("other"), F.col("component").alias("co")), "other", "left")
-        joined = a.groupBy("node").agg(F.max(F.when(F.col("ca") == F.col("co"), F.col("ca"))).alias("component"))
-        out = cut(out.unionByName(joined.select("node", F.coalesce("component", "node").alias("component"))), "known")
-    # Nodes of which only the edge to their anchor was left when they were folded.
-    out = out.unionByName(nodes.join(out, "node", "left_anti").withColumn("component", F.col("node")))
-    return out.withColumn("component", F.min("node").over(Window.partitionBy("component")))
+        a = f.join(out.select(F.col("node").alias("anchor"), F.col("component").alias("ca")), "anchor", "left").withColumn("ca", F.coalesce("ca", "anchor"))
+        a = a.join(out.select(F.col("node").alias("other"), F.col("component").alias("co")), "other", "left").where("coalesce(co, other) = ca")
+        new = cut(a.groupBy("node").agg(F.max("ca").alias("component")), "merged")
+        if not new.isEmpty():
+            merged.append(new)
+            out = _union(merged, nodes)
+    # By the smallest node: the one that the others were merged into takes that name too.
+    least = cut(out.groupBy("component").agg(F.least(F.min("node"), F.col("component")).alias("least")), "least")
+    named = out.join(least, "component").select("node", F.col("least").alias("component")).unionByName(least.select(F.col("component").alias("node"), F.col("least").alias("component")))
+    return nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def _union(tables: list[DataFrame], nodes: DataFrame) -> DataFrame:
+    out = nodes.limit(0).withColumn("component", F.col("node"))
+    for t in tables:
+        out = out.unionByName(t)
+    return out
+
+
+def reach_sizes(edges: DataFrame, sizes: DataFrame) -> DataFrame:
+    """node, reach: the sizes (node, size) of all that each node reaches in a graph without circles, itself included.
+
+    Nodes are taken out in rounds, with what was `held` by them.  One with at most one edge out reaches what it holds and what that
+    neighbour reaches; if one edge leads to it, the node before it holds it from then on, and if none does, no other counts it.  A
+    coin keeps a node and the one that is to hold it from going at once.  Only for what no round takes out is a closure made.
+    """
+    from tidelark.operators.graphs import closure
+
+    nothing = sizes.select(F.col("node").alias("dst")).schema["dst"].dataType
+    # A row without dst is a node and what it holds.
+    left = sizes.select(F.col("node").alias("src"), F.lit(None).cast(nothing).alias("dst"), F.col("size").cast("long").alias("held"))
+    left = cut(left.unionByName(edges.select("src", "dst", F.lit(0).cast("long").alias("held"))), "reach-edges")
+    gone: list[DataFrame] = []  # node, to, before, held: by round
+    turn = 0
+    while True:
+        turn += 1
+        outs = left.groupBy(F.col("src").alias("node")).agg(F.count("dst").alias("outs"), F.min("dst").alias("to"), F.sum("held").alias("held"))
+        ins = left.where("dst IS NOT NULL").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("ins"), F.min("src").alias("before"))
+        x = outs.join(ins, "node", "left").withColumn("ins", F.coalesce("ins", F.lit(0)))
+        goes = F.when(F.col("outs") > 1, False).when(F.col("ins") == 0, (F.col("outs") == 0) | _coin("node", turn)).when(F.col("ins") == 1, ~_coin("before", turn) & ((F.col("outs") == 0) | _coin("node", turn))).otherwise(False)
+        x = cut(x.select("node", "to", "before", "held", goes.alias("goes")), "reach")
+        n, done = x.agg(F.count("*"), F.count_if("goes")).first()
+        if not n:
+            break
+        if n <= SMALL or done < FEW * n:
+            held, rest = x.select("node", "held"), left.where("dst IS NOT NULL").select("src", "dst")
+            beyond = closure(rest).join(held.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum("held").alias("more"))
+            gone.append(cut(held.join(beyond, "node", "left").select("node", F.lit(None).cast(nothing).alias("to"), F.lit(None).cast(nothing).alias("before"), (F.col("held") + F.coalesce("more", F.lit(0))).alias("held")), "reach"))
+            break
+        taken = x.where("goes").drop("goes")
+        gone.append(taken)
+        inner = taken.where("before IS NOT NULL")
+        less = lambda t, a, b: t.select(F.col(a).alias("src"), (F.col(b) if b else F.lit(None).cast(nothing)).alias("dst"), F.lit(0).cast("long").alias("held"), F.lit(True).alias("off"))
+        more = lambda b, held: inner.select(F.col("before").alias("src"), b.alias("dst"), held.cast("long").alias("held"), F.lit(False).alias("off"))  # noqa: E731, B023
+        every = left.withColumn("off", F.lit(False)).unionByName(less(taken, "node", None)).unionByName(less(taken.where("to IS NOT NULL"), "node", "to")).unionByName(less(inner, "before", "node"))
+        every = every.unionByName(more(F.lit(None).cast(nothing), F.col("held"))).unionByName(more(F.col("to"), F.lit(0)).where("dst IS NOT NULL"))
+        left = cut(every.groupBy("src", "dst").agg(F.sum("held").alias("held"), F.max("off").alias("off")).where("NOT off").drop("off"), "reach-edges")
+    out = sizes.select("node", F.col("size").cast("long").alias("reach")).limit(0)
+    for t in reversed(gone):
+        after = out.select(F.col("node").alias("to"), "reach")
+        out = out.unionByName(cut(t.join(after, "to", "left").select("node", (F.col("held") + F.coalesce("reach", F.lit(0))).alias("reach")), "reached"))
+    return out
 
 
 def components_with_reach(edges: DataFrame) -> DataFrame:
     """node, component, reach: the nodes that each reaches, itself included."""
-    from tidelark.operators.graphs import closure
-
     of = cut(strong_components(edges), "components")
-    sizes = of.groupBy("component").agg(F.count("*").alias("size"))
-    between = edges.join(of.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(of.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst")
-    between = cut(between.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "condensation")
-    beyond = closure(between).join(sizes.select(F.col("component").alias("dst"), "size"), "dst").groupBy(F.col("src").alias("component")).agg(F.sum("size").alias("more"))
-    reach = sizes.join(beyond, "component", "left").select("component", (F.col("size") + F.coalesce("more", F.lit(0))).alias("reach"))
+    sizes = of.groupBy(F.col("component").alias("node")).agg(F.count("*").alias("size"))
+    others = of.where("node <> component").select("node", F.col("component").alias("anchor"))
+    between = _renamed(_renamed(edges.select("src", "dst"), others, "src"), others, "dst").where("src <> dst").select("src", "dst").distinct()
+    reach = reach_sizes(between, cut(sizes, "sizes")).withColumnRenamed("node", "component")
     return of.join(reach, "component").select("node", "component", "reach")
 
 
