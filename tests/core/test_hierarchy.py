@@ -99,6 +99,22 @@ def test_the_nearest_class_hides_others_over_three_levels(spark):
     assert got(H.inherited(uses, members, order)) == {(1, 50, 5, 3), (2, 20, 2, 1), (3, 30, 3, 2), (5, 51, 5, 1)}
 
 
+def test_nearest_members_equal_those_of_the_linearised_order(spark):
+    r = random.Random(5)
+    ids = range(14)
+    classes = spark.createDataFrame([(i,) for i in ids], "sym_id long")
+    bases = spark.createDataFrame([(i, k, r.choice([j for j in ids if j >= i - 3])) for i in ids for k in range(2)], "class_id long, position int, base_id long")
+    members = spark.createDataFrame([(r.choice(ids), r.choice("abcd"), 100 + k) for k in range(12)] + [(99, "a", 1)], "owner long, name string, def_id long")
+    uses = spark.createDataFrame([(i, r.choice([*ids, 99]), r.choice(["a", "b", "c", "d", "e", None])) for i in range(80)], "use_id long, class_id long, name string")
+    found = got(H.nearest_members(uses, members, classes, bases))
+    assert found == got(H.inherited(uses, members, H.linearised(classes, bases))) and {x[3] for x in found} > {0, 1}
+
+
+def test_member_calls_make_no_linearised_order(spark, monkeypatch):
+    monkeypatch.setattr(H, "linearised", None)
+    assert H.QUERIES["g10_inherited_members"](spark, "/root/testdata/sf0.001").columns == ["use_id", "def_id", "owner", "depth"]
+
+
 def test_hierarchies_in_a_circle_end(spark):
     order = order_of(spark, {"A": ["B"], "B": ["C"], "C": ["A", "C", "missing"]})
     assert got(order.where("class_id < 4").select("class_id", "ancestor", "depth")) == {(1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 2, 0), (2, 3, 1), (2, 1, 2), (3, 3, 0), (3, 1, 1), (3, 2, 2)}

@@ -98,6 +98,37 @@ def inherited(uses: DataFrame, members: DataFrame, order: DataFrame) -> DataFram
     return uses.join(best, ["class_id", "name"]).select("use_id", "_best.def_id", "_best.owner", "_best.depth")
 
 
+def nearest_members(uses: DataFrame, members: DataFrame, classes: DataFrame, bases: DataFrame) -> DataFrame:
+    """What `inherited` gives for the linearised order of classes (sym_id), without making that order.
+
+    A name is asked of a class once, however many classes below it ask for it, and only of the bases of classes that haven't it.
+    Answers come down the same ways, those at a distance of k in round k: the first that comes is the nearest, and of one round the
+    one by the first place.
+    """
+    step = cut(bases.groupBy("class_id", F.col("base_id").alias("_base")).agg(F.min("position").alias("_at")), "bases")
+    there = cut(members.groupBy(F.col("owner").alias("class_id"), "name").agg(F.min("def_id").alias("def_id")), "members")
+    key = ["class_id", "name"]
+    asking = uses.select(*key).where("class_id IS NOT NULL AND name IS NOT NULL").distinct()
+    front = cut(asking.join(classes.select(F.col("sym_id").alias("class_id")).distinct(), "class_id", "left_semi"), "asked")
+    asked, ways = front, None
+    while not front.isEmpty():
+        new = cut(front.join(there, key, "left_anti").join(step, "class_id"), "ways")
+        ways = new if ways is None else ways.unionByName(new)
+        front = cut(new.select(F.col("_base").alias("class_id"), "name").distinct().join(asked, key, "left_anti"), "asked")
+        asked = asked.unionByName(front)
+    # Places of one depth are as long; arrays are ordered number by number.
+    front = asked.join(there, key).select(*key, "def_id", F.col("class_id").alias("owner"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("place"))
+    known = front = cut(front, "nearest")
+    depth = 0
+    while ways is not None and not front.isEmpty():
+        depth += 1
+        came = ways.join(front.withColumnRenamed("class_id", "_base"), ["_base", "name"]).select(*key, F.struct(F.concat(F.array(F.col("_at").cast("int")), "place").alias("place"), "owner", "def_id").alias("_way"))
+        came = came.groupBy(*key).agg(F.min("_way").alias("_way")).join(known.select(*key), key, "left_anti")
+        front = cut(came.select(*key, "_way.def_id", "_way.owner", F.lit(depth).alias("depth"), "_way.place"), "nearest")
+        known = known.unionByName(front)
+    return uses.join(known, key).select("use_id", "def_id", "owner", "depth")
+
+
 def members_of(symbols: DataFrame) -> DataFrame:
     """owner, name, def_id of the definitions whose parent is a class; of classes that share a fqn the one of the same file, else the
     first by id."""
@@ -161,9 +192,9 @@ def _linearised(s: SparkSession, d: str) -> DataFrame:
 def _member_calls(s: SparkSession, d: str) -> DataFrame:
     """Lines of few pieces define a method of their part's class; the others call one by name."""
     line = _lines(s, d).select(F.col("l_partkey").alias("class_id"), _text("m", F.col("l_suppkey") % 13).alias("name"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("use_id"), (F.col("l_quantity") < 5).alias("defines"))
-    order = cut(linearised(_classes(s, d)[0], _hierarchy(s, d)), "order")
+    line = cut(line, "lines")
     members = line.where("defines").select(F.col("class_id").alias("owner"), "name", F.col("use_id").alias("def_id"))
-    found = inherited(line.where("NOT defines"), members, order)
+    found = nearest_members(line.where("NOT defines"), members, _classes(s, d)[0], _hierarchy(s, d))
     return found.select("use_id", "def_id", "owner", F.col("depth").cast("int").alias("depth"))
 
 
