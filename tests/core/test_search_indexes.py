@@ -112,6 +112,18 @@ def test_recall_on_the_embeddings(spark):
     assert len(true & got) >= 0.9 * len(true)
 
 
+def test_hybrid_reads_texts_of_chosen_ids_only(spark, monkeypatch):
+    from tidelark.operators import search
+
+    made = {}
+    monkeypatch.setattr(search, "cut", lambda df, name, cut=search.cut: made.setdefault(name, cut(df, name)))
+    rows = [(i, "the and" if i % 2 else f"the {i}", [float(i % 5), float(i)]) for i in range(200)]
+    chunks = spark.createDataFrame(rows, "id long, text string, embedding array<double>")
+    got = [r.id for r in search.hybrid(chunks, "the and", [0.0, 0.0], 3).collect()]
+    assert len(got) == 3
+    assert made["hybrid-ids"].columns == ["id"] and {r.id for r in made["hybrid"].collect()} == {0, 1, 2, 3, 4, 5, 7, 9, 11}
+
+
 # Keywords
 
 
