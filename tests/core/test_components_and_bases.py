@@ -111,3 +111,15 @@ def test_bases_equal_brute_force(spark, seed):
     heads = [(g, r.randrange(30, 60)) for g in range(12) for _ in range(2 + g % 3)]
     got = catalog.merge_bases(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(heads, "group long, node long"))
     assert {tuple(x) for x in got.collect()} == bases_by_hand(edges, heads)
+
+
+def test_each_reached_row_is_written_once(spark, monkeypatch):
+    from tidelark.operators import graphs
+
+    made = []
+    monkeypatch.setattr(graphs, "cut", lambda df, name, cut=graphs.cut: made.append((name, cut(df, name))) or made[-1][1])
+    edges = spark.createDataFrame([(i, i - k) for i in range(30) for k in (2, 3) if i >= k], "src long, dst long")
+    heads = spark.createDataFrame([(g, n) for g in range(4) for n in (29, 28)], "group long, node long")
+    assert sorted(map(tuple, catalog.merge_bases(edges, heads).collect())) == [(g, n) for g in range(4) for n in (25, 26)]
+    rows = [(r.seed, r.node) for name, t in made if name not in ("jumps", "others") for r in t.collect()]
+    assert len(rows) == len(set(rows)) and {s for s, _ in rows} == {28, 29}

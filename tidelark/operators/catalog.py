@@ -34,9 +34,10 @@ def merge_bases(edges: DataFrame, heads: DataFrame) -> DataFrame:
     Whatever a common ancestor reaches is one too, so the best ones are those with no child among them.
     """
     heads = heads.select("group", "node").distinct()
-    reach = reachable(edges, heads.select(F.struct("group", F.col("node").alias("head")).alias("seed"), "node"))
+    # A head is followed once, for all groups that have it.
+    reach = reachable(edges, heads.select(F.col("node").alias("seed"), "node")).join(heads.select("group", F.col("node").alias("seed")), "seed")
     counts = heads.groupBy("group").agg(F.count("*").alias("_heads"))
-    common = reach.groupBy(F.col("seed.group").alias("group"), "node").agg(F.count("*").alias("_n")).join(counts, "group").where("_n = _heads")
+    common = reach.groupBy("group", "node").agg(F.count("*").alias("_n")).join(counts, "group").where("_n = _heads")
     common = cut(common.select("group", "node"), "common")
     below = edges.select(F.col("src").alias("node"), "dst").join(common, "node").select("group", F.col("dst").alias("node")).distinct()
     return common.join(below, ["group", "node"], "left_anti").select("group", F.col("node").alias("base"))

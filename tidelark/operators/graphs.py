@@ -45,23 +45,27 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     jumps = [cut(edges.groupBy("src").agg(F.coalesce(F.min(F.when(F.col("first"), F.col("dst"))), F.min("dst")).alias("dst")), "jumps")]
     others = edges.select("src", "dst").join(jumps[0], ["src", "dst"], "left_anti").select(F.col("src").alias("node"), "dst")
     others = cut(others, "others")
-    known, front = None, cut(seeds.select("seed", "node").distinct(), "front")
-    while not front.isEmpty():
+    # Each row is written once, by the step that finds it; what is known is the union of the steps.
+    front = cut(seeds.select("seed", "node").distinct(), "front")
+    if front.isEmpty():
+        return front
+    known = front
+    while True:
         new, k = front, 0
         while True:
             if k == len(jumps):
                 jumps.append(cut(jumps[-1].select("src", F.col("dst").alias("mid")).join(jumps[-1].select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst"), "jumps"))
+            # What is known from turns before has its whole chain known, so a chain that meets it ends there.
             step = new.join(jumps[k].withColumnRenamed("src", "node"), "node").select("seed", F.col("dst").alias("node")).distinct()
-            step = step.join(new, ["seed", "node"], "left_anti")
-            # What is known has its whole chain known, so a chain that meets it ends there.
-            step = cut(step if known is None else step.join(known, ["seed", "node"], "left_anti"), "step")
+            step = cut(step.join(known, ["seed", "node"], "left_anti"), "step")
             if step.isEmpty():
                 break
-            new, k = cut(new.unionByName(step), "new"), k + 1
-        known = new if known is None else cut(known.unionByName(new), "reached")
+            new, known, k = new.unionByName(step), known.unionByName(step), k + 1
         step = new.join(others, "node").select("seed", F.col("dst").alias("node")).distinct()
         front = cut(step.join(known, ["seed", "node"], "left_anti"), "front")
-    return known if known is not None else front
+        if front.isEmpty():
+            return known
+        known = known.unionByName(front)
 
 
 def folded_sizes(chain: DataFrame, group: str, order: str, delta: str) -> DataFrame:
