@@ -112,6 +112,17 @@ def test_recall_on_the_embeddings(spark):
     assert len(true & got) >= 0.9 * len(true)
 
 
+def test_rows_repeated_for_lists_come_in_bounded_batches():
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array([7, 8]), pa.array([[1.0] * 64, [2.0] * 64])], names=["query", "embedding"])
+    rows, lists = np.repeat([0, 1], 30_000), np.tile(np.arange(30_000), 2)
+    got = list(vectors._repeated(batch, rows, lists, 64))
+    assert max(b.num_rows * 64 for b in got) <= vectors.BATCH_COMPONENTS and len(got) > 1
+    assert pa.Table.from_batches(got).column("list").to_numpy().tolist() == lists.tolist()
+    assert np.concatenate([b.column(0).to_numpy() for b in got]).tolist() == [7] * 30_000 + [8] * 30_000
+
+
 def test_hybrid_reads_texts_of_chosen_ids_only(spark, monkeypatch):
     from tidelark.operators import search
 

@@ -34,6 +34,8 @@ from tidelark.sources.stores import cut, delete, exists, names, new_path
 MAX_LISTS, SAMPLE_ROWS, SAMPLE_MOST, REBUILD = 32_768, 64, 1_000_000, 1.2
 #: Vectors of a list, and queries of a list, that meet in one task; distinct lists that a filter of the scan names at most.
 BLOCK, QUERY_BLOCK, FILTER_LISTS = 20_000, 500, 1_000
+#: Components of queries, repeated for each of their lists, in one batch that Python makes at most: 8 MB.
+BATCH_COMPONENTS = 1 << 20
 #: Mean recall that the number of lists read is chosen for, by so many vectors and neighbours of each.
 RECALL, TUNE_ROWS, TUNE_NEAREST = 0.95, 100, 10
 
@@ -66,6 +68,13 @@ def _nearest_centres(x: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def _repeated(batch: pa.RecordBatch, rows: np.ndarray, lists: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+    """The rows (query, embedding) of a batch, each with its list, in batches of at most BATCH_COMPONENTS."""
+    step = max(1, BATCH_COMPONENTS // max(1, width))
+    for i in range(0, len(rows), step):
+        yield batch.take(pa.array(rows[i : i + step])).append_column("list", pa.array(lists[i : i + step].astype(np.int32)))
+
+
 class VectorIndex:
     """An index in a folder; `key` and `column` name the id and the vector of the rows given to it."""
 
@@ -185,8 +194,10 @@ class VectorIndex:
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = _matrix(batch.column(1))
-                lists = _nearest_centres(x, shared.value, probes).astype(np.int32) if len(x) else np.zeros((0, probes), np.int32)
-                yield batch.take(pa.array(np.repeat(np.arange(len(x)), probes))).append_column("list", pa.array(lists.ravel()))
+                few = max(1, BATCH_COMPONENTS // len(shared.value))
+                for i in range(0, len(x), few):
+                    lists = _nearest_centres(x[i : i + few], shared.value, probes)
+                    yield from _repeated(batch, np.repeat(np.arange(i, i + len(lists)), probes), lists.ravel(), x.shape[1])
 
         kind = dict(queries.dtypes)["query"]
         chosen = cut(queries.mapInArrow(near, f"query {kind}, embedding array<double>, list int"), "probes")
@@ -205,18 +216,18 @@ class VectorIndex:
             def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
                     x, bounds = _matrix(batch.column(1)), batch.column(2).to_numpy()
-                    done = _nearest_centres(x, shared.value, probes) if len(x) else ()
-                    rows, lists = [], []
-                    for i, (v, b) in enumerate(zip(x, bounds, strict=True)):
-                        gap = _distances(shared.value, v)
-                        # A little more than the bound, for the rounding of the three distances.
-                        may = (sizes.value >= 0) & (gap - sizes.value <= b + 1e-9 * (1 + gap))
-                        may[done[i]] = False
-                        lists.append(np.flatnonzero(may).astype(np.int32))
-                        rows.append(np.full(len(lists[-1]), i))
-                    at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-                    out = batch.select([0, 1]).take(pa.array(at))
-                    yield out.append_column("list", pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32)))
+                    few = max(1, BATCH_COMPONENTS // len(shared.value))
+                    for i in range(0, len(x), few):
+                        done = _nearest_centres(x[i : i + few], shared.value, probes)
+                        rows, lists = [], []
+                        for j, (v, b) in enumerate(zip(x[i : i + few], bounds[i : i + few], strict=True)):
+                            gap = _distances(shared.value, v)
+                            # A little more than the bound, for the rounding of the three distances.
+                            may = (sizes.value >= 0) & (gap - sizes.value <= b + 1e-9 * (1 + gap))
+                            may[done[j]] = False
+                            lists.append(np.flatnonzero(may))
+                            rows.append(np.full(len(lists[-1]), i + j))
+                        yield from _repeated(batch.select([0, 1]), np.concatenate(rows), np.concatenate(lists), x.shape[1])
 
             more = cut(again.mapInArrow(within, f"query {kind}, embedding array<double>, list int"), "more-probes")
             found = found.unionByName(self._scored(more, members, stats, k))
