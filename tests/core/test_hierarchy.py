@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidelark.operators import hierarchy as H
 
@@ -152,3 +153,15 @@ def test_no_symbols(spark):
     assert H.linked(symbols, visible).count() == 0
     assert H.linearised(symbols, bases).count() == 0
     assert H.reified(symbols, H.linked(symbols, visible), bases, H.members_of(symbols)).count() == 0
+
+
+def test_base_names_are_looked_up_in_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(H, "BASE_ROWS", 50)
+    classes = spark.createDataFrame([(i, i // 10, f"C{i % 7}", f"C{i % 7}@{i // 10}", i) for i in range(500)], "sym_id long, file long, name string, fqn string, start long")
+    bases = spark.createDataFrame([(i, i // 10, 0, f"C{i * 3 % 7}") for i in range(500)], "class_id long, file long, position int, name string")
+    visible = spark.createDataFrame([(f, f // 2) for f in range(50)], VISIBLE)
+    found = H.base_classes(classes, bases, visible)
+    tasks = found.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 10 and sum(r["count"] for r in tasks) == 500
+    by_hand = {(i, 0, min((f, k) for f in {i // 10, i // 20} for k in range(f * 10, f * 10 + 10) if k % 7 == i * 3 % 7)[1]) for i in range(500)}
+    assert got(found) == by_hand

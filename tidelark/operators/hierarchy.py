@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelark.plans.standins import table
-from tidelark.sources.stores import cut
+from tidelark.sources.stores import cut, tasks_for
 
 CLASS = "class"
+#: Base names and classes of one task, where base names are looked up.
+BASE_ROWS = 100_000
 
 
 def _seen(wanted: DataFrame, visible: DataFrame) -> DataFrame:
@@ -24,27 +26,38 @@ def _seen(wanted: DataFrame, visible: DataFrame) -> DataFrame:
     return wanted.join(visible.select("file", "target").unionByName(own).distinct(), "file")
 
 
+def _unified(symbols: DataFrame, tasks: int) -> DataFrame:
+    """decl_id, file, fqn, def_id of declarations whose fqn exactly one definition has."""
+    only = symbols.where("role = 'definition'").select("fqn", "sym_id").repartition(tasks, "fqn").groupBy("fqn").agg(F.count("*").alias("_n"), F.min("sym_id").alias("def_id")).where("_n = 1")
+    found = symbols.where("role = 'declaration'").select(F.col("sym_id").alias("decl_id"), "file", "fqn").repartition(tasks, "fqn").join(only, "fqn")
+    return found.select("decl_id", "file", "fqn", "def_id")
+
+
 def declared(symbols: DataFrame) -> DataFrame:
     """decl_id, def_id of declarations whose fqn exactly one definition has."""
-    only = symbols.where("role = 'definition'").groupBy("fqn").agg(F.count("*").alias("_n"), F.min("sym_id").alias("def_id")).where("_n = 1")
-    return symbols.where("role = 'declaration'").select(F.col("sym_id").alias("decl_id"), "fqn").join(only, "fqn").select("decl_id", "def_id")
+    return _unified(symbols, tasks_for(symbols.count())).select("decl_id", "def_id")
 
 
-def _only_definition(uses: DataFrame, definitions: DataFrame, visible: DataFrame) -> DataFrame:
-    """use_id, def_id of uses (sym_id, file, key, start, stop) where one visible definition (key) is left beside what encloses the use.
+def _only_definition(uses: DataFrame, definitions: DataFrame, visible: DataFrame, tasks: int) -> DataFrame:
+    """use_id, file, name, def_id of all uses (sym_id, file, name, key, start, stop); def_id where one visible definition (key) is
+    left beside what encloses the use, else null.
 
-    Definitions are counted for each (file, key); those of a use's own file that enclose it are taken off by a second join.
+    Definitions are counted for each (file, key); those of a use's own file that enclose it are taken off where the uses of that
+    (file, key) are, so a use is shuffled once.
     """
+    key = ["file", "key"]
     there = definitions.select(F.col("file").alias("target"), "key", F.col("sym_id").alias("def_id"), F.col("start").alias("_from"), F.col("stop").alias("_to"))
     # The sum tells which one is left after one is taken off.
     total = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
-    found = _seen(uses.select("file", "key").distinct(), visible).join(there, ["target", "key"])
-    found = found.groupBy("file", "key").agg(F.count("*").alias("_n"), total("def_id").alias("_sum"))
-    around = uses.select("sym_id", F.col("file").alias("target"), "key", "start", "stop").join(there, ["target", "key"])
-    around = around.where((F.col("_from") < F.col("start")) & (F.col("_to") >= F.col("stop"))).groupBy("sym_id").agg(F.count("*").alias("_around"), total("def_id").alias("_less"))
-    left = uses.join(found, ["file", "key"]).join(around, "sym_id", "left")
-    left = left.where(F.col("_n") - F.coalesce("_around", F.lit(0)) == 1)
-    return left.select(F.col("sym_id").alias("use_id"), (F.col("_sum") - F.coalesce("_less", F.lit(0))).cast("long").alias("def_id"))
+    found = _seen(uses.select(*key).distinct(), visible).repartition(tasks, "target", "key").join(there.repartition(tasks, "target", "key"), ["target", "key"])
+    found = found.select(*key, "def_id").repartition(tasks, *key).groupBy(*key).agg(F.count("*").alias("_n"), total("def_id").alias("_sum"))
+    asked = uses.select("sym_id", "name", *key, "start", "stop").repartition(tasks, *key).join(found, key, "left").alias("u")
+    own = there.withColumnRenamed("target", "file").repartition(tasks, *key).alias("d")
+    c = F.col
+    encloses = (c("u.file") == c("d.file")) & (c("u.key") == c("d.key")) & (c("d._from") < c("u.start")) & (c("d._to") >= c("u.stop"))
+    counted = asked.join(own, encloses, "left").groupBy("u.file", "u.key", "u.sym_id", "u.name", "u._n", "u._sum").agg(F.count("d.def_id").alias("_around"), total("d.def_id").alias("_less"))
+    left = F.when(c("_n") - c("_around") == 1, (c("_sum") - F.coalesce("_less", F.lit(0))).cast("long"))
+    return counted.select(c("sym_id").alias("use_id"), "file", "name", left.alias("def_id"))
 
 
 def linked(symbols: DataFrame, visible: DataFrame) -> DataFrame:
@@ -53,25 +66,33 @@ def linked(symbols: DataFrame, visible: DataFrame) -> DataFrame:
     A use is linked where one definition is left; otherwise to the definition that a visible declaration of its plain name was
     unified with.  sym_ids are whole numbers and unique.
     """
+    tasks = tasks_for(symbols.count())
     uses = symbols.where("role = 'use' AND name IS NOT NULL")
     definitions = symbols.where("role = 'definition' AND name IS NOT NULL")
-    calls = _only_definition(uses.where("kind = 'call'").withColumn("key", F.col("name")), definitions.withColumn("key", F.col("name")), visible)
-    others = _only_definition(uses.where("kind <> 'call'").withColumn("key", F.col("fqn")), definitions.withColumn("key", F.col("fqn")), visible)
-    direct = cut(calls.unionByName(others), "direct")
-    unified = symbols.where("role = 'declaration'").join(declared(symbols), F.col("sym_id") == F.col("decl_id")).select(F.col("file").alias("target"), F.col("fqn").alias("name"), "def_id")
-    rest = uses.join(direct.select(F.col("use_id").alias("sym_id")), "sym_id", "left_anti").select("sym_id", "file", "name")
+    calls = _only_definition(uses.where("kind = 'call'").withColumn("key", F.col("name")), definitions.withColumn("key", F.col("name")), visible, tasks)
+    others = _only_definition(uses.where("kind <> 'call'").withColumn("key", F.col("fqn")), definitions.withColumn("key", F.col("fqn")), visible, tasks)
+    neither = uses.where("kind IS NULL").select(F.col("sym_id").alias("use_id"), "file", "name", F.lit(None).cast("long").alias("def_id"))
+    found = cut(calls.unionByName(others).unionByName(neither), "direct")
+    direct = found.where("def_id IS NOT NULL").select("use_id", "def_id")
+    rest = found.where("def_id IS NULL").select("use_id", "file", "name")
+    unified = _unified(symbols, tasks).select(F.col("file").alias("target"), F.col("fqn").alias("name"), "def_id")
     # All declarations of one fqn have one definition, so the least is the only one.
-    by_name = _seen(rest.select("file", "name").distinct(), visible).join(unified, ["target", "name"]).groupBy("file", "name").agg(F.min("def_id").alias("def_id"))
-    return direct.unionByName(rest.join(by_name, ["file", "name"]).select(F.col("sym_id").alias("use_id"), "def_id"))
+    by_name = _seen(rest.select("file", "name").distinct(), visible).repartition(tasks, "target", "name").join(unified.repartition(tasks, "target", "name"), ["target", "name"])
+    by_name = by_name.select("file", "name", "def_id").repartition(tasks, "file", "name").groupBy("file", "name").agg(F.min("def_id").alias("def_id"))
+    return direct.unionByName(rest.repartition(tasks, "file", "name").join(by_name, ["file", "name"]).select("use_id", "def_id"))
 
 
 def base_classes(classes: DataFrame, bases: DataFrame, visible: DataFrame) -> DataFrame:
     """class_id, position, base_id of base names (class_id, file, position, name): the first visible class, by file, start and id, of
     that name or fqn; a name that no visible class has is left out."""
-    keys = classes.select(F.col("file").alias("target"), F.explode(F.array_distinct(F.array("name", "fqn"))).alias("name"), "sym_id", "start")
-    found = _seen(bases.select("file", "name").distinct(), visible).join(keys, ["target", "name"])
-    first = found.groupBy("file", "name").agg(F.min_by("sym_id", F.struct("target", "start", "sym_id")).alias("base_id"))
-    return bases.join(first, ["file", "name"]).select("class_id", "position", "base_id")
+    # Each base name is looked up in several files, so a task takes fewer of them.
+    tasks = tasks_for(bases.count() + classes.count(), BASE_ROWS)
+    key, there = ["file", "name"], ["target", "name"]
+    keys = classes.select(F.col("file").alias("target"), F.explode(F.array_distinct(F.array("name", "fqn"))).alias("name"), "sym_id", "start").repartition(tasks, *there)
+    keys = keys.groupBy(*there).agg(F.min(F.struct("start", "sym_id")).alias("_first"))
+    found = _seen(bases.select(*key).distinct(), visible).repartition(tasks, *there).join(keys, there)
+    first = found.select(*key, F.struct("target", "_first").alias("_first")).repartition(tasks, *key).groupBy(*key).agg(F.min("_first").alias("_first"))
+    return bases.repartition(tasks, *key).join(first, key).select("class_id", "position", F.col("_first._first.sym_id").alias("base_id"))
 
 
 def linearised(classes: DataFrame, bases: DataFrame) -> DataFrame:
@@ -143,17 +164,18 @@ def reified(symbols: DataFrame, links: DataFrame, bases: DataFrame, members: Dat
     """sym_id, edge, other: edges turned round.  `usage` and `declaration` lead from a definition to what names it, `calls` from a
     callable to the definitions that calls inside it link to, `inherits` from a class to its bases, `inherited_by` back, and `member`
     from a class to its members."""
-    uses = symbols.where("role = 'use'").select(F.col("sym_id").alias("use_id"), "file", "parent", "kind")
+    tasks = tasks_for(symbols.count())
+    uses = symbols.where("role = 'use' AND kind = 'call'").select(F.col("sym_id").alias("use_id"), "file", "parent").repartition(tasks, "use_id")
     usage = links.select(F.col("def_id").alias("sym_id"), F.lit("usage").alias("edge"), F.col("use_id").alias("other"))
-    decl = declared(symbols).select(F.col("def_id").alias("sym_id"), F.lit("declaration").alias("edge"), F.col("decl_id").alias("other"))
-    callers = symbols.where("role = 'definition' AND kind = 'callable'").select("file", F.col("fqn").alias("parent"), "sym_id")
-    calls = uses.where("kind = 'call'").join(links, "use_id").join(callers, ["file", "parent"]).select("sym_id", F.lit("calls").alias("edge"), F.col("def_id").alias("other"))
+    decl = _unified(symbols, tasks).select(F.col("def_id").alias("sym_id"), F.lit("declaration").alias("edge"), F.col("decl_id").alias("other"))
+    callers = symbols.where("role = 'definition' AND kind = 'callable'").select("file", F.col("fqn").alias("parent"), "sym_id").repartition(tasks, "file", "parent")
+    calls = uses.join(links.repartition(tasks, "use_id"), "use_id").repartition(tasks, "file", "parent").join(callers, ["file", "parent"]).select("sym_id", F.lit("calls").alias("edge"), F.col("def_id").alias("other"))
     edge = lambda t, a, name, b: t.select(F.col(a).alias("sym_id"), F.lit(name).alias("edge"), F.col(b).alias("other"))
     rest = [edge(bases, "class_id", "inherits", "base_id"), edge(bases, "base_id", "inherited_by", "class_id"), edge(members, "owner", "member", "def_id")]
     out = usage.unionByName(decl).unionByName(calls)
     for x in rest:
         out = out.unionByName(x)
-    return out.distinct()
+    return out.repartition(tasks, "sym_id", "edge", "other").distinct()
 
 
 def _text(prefix: str, value: Column) -> Column:
@@ -175,8 +197,9 @@ def _classes(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def _lines(s: SparkSession, d: str) -> DataFrame:
     """One symbol for each number of an order's lines, since numbers repeat."""
-    least = [F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity")]
-    return table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*least)
+    columns = ["l_partkey", "l_suppkey", "l_quantity"]
+    lines = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", *columns)
+    return lines.repartition(tasks_for(lines.count()), "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in columns])
 
 
 def _hierarchy(s: SparkSession, d: str) -> DataFrame:
@@ -212,7 +235,8 @@ def _functions(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c = F.col
     defs = shape(orders, c("start"), c("file"), c("name"), nothing, "callable", "definition", c("start"), c("stop"))
     decls = shape(orders.where("own"), c("start") + 9, F.floor(c("file") / 2), c("name"), nothing, "callable", "declaration", c("start"), c("start"))
-    lines = _lines(s, d).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    by_order = orders.repartition(tasks_for(table(s, d, "lineitem").count()), "o_orderkey")
+    lines = _lines(s, d).join(by_order, F.col("l_orderkey") == F.col("o_orderkey"))
     called = F.when(c("l_linenumber") % 2 == 1, c("name")).otherwise(_text("f", c("l_partkey") % 5))
     uses = shape(lines, c("start") + c("l_linenumber"), c("file"), called, c("name"), "call", "use", c("start") + c("l_linenumber"), c("start") + c("l_linenumber"))
     visible = orders.select("file").distinct().select("file", F.floor(c("file") / 2).alias("target"))

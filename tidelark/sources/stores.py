@@ -6,6 +6,7 @@ Everything is written and read by Spark, so any file system that Spark reaches w
 from __future__ import annotations
 
 import functools
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,6 +19,8 @@ from pyspark.sql.types import StructType
 from tidelark.operators.usage import insert_ignore, upsert
 
 CHUNK_NAME = "chunk_%05d"
+#: Rows of one task, where a step's memory goes with its rows.
+TASK_ROWS = 250_000
 
 
 @functools.cache
@@ -42,6 +45,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks_for(rows: int, per_task: int = TASK_ROWS) -> int:
+    """Tasks to spread rows over by `repartition`, so that the memory of one doesn't grow with the table.  Left to itself, Spark
+    joins small shuffle blocks until they fill a task, by their size before a join or a sort makes more of them."""
+    return max(1, math.ceil(rows / per_task))
+
+
 def _path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
