@@ -583,3 +583,10 @@ def test_closure_writes_each_pair_once(spark, monkeypatch):
         known |= more
     got = [tuple(r) for r in graphs.closure(spark.createDataFrame(sorted(pairs), "src int, dst int")).collect()]
     assert len(got) == len(known) and set(got) == known and sum(written) == len(known)
+
+
+def test_import_lines_are_compared_by_numbers(spark):
+    made, files = imports._imports(spark, "/root/testdata/sf0.001", ".h", imports._of("{folder}/{base}.h"), imports._of("{base}.h"))
+    rows = [tuple(r) for r in made.select("path", "name", "rule").collect()]
+    assert len(rows) == len(set(rows)) > 0 and {r[0] for r in rows} <= {r.path for r in files.collect()}
+    assert "Aggregate [path" not in made._jdf.queryExecution().optimizedPlan().toString()

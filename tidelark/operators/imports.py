@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidelark.functions import columns as C
 from tidelark.operators.listing import first_by
 from tidelark.plans.standins import table
+from tidelark.sources.stores import cut
 
 JS_SUFFIXES = [".ts", ".js"]
 
@@ -184,14 +185,30 @@ def _parts(s: SparkSession, d: str, suffix: Column | str) -> DataFrame:
     return table(s, d, "part").select("p_partkey", brand.alias("brand"), folder.alias("folder"), base.alias("base"), path.alias("path"))
 
 
+def _numbered(values: DataFrame, number: str) -> DataFrame:
+    """The distinct rows, each with a number of its own; written, so that numbers stay."""
+    return cut(values.distinct().withColumn(number, F.monotonically_increasing_id()), "numbered")
+
+
 def _imports(s: SparkSession, d: str, suffix: Column | str, *names: Column) -> tuple[DataFrame, DataFrame]:
-    """(imports, files): a line's name is that of its number's rule, made of the imported file's brand, folder and base."""
+    """(imports, files): a line's name is that of its number's rule, made of the imported file's brand, folder and base.
+
+    Lines meet numbers instead of texts, and their distinct pairs get the texts.
+    """
     parts = _parts(s, d, suffix)
-    to = parts.select(F.col("p_partkey").alias("l_suppkey"), "brand", "folder", "base")
-    lines = table(s, d, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber").join(parts.select(F.col("p_partkey").alias("l_partkey"), "path"), "l_partkey").join(to, "l_suppkey")
-    n = F.col("l_linenumber") % len(names)
-    rule = F.element_at(F.array(*names), (n + 1).cast("int"))
-    return lines.select("path", rule.alias("name"), n.alias("rule")).distinct(), parts.select("path").distinct()
+    texts = ["path", "brand", "folder", "base"]
+    shapes = _numbered(parts.select(*texts).where("path IS NOT NULL"), "_shape")
+    named = shapes.select(F.col("_shape").alias("_to"), F.posexplode(F.array(*names)).alias("rule", "name")).where("name IS NOT NULL")
+    known = _numbered(named.select("rule", "name"), "_name")
+    of_shape = named.join(known, ["rule", "name"]).select("_to", "rule", "_name")
+    by_part = cut(parts.join(shapes, texts).select("p_partkey", "_shape"), "shapes")
+    rule = (F.col("l_linenumber") % len(names)).cast("int").alias("rule")
+    lines = table(s, d, "lineitem").select("l_partkey", "l_suppkey", rule)
+    lines = lines.join(by_part.select(F.col("p_partkey").alias("l_partkey"), F.col("_shape").alias("_from")), "l_partkey")
+    lines = lines.join(by_part.select(F.col("p_partkey").alias("l_suppkey"), F.col("_shape").alias("_to")), "l_suppkey")
+    pairs = lines.join(of_shape, ["_to", "rule"]).select("_from", "_name").distinct()
+    pairs = pairs.join(shapes.select(F.col("_shape").alias("_from"), "path"), "_from").join(known, "_name")
+    return pairs.select("path", "name", "rule"), shapes.select("path").distinct()
 
 
 def _of(text: str) -> Column:
