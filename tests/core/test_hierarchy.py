@@ -121,6 +121,43 @@ def test_hierarchies_in_a_circle_end(spark):
     assert got(order.where("class_id < 4").select("class_id", "ancestor", "depth")) == {(1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 2, 0), (2, 3, 1), (2, 1, 2), (3, 3, 0), (3, 1, 1), (3, 2, 2)}
 
 
+def ordered_by_hand(ids, bases):
+    """Nearest places by walking from each class, a depth at a time."""
+    out = set()
+    for c in ids:
+        known = front = {c: ()}
+        while front:
+            out |= {(c, x, len(place), place) for x, place in front.items()}
+            more = {}
+            for x, place in front.items():
+                for i, k, b in bases:
+                    if i == x and b not in known:
+                        more[b] = min(more.get(b, (*place, k)), (*place, k))
+            known, front = known | more, more
+    return out
+
+
+@pytest.mark.parametrize("back", [0, 3])
+def test_the_linearised_order_equals_the_rule_on_random_hierarchies(spark, back):
+    r = random.Random(7 + back)
+    ids, named = range(12), range(16)
+    bases = [(i, k, r.choice([j for j in named if j > i - back])) for i in range(14) for k in (0, 1, 1)]
+    found = H.linearised(spark.createDataFrame([(i,) for i in ids], "sym_id long"), spark.createDataFrame(bases, "class_id long, position int, base_id long"))
+    assert {(c, a, d, tuple(p)) for c, a, d, p in found.collect()} == ordered_by_hand(ids, bases)
+    assert found.count() == len(ordered_by_hand(ids, bases))
+
+
+def test_only_circles_are_ordered_in_rounds(spark, monkeypatch):
+    walked, rounds = [], H._in_rounds
+    monkeypatch.setattr(H, "_in_rounds", lambda step: walked.extend(step.collect()) or rounds(step))
+    classes = spark.createDataFrame([(i,) for i in range(8)], "sym_id long")
+    # 0 to 3 derive one from another, 4 and 5 go round in a circle and reach 6 and 7; 3 names itself too.
+    bases = [(0, 0, 1), (1, 0, 2), (2, 0, 3), (3, 0, 3), (3, 1, 4), (4, 0, 5), (5, 0, 4), (5, 1, 6), (6, 0, 7)]
+    order = H.linearised(classes, spark.createDataFrame(bases, "class_id long, position int, base_id long"))
+    assert got(order.where("class_id = 0").select("ancestor", "depth")) == {(i, i) for i in range(8)}
+    assert {r["class_id"] for r in walked} == {4, 5, 6}
+
+
 def test_base_names_take_the_first_visible_class(spark):
     rows = [(7, 9, "A", "m.A", None, "class", "definition", 0, 5), (8, 2, "A", "n.A", None, "class", "definition", 3, 5), (9, 2, "A", "n.A", None, "class", "definition", 1, 2), (1, 4, "B", "B", None, "class", "definition", 0, 1)]
     bases = spark.createDataFrame([(1, 4, 0, "A"), (1, 4, 1, "m.A"), (1, 4, 2, "n.A")], "class_id long, file long, position int, name string")

@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelark.plans.standins import table
-from tidelark.sources.stores import cut, tasks_for
+from tidelark.sources.stores import TASK_ROWS, cut, new_path, tasks_for
 
 CLASS = "class"
-#: Base names and classes of one task, where base names are looked up.
+#: Base names and classes of one task, where base names are looked up; rows of orders, where they go on to the classes that derive.
 BASE_ROWS = 100_000
 
 
@@ -95,20 +95,68 @@ def base_classes(classes: DataFrame, bases: DataFrame, visible: DataFrame) -> Da
     return bases.repartition(tasks, *key).join(first, key).select("class_id", "position", F.col("_first._first.sym_id").alias("base_id"))
 
 
-def linearised(classes: DataFrame, bases: DataFrame) -> DataFrame:
-    """class_id, ancestor, depth, place: each class at depth 0 and all its base classes, nearest first, then by the place of the
-    bases on the way.  A class comes once, at its nearest place; so hierarchies that go round in a circle end.
-    """
-    step = cut(bases.groupBy(F.col("class_id").alias("ancestor"), F.col("base_id").alias("_base")).agg(F.min("position").alias("_at")), "bases")
-    front = cut(classes.select(F.col("sym_id").alias("class_id"), F.col("sym_id").alias("ancestor"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("place")), "linearised")
-    known = front
+def _in_rounds(step: DataFrame) -> DataFrame:
+    """class_id, ancestor, depth, place of the classes of step (class_id, _base, _at), found a depth at a time; a class comes once,
+    so hierarchies that go round in a circle end.  Each round meets all that is known."""
+    first = step.select("class_id", F.col("class_id").alias("ancestor"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("place")).distinct()
+    front = known = cut(first, "linearised")
+    step = step.select(F.col("class_id").alias("ancestor"), "_base", "_at")
     while not front.isEmpty():
-        more = front.join(step, "ancestor").groupBy("class_id", F.col("_base").alias("ancestor")).agg((F.min("depth") + 1).alias("depth"), F.min(F.concat("place", F.array(F.col("_at").cast("int")))).alias("place"))
+        more = front.join(step, "ancestor").groupBy("class_id", F.col("_base").alias("ancestor")).agg((F.min("depth") + 1).alias("depth"), F.min(F.concat("place", F.array("_at"))).alias("place"))
         front = cut(more.join(known.select("class_id", "ancestor"), ["class_id", "ancestor"], "left_anti"), "linearised")
         known = known.unionByName(front)
     return known
 
 
+def _layered(step: DataFrame) -> tuple[DataFrame, int]:
+    """step with the layer of its class, and the last layer: 0 where no class derives from it, else one more than the highest of
+    those that do.  Classes in circles, and all that they reach, are left together in the last layer."""
+    spark, path = step.sparkSession, new_path(step.sparkSession, "layers")
+    left, k = step, 0
+    while True:
+        named = left.select(F.col("_base").alias("class_id")).distinct().withColumn("_named", F.lit(True))
+        left.join(named, "class_id", "left").write.parquet(f"{path}/layer={k}")
+        every = spark.read.schema("class_id long, _base long, _at int, _named boolean, layer int").parquet(path)
+        here = every.where(F.col("layer") == k)
+        if here.where("_named IS NULL").isEmpty():
+            return every.where((F.col("layer") == k) | F.col("_named").isNull()).drop("_named"), k
+        left, k = here.where("_named").drop("_named", "layer"), k + 1
+
+
+def linearised(classes: DataFrame, bases: DataFrame) -> DataFrame:
+    """class_id, ancestor, depth, place: each class at depth 0 and all its base classes, nearest first, then by the place of the
+    bases on the way.  A class comes once, at its nearest place.
+
+    A class is ordered once, from the finished orders of its bases, layer by layer: what came to it is put together and goes on to
+    the classes that derive from it.  Only circles and the classes that they reach are ordered in rounds.
+    """
+    spark, order = bases.sparkSession, ["class_id", "ancestor", "depth", "place"]
+    step = bases.where("base_id <> class_id").groupBy("class_id", F.col("base_id").alias("_base")).agg(F.min("position").cast("int").alias("_at"))
+    edges, last = _layered(cut(step.select(F.col("class_id").cast("long"), F.col("_base").cast("long"), "_at"), "bases"))
+    # Edges are kept by the layer of the base, so each is read once.
+    of = edges.select(F.col("class_id").alias("_base"), F.col("layer").alias("_from")).distinct()
+    below, came = new_path(spark, "below"), new_path(spark, "orders")
+    edges.where(F.col("layer") < last).join(of, "_base").select(F.col("class_id").alias("_derived"), F.col("_base").alias("class_id"), "_at", "layer", "_from").write.partitionBy("_from").parquet(below)
+    edges.where(F.col("layer") < last).select("class_id", F.col("_base").alias("ancestor"), F.lit(1).alias("depth"), F.array("_at").alias("place"), "layer").write.partitionBy("layer").parquet(came)
+
+    def arrived(rows: DataFrame, per_task: int = TASK_ROWS) -> DataFrame:
+        rows = rows.repartition(tasks_for(rows.count(), per_task), "class_id")
+        return rows.groupBy("class_id", "ancestor").agg(F.min(F.struct("depth", "place")).alias("_near")).select("class_id", "ancestor", "_near.depth", "_near.place")
+
+    def orders() -> DataFrame:
+        return spark.read.schema("class_id long, ancestor long, depth int, place array<int>, layer int").parquet(came)
+
+    circles = cut(_in_rounds(edges.where(F.col("layer") == last).drop("layer")).where("depth > 0"), "circles")
+    for k in range(last, 0, -1):
+        rows = circles if k == last else arrived(orders().where(F.col("layer") == k), BASE_ROWS)
+        derived = spark.read.schema("_derived long, class_id long, _at int, layer int, _from int").parquet(below).where(F.col("_from") == k)
+        on = rows.join(derived, "class_id").select(F.col("_derived").alias("class_id"), "ancestor", (F.col("depth") + 1).alias("depth"), F.concat(F.array("_at"), "place").alias("place"), "layer")
+        on.write.mode("append").partitionBy("layer").parquet(came)
+    itself = classes.select(F.col("sym_id").alias("class_id"), F.col("sym_id").alias("ancestor"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("place"))
+    found = arrived(orders()).unionByName(circles).join(itself.select("class_id").distinct(), "class_id", "left_semi")
+    return itself.unionByName(found.select(*order))
+
+
 def inherited(uses: DataFrame, members: DataFrame, order: DataFrame) -> DataFrame:
     """use_id, def_id, owner, depth of uses (use_id, class_id, name): the member (owner, name, def_id) of the nearest class in the
     linearised `order`, which hides those behind it; of one class the member with the least def_id."""
