@@ -5,6 +5,8 @@ import random
 import pytest
 
 from tidelark.operators.access import snapshot_diff
+from tidelark.functions import columns as C
+from tidelark.operators import snapshots as S
 from tidelark.operators.snapshots import SnapshotStore, tree_entries
 
 
@@ -69,3 +71,24 @@ def test_a_path_that_comes_twice_counts_once(spark):
     frame = lambda x: spark.createDataFrame(x, "path string, hash string")
     twice, once = (rows(tree_entries(frame(x))[0]) for x in ([("a/b", "1"), ("a/b", "2")], [("a/b", "2")]))
     assert twice == once
+
+
+def test_entries_are_written_by_more_tasks_than_buckets(spark, tmp_path):
+    files = spark.createDataFrame([(f"{i % 7}/{i % 30}/{i}", str(i)) for i in range(300)], "path string, hash string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        SnapshotStore(spark, str(tmp_path), buckets=1).add("a", files)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(list((tmp_path / "entries").rglob("*.parquet"))) > 1
+
+
+def test_sums_are_of_longs_and_paths_are_cut_as_by_the_patterns(spark):
+    paths = ["", "/", "//", "a", "a/", "/a", "/a/b/", "a//b", "a/b/c.d", "é/ü\n/ñ\n", "a/b\n"]
+    df = spark.createDataFrame([(x,) for x in paths], "path string")
+    found = df.select("path", S._parent("path"), S._name("path"), S._depth("path")).collect()
+    assert [tuple(r) for r in found] == [tuple(r) for r in df.select("path", C.parent("path"), C.file_name("path"), C.depth("path")).collect()]
+    parts = spark.createDataFrame([(str(i), i % 2 == 0, "x") for i in range(50)], "name string, is_dir boolean, child string").select(*S._entry_parts())
+    assert {t for _, t in parts.dtypes} == {"bigint"}
+    values = [v for r in parts.collect() for v in r]
+    assert len(set(values)) > 390 and 0 <= min(values) and 2**31 < max(values) < 2**32

@@ -3,8 +3,8 @@
 A directory is known by a digest of its entries (name, file or directory, digest).  Entries are stored once for each digest, so a
 subtree that two snapshots or two places share costs nothing more, and a comparison stops where digests are equal.
 
-A digest sums the SHA-256 of the entries, in 60-bit parts, and hashes the sums: sums are combined before the shuffle, so a folder
-of any number of files is no array in one task.  Unlike `graphs.merkle`, names count, so a file that is renamed is a change.
+A digest sums numbers made of the SHA-256 of the entries, 32 bits each, and hashes the sums: sums are combined before the shuffle, so
+a folder of any number of files (up to 2 billion) is no array in one task.  Unlike `graphs.merkle`, names count, so a file that is renamed is a change.
 """
 
 from __future__ import annotations
@@ -12,25 +12,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelark.functions import columns as C
 from tidelark.plans.standins import table
 from tidelark.sources.stores import cut, exists, new_path
 
 #: Digests that are broadcast at most when a level's entries are read, some 10 MB.
 BROADCAST_DIGESTS = 100_000
 ENTRIES = "digest string, name string, child string, is_dir boolean, bucket int"
-PARTS = range(4)
+#: Numbers that an entry adds to its directory's sums: two for each quarter of its SHA-256.
+PARTS = [f"_p{i}" for i in range(8)]
+
+
+def _name(path: str) -> Column:
+    return F.substring_index(path, "/", -1)
+
+
+def _parent(path: str) -> Column:
+    """What is before the last slash; "" without one.  No pattern is matched, since each level asks it of each path."""
+    return F.substring(F.col(path), F.lit(1), F.length(path) - F.length(_name(path)) - 1)
+
+
+def _depth(path: str) -> Column:
+    """As columns.depth, by the number of slashes."""
+    p = F.trim(F.col(path), F.lit("/"))
+    return F.when(p == "", F.when(F.col(path).isin("", "/"), 0).otherwise(1)).otherwise(F.length(p) - F.length(F.replace(p, F.lit("/"), F.lit(""))) + 1)
 
 
 def _entry_parts() -> list[Column]:
-    """What an entry adds to its directory's sums."""
+    """What an entry adds to its directory's sums, in whole numbers below 2 ** 32 that longs can sum."""
     h = F.sha2(F.concat_ws("/", F.col("name"), F.when(F.col("is_dir"), "d").otherwise("f"), F.col("child")), 256)
-    return [F.conv(F.substring(h, 15 * i + 1, 15), 16, 10).cast("decimal(38,0)") for i in PARTS]
+    quarters = [F.xxhash64(F.substring(h, 16 * i + 1, 16)) for i in range(4)]
+    return [part.alias(p) for p, part in zip(PARTS, [x for q in quarters for x in (q.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(q, 32))], strict=True)]
 
 
 def _digest() -> Column:
     """Digest of a group of entries; without entries the sums are 0."""
-    sums = [F.coalesce(F.sum(f"_p{i}"), F.lit(0).cast("decimal(38,0)")).cast("string") for i in PARTS]
+    sums = [F.coalesce(F.sum(p), F.lit(0)).cast("string") for p in PARTS]
     return F.sha2(F.concat_ws(",", F.count("child").cast("string"), *sums), 256)
 
 
@@ -40,20 +56,19 @@ def tree_entries(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     One aggregation a level, the deepest first; a path that comes twice counts once, with the greatest of its hashes.
     """
     rows = files.groupBy("path").agg(F.max("hash").alias("child"))
-    rows = cut(rows.select(C.parent("path").alias("parent"), C.file_name("path").alias("name"), "child", F.lit(False).alias("is_dir"), C.depth("path").alias("depth")), "snapshot-files")
+    rows = cut(rows.select(_parent("path").alias("parent"), _name("path").alias("name"), "child", F.lit(False).alias("is_dir"), _depth("path").alias("depth")), "snapshot-files")
     deepest = rows.agg(F.max("depth")).first()[0] or 0
     front, dirs, entries = None, [], [rows.drop("depth")]
     for k in range(deepest, 0, -1):
         here = rows.where(F.col("depth") == k).drop("depth")
         here = here if front is None else here.unionByName(front)
-        parts = [p.alias(f"_p{i}") for i, p in enumerate(_entry_parts())]
-        found = cut(here.select("parent", "child", *parts).groupBy(F.col("parent").alias("path")).agg(_digest().alias("digest")), "snapshot-level")
+        found = cut(here.select("parent", "child", *_entry_parts()).groupBy(F.col("parent").alias("path")).agg(_digest().alias("digest")), "snapshot-level")
         dirs.append(found)
         if k > 1:
-            front = found.select(C.parent("path").alias("parent"), C.file_name("path").alias("name"), F.col("digest").alias("child"), F.lit(True).alias("is_dir"))
+            front = found.select(_parent("path").alias("parent"), _name("path").alias("name"), F.col("digest").alias("child"), F.lit(True).alias("is_dir"))
             entries.append(front)
     if not dirs:
-        nothing = rows.select("child", *(F.lit(0).cast("decimal(38,0)").alias(f"_p{i}") for i in PARTS)).agg(_digest().alias("digest"))
+        nothing = rows.select("child", *(F.lit(0).cast("long").alias(p) for p in PARTS)).agg(_digest().alias("digest"))
         dirs = [nothing.select(F.lit("").alias("path"), "digest")]
     every = lambda tables: tables[0] if len(tables) == 1 else tables[0].unionByName(every(tables[1:]))
     return every(dirs), every(entries)
@@ -83,8 +98,9 @@ class SnapshotStore:
         # Of places with one digest one stands for all; what is stored already is left out.
         one = dirs.groupBy("digest").agg(F.min("path").alias("parent")).withColumn("bucket", self._bucket("digest"))
         one = cut(one.join(self.entries().select("digest", "bucket").distinct(), ["digest", "bucket"], "left_anti"), "snapshot-new")
+        # Each task of the join writes its own files: brought together by bucket, entries of any number would be in `buckets` tasks.
         rows = entries.join(one, "parent").select("digest", "name", "child", "is_dir", "bucket")
-        rows.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/entries")
+        rows.write.mode("append").partitionBy("bucket").parquet(f"{self.path}/entries")
         root = dirs.where("path = ''").select(F.lit(version).alias("version"), "digest")
         root.coalesce(1).write.mode("append").parquet(f"{self.path}/roots")
         return one.count()
