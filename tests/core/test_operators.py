@@ -7,6 +7,7 @@ import random
 import zipfile
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -554,6 +555,23 @@ def test_allowed_users_are_listed_cell_by_cell(spark):
     assert _switches(found) <= 10
 
 
+def test_roles_are_listed_cell_by_cell(spark, monkeypatch):
+    parts = _in_three_teams(spark)
+    found = access.effective_roles(*parts)
+    assert _switches(found) <= 20
+    expected = sorted(map(str, access.effective_role(access.effective_grants(*parts)).select(found.columns).collect()))
+    assert sorted(map(str, found.collect())) == expected
+    # Few assets at once, of which some have no grants of teams.
+    monkeypatch.setattr(access, "TURNS", 5)
+    turns = [access._turns]
+    monkeypatch.setattr(access, "_turns", lambda batch: turns.append(batch.num_rows) or turns[0](batch))
+    assets = [{"asset_id": a, "bucket": 0, "grants": [{"how": {"role": "viewer", "inherited": True, "created_at": None}, "cells": [1, 2, 3][: a % 4]}] * (a % 3), "direct": []} for a in range(12)]
+    schema = pa.schema([("asset_id", pa.int64()), ("bucket", pa.int64()), ("grants", pa.list_(pa.struct([("how", pa.struct([("role", pa.string()), ("inherited", pa.bool_()), ("created_at", pa.date32())])), ("cells", pa.list_(pa.int64()))]))), ("direct", pa.list_(pa.struct([("how", pa.int64()), ("user_id", pa.int64()), ("cell", pa.int64())])))])
+    rows = [r for b in access._by_cell([pa.RecordBatch.from_pylist(assets, schema)]) for r in b.to_pylist()]
+    assert sum(turns[1:]) == 12 and max(turns[1:]) < 8
+    assert sorted((r["cell"], a["asset_id"]) for r in rows for a in r["assets"]) == sorted((c, a) for a in range(12) if a % 3 for c in [1, 2, 3][: a % 4])
+
+
 def _many_intervals(spark):
     draw = random.Random(5)
     rows = [(n % 2, n, s, s + draw.choice([0, 3, 40, 900, 70_000])) for n in range(300) for s in [draw.randrange(-500, 3_000)]]
