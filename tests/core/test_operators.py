@@ -589,6 +589,20 @@ def test_intervals_of_any_length(spark):
     assert sorted(found) == sorted(_around(rows))
 
 
+def test_pairs_of_intervals_come_in_like_runs(spark, monkeypatch):
+    rows, df = _many_intervals(spark)
+    monkeypatch.setattr(access, "BLOCK_INTERVALS", 7)
+    found = [(r.file, r.inner_id, r.outer_id, r._e - r._s, r._s) for r in access.interval_join(df, df).collect()]
+    assert sorted(found) == sorted(_around(rows))
+    monkeypatch.undo()
+    # Copies of a few places: the outer ids around one inner interval are those around the next, in the same order.
+    places = [(0, s, s + size) for s in range(0, 64, 4) for size in (2, 500)]
+    copies = spark.createDataFrame([(f, n * len(places) + m, s, e) for n in range(12) for m, (f, s, e) in enumerate(places)], "file int, id long, start long, stop long")
+    runs = [[r.outer_id for r in g] for _, g in itertools.groupby(access.interval_join(copies.orderBy(F.xxhash64("id")), copies.orderBy(F.xxhash64("id"))).collect(), lambda r: (r.inner_id, r._e - r._s))]
+    steps = [abs(len(a) - len(b)) <= 1 and len({*a} ^ {*b}) <= 2 for a, b in itertools.pairwise(runs)]
+    assert sum(steps) > 0.8 * len(steps)
+
+
 def test_innermost_of_any_length_and_of_one_place(spark):
     rows, df = _many_intervals(spark)
     best = {}
