@@ -197,6 +197,14 @@ def test_few_of_the_postings_are_read(spark, library):
     assert "bucket" in text.split("PartitionFilters: [")[1].split("]")[0] and "term" in text.split("PushedFilters: [")[1]
 
 
+def test_words_are_counted_within_rows(spark, monkeypatch):
+    monkeypatch.setattr(keywords, "KNOWN_STEMS", 2)
+    docs = spark.createDataFrame([(1, "Running runs, the cats run"), (2, None), (3, "the"), (None, "naïve cat naïve")], "id long, text string")
+    counts = keywords.term_counts(docs.repartition(3), "id", keywords.F.col("text"))
+    assert "hashpartitioning" not in plan_of(counts) and "Aggregate" not in plan_of(counts)
+    assert sorted(map(str, map(tuple, counts.collect()))) == sorted(map(str, [(1, "run", 3, 4), (1, "cat", 1, 4), (None, "cat", 1, 3), (None, stem("naïve"), 2, 3)]))
+
+
 # Line diffs
 
 
