@@ -205,6 +205,24 @@ def test_words_are_counted_within_rows(spark, monkeypatch):
     assert sorted(map(str, map(tuple, counts.collect()))) == sorted(map(str, [(1, "run", 3, 4), (1, "cat", 1, 4), (None, "cat", 1, 3), (None, stem("naïve"), 2, 3)]))
 
 
+@pytest.mark.parametrize("every", [False, True])
+def test_equal_questions_are_asked_once(spark, library, monkeypatch, every):
+    made = {}
+    monkeypatch.setattr(keywords, "cut", lambda df, name, cut=keywords.cut: made.setdefault(name, cut(df, name)))
+    index, docs, queries = library
+    asked = [(10 * n + q, text) for n in range(3) for q, text in queries]
+    # A question in two rows is one text; one without an id has no rows.
+    rows = [*asked[1:], (1, "Running"), (1, "houses"), (None, "cat"), (7, None)]
+    got = defaultdict(list)
+    for r in sorted(index.search(spark.createDataFrame(rows, "query long, text string"), 5, every).collect(), key=lambda r: (r["query"], r["rank"])):
+        got[r["query"]].append((r.id, round(r.score, 6)))
+    by_hand = bm25_by_hand(docs, asked, every)
+    assert {q: [s for _, s in x] for q, x in got.items()} == {q: [s for _, s in x[:5]] for q, x in by_hand.items() if x}
+    assert all(got[q] == got[q + 10] == got[q + 20] for q in (1, 2, 5) if q in got)
+    parts = made["parts"].collect()
+    assert len(parts) == len({r["query"] for r in parts}) <= 4
+
+
 # Line diffs
 
 
